@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, media, mixing, packing, toxicity
+from rivulet.llm import chat, media, mixing, packing, pii, toxicity
 from rivulet.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,8 +43,16 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents", "doc_id", "text"))
+    names = F.array(*map(F.lit, pii.KINDS))
+    joined = lambda column: F.array_join(F.transform(column, lambda x: F.concat(F.get(names, x["kind"]), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc.doc_id", *map(count, pii.BASE), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op6_media, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op6_media, op8_pii, op10_packing)}
