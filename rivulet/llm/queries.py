@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, media, mixing, packing, pii, toxicity
+from rivulet.llm import chat, media, minhash, mixing, packing, pii, toxicity
 from rivulet.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), k=4)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents", "doc_id", "text"))
     names = F.array(*map(F.lit, pii.KINDS))
@@ -55,4 +59,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op6_media, op8_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op6_media, op7_minhash, op8_pii, op10_packing)}
