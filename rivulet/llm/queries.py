@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, media, minhash, mixing, packing, pii, toxicity
+from rivulet.llm import chat, embeddings, media, minhash, mixing, packing, pii, toxicity
 from rivulet.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "doc.source", "block", "slot", "offset")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -59,4 +63,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op6_media, op7_minhash, op8_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op4_embeddings, op6_media, op7_minhash, op8_pii, op10_packing)}
