@@ -70,51 +70,94 @@ def codes(x: np.ndarray, tables: int, parts: int, probes: int) -> np.ndarray:
     return out
 
 
-def _links(tables: int, probes: int, cosine: float, step: int = 512):
-    """Within a pair of blocks of a bucket: rows (node, n_links, root), the links counted here and a forest of them."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", kind="stable")
-        node, block, copies = (group[c].to_numpy() for c in ("node", "block", "copies"))
-        table, bucket = int(group["table"].iloc[0]), int(group["code"].iloc[0])
-        across = group["i"].iloc[0] != group["j"].iloc[0]
-        x = np.stack([np.frombuffer(v, "<f8") for v in group["vector"]])
-        c = np.stack([np.frombuffer(v, "<i8") for v in group["codes"]]).reshape(len(x), tables, 1 + probes)
-        own = c[:, table, 0] == bucket
-        links, root = np.zeros(len(x), np.int64), np.arange(len(x))
-        for k in range(0, len(x), step):
-            near = (x[k : k + step] @ x.T) >= cosine
-            near &= (np.arange(k, min(k + step, len(x)))[:, None] < np.arange(len(x))) & (own[k : k + step, None] | own)
-            if across:
-                near &= block[k : k + step, None] != block
-            u, v = np.nonzero(near)
-            u += k
-            for lo in range(0, len(u), 200_000):
-                a, b = u[lo : lo + 200_000], v[lo : lo + 200_000]
-                first = np.ones(len(a), bool)
-                for t in range(table + 1):
-                    forth = (c[a, t, :1] == c[b, t]).any(1)  # the first's own bucket is among the second's
-                    back = (c[b, t, :1] == c[a, t]).any(1)
-                    if t < table:
-                        first &= ~(forth | back)
-                    else:
-                        first &= np.where(forth, c[a, t, 0], c[b, t, 0]) == bucket
-                a, b = a[first], b[first]
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                while len(a):  # merge by smallest labels until both ends agree
-                    m = np.minimum(root[a], root[b])
-                    np.minimum.at(root, root[a], m)
-                    np.minimum.at(root, root[b], m)
-                    root = root[root]
-                    root = root[root]
-                    apart = root[a] != root[b]
-                    a, b = a[apart], b[apart]
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest labels after the links a, b."""
+    while len(a):
+        m = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], m)
+        np.minimum.at(root, root[b], m)
         while (root[root] != root).any():
             root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows u < v within groups of these sizes that follow each other."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    row = np.arange(len(ends))
+    after = ends - row - 1
+    u = np.repeat(row, after)
+    return u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def _links(tables: int, probes: int, cosine: float, small: int = 128, step: int = 256):
+    """Over rows sorted by group (bucket, i, j): rows (node, n_links, root), the links counted there and a forest of them."""
+
+    def groups(rows: pd.DataFrame) -> pd.DataFrame:
+        node, block, copies, table, bucket = (rows[c].to_numpy() for c in ("node", "block", "copies", "table", "code"))
+        across = (rows["i"] != rows["j"]).to_numpy()
+        x = np.frombuffer(b"".join(rows["vector"]), "<f8").reshape(len(rows), -1)
+        c = np.frombuffer(b"".join(rows["codes"]), "<i8").reshape(len(rows), tables, 1 + probes)
+        own = c[np.arange(len(rows)), table, 0] == bucket
+        links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+
+        def count(u: np.ndarray, v: np.ndarray, root: np.ndarray) -> np.ndarray:
+            at, first, place = table[u], np.ones(len(u), bool), bucket[u]
+            for t in range(tables):
+                forth = (c[u, t, :1] == c[v, t]).any(1)  # the first's own bucket is among the second's
+                back = (c[v, t, :1] == c[u, t]).any(1)
+                first &= ~((forth | back) & (t < at)) & ((t != at) | (np.where(forth, c[u, t, 0], c[v, t, 0]) == place))
+            u, v = u[first], v[first]
+            np.add.at(links, u, copies[v])
+            np.add.at(links, v, copies[u])
+            return _merge(root, u, v)
+
+        change = np.flatnonzero((rows[["bucket", "i", "j"]].to_numpy()[1:] != rows[["bucket", "i", "j"]].to_numpy()[:-1]).any(1)) + 1
+        starts = np.concatenate([[0], change])
+        sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+        little = np.repeat(sizes <= small, sizes)
+        place = np.flatnonzero(little)
+        u, v = _pairs(sizes[sizes <= small])
+        for lo in range(0, len(u), 50_000):
+            a, b = place[u[lo : lo + 50_000]], place[v[lo : lo + 50_000]]
+            able = (own[a] | own[b]) & (~across[a] | (block[a] != block[b]))
+            a, b = a[able], b[able]
+            near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+            root = count(a[near], b[near], root)
+        for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+            for k in range(s, s + n, step):
+                mine = np.arange(k, min(k + step, s + n))
+                near = (x[mine] @ x[s : s + n].T) >= cosine
+                near &= (mine[:, None] < np.arange(s, s + n)) & (own[mine, None] | own[s : s + n])
+                if across[s]:
+                    near &= block[mine, None] != block[s : s + n]
+                a, b = np.nonzero(near)
+                for lo in range(0, len(a), 100_000):
+                    root = count(mine[a[lo : lo + 100_000]], s + b[lo : lo + 100_000], root)
         some = links > 0
         return pd.DataFrame({"node": node[some], "n_links": links[some], "root": node[root[some]]})
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = held[["bucket", "i", "j"]].to_numpy()
+            last = np.flatnonzero((key[1:] != key[:-1]).any(1))
+            if not len(last):  # one group so far, which blocks keep bounded
+                continue
+            done, held = held.iloc[: last[-1] + 1], held.iloc[last[-1] + 1 :].reset_index(drop=True)
+            yield from by_length(done)
+        if held is not None and len(held):
+            yield from by_length(held)
+
+    def by_length(rows: pd.DataFrame):
+        """A group's vectors have one length; different groups may differ."""
+        length = rows["vector"].map(len)
+        for n in length.unique():
+            yield groups(rows[length == n].reset_index(drop=True))
+
     return run
 
 
@@ -149,7 +192,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int = 10,
     shared = places.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("own").alias("o")).where("x != y and o").select("bucket")
     dealt = blocks(places.join(shared, "bucket"), "bucket", "node", block)
     met = dealt.join(known.select("node", "copies", "vector", "codes"), "node").select("bucket", "i", "j", "block", "node", "copies", "table", "code", "vector", "codes")
-    found = durable(met.groupBy("bucket", "i", "j").applyInPandas(_links(tables, probes, cosine), "node long, n_links long, root long"))
+    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    found = durable(met.mapInPandas(_links(tables, probes, cosine), "node long, n_links long, root long"))
     counts = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     parts_of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = known.select("class", "node", "copies").join(counts, "node", "left").join(parts_of, "node", "left")
