@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import chat, embeddings, media, minhash, mixing, packing, pii, toxicity
+from rivulet.llm import chat, embeddings, media, minhash, mixing, packing, pii, substring, suffix, toxicity
 from rivulet.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -59,8 +63,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", *map(count, pii.BASE), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op4_embeddings, op6_media, op7_minhash, op8_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_mixing, op4_embeddings, op5_substring, op6_media, op7_minhash, op8_pii, op9_suffix, op10_packing)}
