@@ -158,6 +158,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     )
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
+
+    Rows that repeat a doc_id are one document; rows without a doc_id stay.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), **options).where("kept and doc_id is not null").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+
+
 def _rivals(n: int, least: tuple[int, ...], lo: int, hi: int | None):
     """Within a pair of blocks: for each member its survivors of other components, ranked by agreement, from lo to hi.
 

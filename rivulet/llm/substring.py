@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import long_id, small_batches, text_id
 
-#: Ends of pieces: sentence marks before white space, line ends, and words of 12 or more letters before white space.
-END = re.compile(r"[.!?][^\w\s]*\s+|\n\s*|\w{12,}[^\w\s]*\s+")
+#: Ends of pieces: sentence marks before white space, line ends, and words of 10 or more letters before white space.
+END = re.compile(r"[.!?][^\w\s]*\s+|\n\s*|\w{10,}[^\w\s]*\s+")
 
 
 def pieces(text: str) -> np.ndarray:
@@ -59,7 +59,7 @@ def runs(text: str, least: int, chars: int) -> tuple[np.ndarray, np.ndarray, np.
     return (key * base).view(np.int64), first, last, ends
 
 
-def remove_repeats(docs: DataFrame, least: int = 3, chars: int = 60) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 2, chars: int = 60) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed_chars, text (what is left) for every row."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))

@@ -275,3 +275,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, span_at: float
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": s, "predicted": (s >= threshold).astype("int32"), "spans": spans})
 
     return long_id(docs.select(text_id(), "text").mapInPandas(run, "doc_id string, score double, predicted int, spans array<struct<start:int,end:int>>"))
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        weights = Weights(model.by_feature, model.bias)
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(model.score(texts, weights)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
