@@ -77,7 +77,8 @@ def from_words(high: Column, low: Column) -> Column:
 def swap_16(word: Column) -> Column:
     """A 32-bit word with the bytes of both its halves swapped."""
     w = word.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(w.bitwiseAND(F.lit(0x00FF00FF)), 8).bitwiseOR(F.shiftright(w.bitwiseAND(F.lit(0xFF00FF00)), 8)).cast("int")
+    swapped = F.shiftleft(w.bitwiseAND(F.lit(0x00FF00FF)), 8).bitwiseOR(F.shiftright(w.bitwiseAND(F.lit(0xFF00FF00)), 8))
+    return F.when(swapped >= 1 << 31, swapped - (1 << 32)).otherwise(swapped).cast("int")
 
 
 def states_text(states: Column, high: str = "1", low: str = "0", spacer: str = "") -> Column:

@@ -24,13 +24,13 @@ from rivulet.sources import generators as gen
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: Microseconds since 1970 of a time without zone, whatever the session's zone.
-MICROSECONDS = F.expr("unix_date(CAST(ts AS DATE)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L + CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT)").alias("hw_ts")
+MICROSECONDS = "unix_date(CAST(ts AS DATE)) * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L + CAST(extract(SECOND FROM ts) * 1000000 AS BIGINT) AS hw_ts"
 KEY, ORDER = "user_id", ("hw_ts", "event_id")
 
 
 def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    return raw.select("event_id", "user_id", MICROSECONDS, *columns)
+    return raw.select("event_id", "user_id", F.expr(MICROSECONDS), *columns)
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +356,7 @@ def streaming_level_cross(spark, sf_dir):
     base = _shared(spark)
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     live = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = stream(live.select("event_id", KEY, MICROSECONDS, "value"), KEY, "hw_ts", K.LevelCrossing(50.0, True, 2), ["event_id", "hw_ts"])
+    out = stream(live.select("event_id", KEY, F.expr(MICROSECONDS), "value"), KEY, "hw_ts", K.LevelCrossing(50.0, True, 2), ["event_id", "hw_ts"])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
     query.awaitTermination()
