@@ -63,17 +63,19 @@ class Packer:
     def __init__(self, capacity: int, pool: int, first: int = 0):
         self.capacity, self.pool, self.sequence = capacity, pool, first
         self.waiting: dict[int, list[tuple]] = defaultdict(list)  # by length: (doc, start, ids, tokens of its document)
-        self.size = 0
+        self.size = self.total = 0
 
     def _wait(self, item: tuple) -> None:
         self.waiting[len(item[2]) // 4].append(item)
         self.size += 1
+        self.total += len(item[2]) // 4
 
     def _take(self, length: int) -> tuple:
         item = self.waiting[length].pop()
         if not self.waiting[length]:
             del self.waiting[length]
         self.size -= 1
+        self.total -= length
         return item
 
     def _rows(self, items: list[tuple]) -> Iterator[tuple]:
@@ -104,7 +106,7 @@ class Packer:
         if at < len(ids):
             self._wait((doc, at // 4, ids[at:], tokens))
         if self.size >= self.pool:
-            while self.size > self.pool // 2:
+            while self.size > self.pool // 2 and self.total >= self.capacity:
                 yield from self._window()
 
     def end(self) -> Iterator[tuple]:
