@@ -162,3 +162,27 @@ def test_streaming_equals_batch(spark, tmp_path):
     query.awaitTermination()
     expected = batch(df, "s", ["t"], K.LevelCrossing(2.0, True, 2), ["t"])
     assert sorted(map(tuple, spark.table("crossed").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_udp_source(spark, tmp_path):
+    import socket
+    import time
+
+    spark.dataSource.register(files.UdpPackets)
+    probe = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    probe.bind(("127.0.0.1", 0))
+    port = probe.getsockname()[1]
+    probe.close()
+    live = spark.readStream.format("udp_packets").option("port", str(port)).option("nchannels", "2").load()
+    query = live.writeStream.format("memory").queryName("datagrams").option("checkpointLocation", str(tmp_path / "udp")).trigger(processingTime="200 milliseconds").start()
+    sender, packet = socket.socket(socket.AF_INET, socket.SOCK_DGRAM), np.arange(20, dtype="<i4").tobytes()
+    found = 0
+    for _ in range(150):
+        sender.sendto(packet, ("127.0.0.1", port))
+        sender.sendto(b"short", ("127.0.0.1", port))
+        time.sleep(0.2)
+        found = spark.table("datagrams").count()
+        if found >= 3:
+            break
+    query.stop()
+    assert found >= 3 and {bytes(r.raw) for r in spark.table("datagrams").collect()} == {packet}
