@@ -33,7 +33,7 @@ TOKEN = re.compile(r"[^\W_]+")
 BLOCK = 64
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def features(token: str) -> list[str]:
     """The word itself and its first four, five and six characters."""
     return [f"w:{token}", *(f"p{k}:{token[:k]}" for k in (4, 5, 6) if len(token) > k)]
@@ -138,25 +138,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), p, lengths
 
 
-def _markers(tokens: list[list[str]], toxic: np.ndarray, least: int, gain: int, odds: float) -> set[str]:
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+    """The tokens of each text as numbers into the list of distinct tokens, which keeps the driver's memory small."""
+    known: dict[str, int] = {}
+    return [np.fromiter((known.setdefault(t, len(known)) for t in TOKEN.findall(x.lower())), np.int32) for x in texts], list(known)
+
+
+def _markers(tokens: list[np.ndarray], words: list[str], toxic: np.ndarray, least: int, gain: int, odds: float) -> set[str]:
     """The fewest words and prefixes that explain the toxic documents, greedily.
 
     Candidates are held by at least `least` toxic documents, and there `odds` times as often as in clean ones; each one taken
     explains at least `gain` documents that those before it do not. So rare words that copies of a document share stay out.
     """
-    seen = {1: Counter(), 0: Counter()}
-    for x, y in zip(tokens, toxic, strict=True):
-        seen[int(y)].update({f for t in set(x) for f in features(t)})
+    seen, clean = Counter(), Counter()
+    for d in np.flatnonzero(toxic):
+        seen.update({f for t in np.unique(tokens[d]) for f in features(words[t])})
+    able = {f for f, n in seen.items() if n >= least}
+    for d in np.flatnonzero(toxic == 0):
+        clean.update({f for t in np.unique(tokens[d]) for f in features(words[t]) if f in able})
     n1, n0 = toxic.sum() + 1, len(toxic) - toxic.sum() + 1
-    able = {f for f, n in seen[1].items() if n >= least and n / n1 >= odds * (seen[0][f] + 0.5) / n0}
+    able = {f for f in able if seen[f] / n1 >= odds * (clean[f] + 0.5) / n0}
     holders: dict[str, set[int]] = {f: set() for f in able}
     for d in np.flatnonzero(toxic):
-        for f in {f for t in set(tokens[d]) for f in features(t) if f in able}:
+        for f in {f for t in np.unique(tokens[d]) for f in features(words[t]) if f in able}:
             holders[f].add(int(d))
     taken: set[str] = set()
     left = set(map(int, np.flatnonzero(toxic)))
     while holders:
-        best = max(holders, key=lambda f: (len(holders[f] & left) - 10 * seen[0][f], len(holders[f]), f))
+        best = max(holders, key=lambda f: (len(holders[f] & left) - 10 * clean[f], len(holders[f]), f))
         if len(holders[best] & left) < gain:
             return taken
         left -= holders.pop(best)
@@ -170,22 +179,23 @@ def fit(texts: list[str], toxic: np.ndarray, stretches: int = 4000, width: int =
     if toxic.min(initial=1) == toxic.max(initial=0) or not len(toxic):
         return Model()
     random = np.random.default_rng(seed)
-    tokens = [TOKEN.findall(x.lower()) for x in texts]
-    marks = _markers(tokens, toxic, max(3, int(share * toxic.sum())), max(1, int(0.001 * toxic.sum())), 20.0)
-    marked = {t: not marks.isdisjoint(features(t)) for x, y in zip(tokens, toxic, strict=True) if y for t in x}
-    labelled = [np.array([marked[t] for t in x] if y else [False] * len(x), bool) for x, y in zip(tokens, toxic, strict=True)]
+    tokens, words = _numbered(texts)
+    marks = _markers(tokens, words, toxic, max(3, int(share * toxic.sum())), max(1, int(0.001 * toxic.sum())), 20.0)
+    marked = np.array([not marks.isdisjoint(features(t)) for t in words], bool)
+    labelled = [marked[x] if y else np.zeros(len(x), bool) for x, y in zip(tokens, toxic, strict=True)]
     pieces: list[tuple[int, int]] = []
     for d in random.permutation(len(tokens)):
-        if len(pieces) >= stretches or not tokens[d]:
+        if len(pieces) >= stretches or not len(tokens[d]):
             continue
         hits = np.flatnonzero(labelled[d])
         starts = {max(0, int(h) - int(random.integers(width))) for h in hits[:: max(1, len(hits) // 3)]} if len(hits) else set()
         if not toxic[d]:
             starts |= {int(random.integers(max(1, len(tokens[d]) - width))) for _ in range(3)}
-        pieces += [(d, s) for s in starts]
-    xs = [tokens[d][s : s + width] for d, s in pieces]
+        pieces += [(d, s) for s in sorted(starts)]
+    xs = [[words[t] for t in tokens[d][s : s + width]] for d, s in pieces]
     lengths = np.array([len(x) for x in xs])
     y = np.concatenate([labelled[d][s : s + width] for d, s in pieces]) if pieces else np.zeros(0, bool)
+    del tokens, words, labelled
     names: dict[str, int] = {}
     counts = Counter(f for x in xs for t in x for f in features(t))
     rows, cols = [], []
@@ -237,7 +247,7 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 200_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 200_000) -> Model:
     """Fits on at most per_class training documents of each label, the first by a hash of doc_id, none of them held out.
 
     The sample goes to the driver: 2 x per_class texts of at most `longest` characters, whatever the size of the tables.
