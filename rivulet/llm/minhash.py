@@ -7,8 +7,10 @@ Documents with equal shingle sets form a class, and classes stand for their docu
 2. Pruning: signatures are compared 32 minima at a time. After m agreements of n the posterior of the similarity under a flat
    prior is Beta(m + 1, n - m + 1); the pair is dropped once its chance to reach the threshold falls under `miss`.
 3. Survivors are verified exactly on the full sets, and confirmed links are merged into components.
-4. Only buckets that still hold several components go on: each member is compared with all members of other components,
-   in bounded blocks; its best survivors (by agreement) are verified first, then, after another merge, all the rest.
+4. Only buckets that still hold several components go on: each member outside a bucket's largest component is compared with all
+   members of other components, in bounded blocks. Its best survivors (by agreement) are verified first; after another merge
+   more of those that still lie between components, and at last all of them. A pair that shares several bands is proposed
+   in the first of them only.
 
 So every surviving candidate is either verified or lies within a component already: no link is lost to a cap, and the work
 within a group of near copies stays about linear. Components follow in components.py; nothing is collected to the driver.
@@ -105,7 +107,7 @@ def _matrix(column: pd.Series, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(-1, n)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, miss: float = 1e-6, block: int = 4096, first: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, miss: float = 1e-4, block: int = 4096, rounds: tuple = (2, 16)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: links where 100 * intersection >= percent * union of k-word shingles."""
     small_batches(docs.sparkSession)
     n, threshold = bands * rows, percent / 100
@@ -122,7 +124,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = durable(known.where("mark is not null and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (2 * rows) + 1, F.lit(2 * rows))))
-    banded = classes.select("node", F.explode(keys).alias("bucket"))
+    banded = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root != last").drop("last")
     members = durable(banded.join(shared, "bucket"))
     nodes = members.select("node").distinct()
@@ -139,17 +141,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                 left, _ = survivors(_matrix(batch["sa"], n), _matrix(batch["sb"], n), least)
                 yield batch.iloc[left][["a", "b"]]
 
-    links = durable(verified(sides.mapInPandas(prune, "a long, b long"), texts, k, percent))
-    found = components(links)
+    found = components(verified(sides.mapInPandas(prune, "a long, b long"), texts, k, percent))
 
-    for lo, hi in ((0, first), (first, None)):
-        placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "node", F.coalesce("c", "node").alias("component"))
+    for most in (*rounds, None):
+        placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "band", "node", F.coalesce("c", "node").alias("component"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        dealt = blocks(placed.join(mixed, "bucket"), "bucket", "node", block).join(signed, "node")
-        proposed = durable(dealt.groupBy("bucket", "i", "j").applyInPandas(_rivals(n, least, lo, hi), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
-        links = durable(links.union(verified(proposed.where("a is not null").select("a", "b"), texts, k, percent)).distinct())
-        found = components(links)
-        if hi is not None and proposed.where("more").isEmpty():
+        dealt = blocks(placed.join(mixed, "bucket"), "bucket", "node", block).join(signed, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+        proposed = durable(dealt.mapInPandas(_rivals(bands, rows, least, most), "a long, b long, more boolean").distinct())
+        fresh = verified(proposed.where("a is not null").select("a", "b"), texts, k, percent)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh))
+        if most is not None and proposed.where("more").isEmpty():
             break
 
     placed = classes.select("mark", "node").join(found.withColumnRenamed("component", "c"), "node", "left").select("mark", F.coalesce("c", "node").alias("c"))
@@ -167,37 +168,89 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
 
 
-def _rivals(n: int, least: tuple[int, ...], lo: int, hi: int | None):
-    """Within a pair of blocks: for each member its survivors of other components, ranked by agreement, from lo to hi.
+def _rivals(bands: int, rows: int, least: tuple[int, ...], most: int | None, small: int = 128, step: int = 20_000):
+    """Over rows sorted by group (bucket, i, j): pairs a < b of different components that outlast the pruning, at most `most`
+    of each member outside the group's largest component, by agreement. A row with more = true says that some were left out."""
+    n = bands * rows
+
+    def search(table: pd.DataFrame):
+        node, part, block, bucket, band, i, j = (table[c].to_numpy() for c in ("node", "component", "block", "bucket", "band", "i", "j"))
+        sig = _matrix(table["signature"], n)
+        change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        starts = np.concatenate([[0], change])
+        sizes = np.diff(np.concatenate([starts, [len(node)]]))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        # The largest component of each group: its members need no search of their own.
+        order = np.lexsort((part, group))
+        new = np.flatnonzero(np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (part[order][1:] != part[order][:-1])]))
+        count = np.diff(np.concatenate([new, [len(order)]]))
+        best = np.lexsort((-part[order][new], count, group[order][new]))
+        last = np.flatnonzero(np.concatenate([group[order][new][best][1:] != group[order][new][best][:-1], [True]]))
+        largest = part[order][new][best][last][group] == part
+
+        def kept(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Owner, other and agreement of the pairs that survive and meet here first."""
+            able = (part[u] != part[v]) & ((i[u] == j[u]) | (block[u] != block[v]))
+            u, v = u[able], v[able]
+            left, agree = survivors(sig[u], sig[v], least)
+            u, v = u[left], v[left]
+            shared = (sig[u].reshape(-1, bands, rows) == sig[v].reshape(-1, bands, rows)).all(2)
+            here = band[u]
+            first = shared.argmax(1) == here
+            u, v, agree = u[first], v[first], agree[first]
+            swap = largest[u]
+            return np.where(swap, v, u), np.where(swap, u, v), agree
+
+        found = []
+        place = np.flatnonzero(np.repeat(sizes <= small, sizes))
+        u, v = _pairs(sizes[sizes <= small])
+        for k in range(0, len(u), step):
+            found.append(kept(place[u[k : k + step]], place[v[k : k + step]]))
+        for s, m in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+            own = s + np.flatnonzero(~largest[s : s + m])
+            wide = max(1, step // m)
+            for k in range(0, len(own), wide):
+                x = np.repeat(own[k : k + wide], m)
+                y = np.tile(np.arange(s, s + m), len(own[k : k + wide]))
+                once = largest[y] | (y > x)
+                found.append(kept(x[once], y[once]))
+        if not found:
+            return
+        a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((node[b], -agree, a))
+        a, b = a[order], b[order]
+        begin = np.searchsorted(a, a)
+        near = np.arange(len(a)) - begin < (most if most is not None else len(a))
+        out = pd.DataFrame({"a": np.minimum(node[a], node[b])[near], "b": np.maximum(node[a], node[b])[near]}).astype("Int64")
+        out["more"] = False
+        yield out
+        if not near.all():
+            yield pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "more": [True]})
 
-    more says that some member has survivors beyond hi.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", kind="stable")
-        node, part, block = (group[c].to_numpy() for c in ("node", "component", "block"))
-        sig = _matrix(group["signature"], n)
-        out, more = [], False
-        one = group["i"].iloc[0] == group["j"].iloc[0]
-        # Members of the largest component need no search of their own: the others look for them.
-        values, counts = np.unique(part, return_counts=True)
-        largest = values[counts.argmax()]
-        for u in np.flatnonzero(part != largest):
-            rivals = np.flatnonzero((part != part[u]) & ((part == largest) | (node > node[u])) & (True if one else block != block[u]))
-            if len(rivals):
-                left, agree = survivors(sig[u : u + 1], sig[rivals], least)
-                order = rivals[left[np.argsort(-agree, kind="stable")]]
-                more |= hi is not None and len(order) > hi
-                out += [(min(node[u], node[v]), max(node[u], node[v])) for v in order[lo:hi]]
-        frame = pd.DataFrame(out, columns=["a", "b"]).astype("Int64")
-        frame["more"] = False
-        if more:
-            frame = pd.concat([frame, pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "more": [True]})])
-        return frame
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = held[["bucket", "i", "j"]].to_numpy()
+            last = np.flatnonzero((key[1:] != key[:-1]).any(1))
+            if len(last):
+                done, held = held.iloc[: last[-1] + 1], held.iloc[last[-1] + 1 :].reset_index(drop=True)
+                yield from search(done)
+        if held is not None and len(held):
+            yield from search(held)
 
     return run
 
 
+def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows u < v within groups of these sizes that follow each other."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    row = np.arange(len(ends))
+    after = ends - row - 1
+    u = np.repeat(row, after)
+    return u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(after) - after, after)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: int = 16) -> DataFrame:
     """The pairs a, b whose full sets reach the threshold. Texts of b go to a's text, which is sent to at most `salts` places."""
     salted = pairs.select("a", "b", F.expr(f"pmod(xxhash64(b), {salts})").cast("int").alias("salt"))
