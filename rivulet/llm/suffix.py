@@ -6,6 +6,8 @@ those that can have a twin are sorted:
 1. Anchors. Each window of `length` bytes names the leftmost of its smallest 24-byte strings (by hash) as its anchor. Equal
    windows have equal anchors at equal offsets, so an anchor's 24 bytes are the leading part of a suffix bucket. An anchor
    with its windows spans a context; one anchor is chosen about every 89 bytes.
+   Periodic text makes every place an anchor, but few contexts are distinct: a document sends each distinct one once, with
+   whether it holds it again (then all its windows repeat).
 2. Bucket sizes. Anchors are counted by map-side combined aggregation. A bucket of one is dropped: its windows are unique. In
    a bucket of equal contexts every window repeats, so it needs no sorting; that is what copies and shared passages mostly are.
 3. Sorting. The contexts of the other buckets are sorted bucket by bucket in bounded blocks. A difference cover modulo 7
@@ -108,6 +110,21 @@ def anchors(texts: list[bytes], length: int, limit: int = 1 << 21):
         k = j
 
 
+def contexts_of(roll: Rolling, owner, place, first, last, length: int):
+    """Of each anchor: its 24 bytes' hash, its context's hash, whether it is the first of its text with that context, and
+    whether the text holds the context again."""
+    gram = roll(place, GRAM)
+    with np.errstate(over="ignore"):
+        context = roll(first, last - first + length) + ((place - first) * 512 + (last - first)).astype(np.uint64) * np.uint64(BASES[1])
+        key = (gram * np.uint64(BASES[0])) ^ context
+    order = np.lexsort((key, owner))
+    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])]) if len(order) else np.zeros(0, bool)
+    run = np.cumsum(new) - 1
+    fresh, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    fresh[order], again[order] = new, np.bincount(run)[run] > 1 if len(order) else new
+    return gram, context, fresh, again
+
+
 def twins(data: np.ndarray, bucket: np.ndarray, offset: np.ndarray, window: np.ndarray, length: int) -> np.ndarray:
     """Which windows (starts in data) have an equal one in their bucket at the same offset from the anchor."""
     roll = Rolling(data)
@@ -156,13 +173,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, large: int = 20_000, with
         for batch in batches:
             row, texts = batch["row"].to_numpy(), [x.encode() for x in batch["text"]]
             for k, _, _, _, roll, owner, place, first, last in anchors(texts, length):
-                with np.errstate(over="ignore"):
-                    context = roll(first, last - first + length) + ((place - first) * 512 + (last - first)).astype(np.uint64) * np.uint64(BASES[1])
-                start = np.searchsorted(owner, owner)
-                yield pd.DataFrame({"gram": roll(place, GRAM).view(np.int64), "context": context.view(np.int64), "row": row[k + owner], "q": (np.arange(len(owner)) - start).astype(np.int32)})
+                gram, context, fresh, again = contexts_of(roll, owner, place, first, last, length)
+                q = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                yield pd.DataFrame({"gram": gram.view(np.int64), "context": context.view(np.int64), "row": row[k + owner], "q": q.astype(np.int32), "n": 1 + again.astype(np.int32)})[fresh]
 
-    found = rows.select("row", "text").mapInPandas(find, "gram long, context long, row long, q int")
-    sizes = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1")
+    found = rows.select("row", "text").mapInPandas(find, "gram long, context long, row long, q int, n int")
+    sizes = found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1")
     marks = found.select("gram", "row", "q").join(sizes.select("gram", F.expr("if(x = y, 0, if(n > {}, 2, 1))".format(large)).alias("how")), "gram")
     marks = marks.groupBy("row").agg(F.collect_set(F.struct("q", "how")).alias("marks"))
 
@@ -180,8 +196,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, large: int = 20_000, with
         return {"kind": 0, "doc_id": doc, "n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None}
 
     def frame(out: list[dict]) -> pd.DataFrame:
-        f = pd.DataFrame(out, columns=columns)
-        for c, kind in (("row", "Int64"), ("n_bytes", "Int64"), ("n_removed", "Int64"), ("n_spans", "Int64"), ("gram", "Int64"), ("q", "Int32"), ("offset", "Int32")):
+        # Columns of objects, as a column without any value would else become one of floats.
+        f = pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype=object) for c in columns})
+        for c, kind in (("kind", "int32"), ("row", "Int64"), ("n_bytes", "Int64"), ("n_removed", "Int64"), ("n_spans", "Int64"), ("gram", "Int64"), ("q", "Int32"), ("offset", "Int32")):
             f[c] = f[c].astype(kind)
         return f
 
@@ -194,9 +211,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, large: int = 20_000, with
             out += [settled(docs_[i], texts[i], np.zeros(0, np.int64)) for i in range(len(texts)) if marked[i] is None or not len(marked[i])]
             for k, n, data, starts, roll, owner, place, first, last in anchors([texts[i] for i in chosen], length):
                 bounds = np.searchsorted(owner, np.arange(n + 1))
+                gram, _, _, again = contexts_of(roll, owner, place, first, last, length)
                 for t in range(n):
                     i, low = chosen[k + t], bounds[t]
                     whole = np.zeros(max(0, len(texts[i]) - length + 1), bool)
+                    for a in low + np.flatnonzero(again[low : bounds[t + 1]]):
+                        whole[first[a] - starts[t] : last[a] - starts[t] + 1] = True
                     mixed = 0
                     for m in marked[i]:
                         a = low + m["q"]
@@ -204,7 +224,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, large: int = 20_000, with
                             whole[first[a] - starts[t] : last[a] - starts[t] + 1] = True
                         else:
                             mixed += 1
-                            out.append({"kind": m["how"], "row": row[i], "gram": int(roll(place[a : a + 1], GRAM).view(np.int64)[0]), "q": m["q"], "offset": int(place[a] - first[a]), "data": data[first[a] : last[a] + length].tobytes()})
+                            out.append({"kind": m["how"], "row": row[i], "gram": int(gram.view(np.int64)[a]), "q": m["q"], "offset": int(place[a] - first[a]), "data": data[first[a] : last[a] + length].tobytes()})
+                    if len(out) >= 20_000:  # bounds what is built at once
+                        yield frame(out)
+                        out = []
                     if mixed:
                         out.append({"kind": 3, "doc_id": docs_[i], "row": row[i], "data": texts[i], "full": np.packbits(whole).tobytes()})
                     else:
