@@ -15,14 +15,14 @@ rows that share a doc_id count as one document; repeated rows get equal results;
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import long_id, small_batches, text_id
+from rivulet.llm.common import durable, long_id, small_batches, text_id
 
 #: Ends of pieces: sentence marks before white space, line ends, and words of 10 or more letters before white space.
 END = re.compile(r"[.!?][^\w\s]*\s+|\n\s*|\w{10,}[^\w\s]*\s+")
@@ -44,7 +44,7 @@ def runs(text: str, least: int, chars: int) -> tuple[np.ndarray, np.ndarray, np.
         return empty, empty, empty, ends
     bounds = [0, *ends.tolist()]
     low = [text[a:b].strip().lower() for a, b in zip(bounds, bounds[1:], strict=False)]
-    h = np.array([int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for x in low], np.uint64)
+    h = np.array([xxhash.xxh3_64_intdigest(x) for x in low], np.uint64)
     size = np.concatenate([[0], np.cumsum([len(x) for x in low])])
     first = np.arange(len(h))
     last = np.maximum(first + least, np.searchsorted(size, size[:-1] + chars))
@@ -75,7 +75,8 @@ def remove_repeats(docs: DataFrame, least: int = 2, chars: int = 60) -> DataFram
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    spans = long_id(rows.where("doc_id is not null").select(text_id(), "row", "text").mapInPandas(hashed, "hash long, doc_id string, row long, first int, last int"))
+    # Written once, as both the first documents and the hits are found from it.
+    spans = durable(long_id(rows.where("doc_id is not null").select(text_id(), "row", "text").mapInPandas(hashed, "hash long, doc_id string, row long, first int, last int")))
     origin = spans.groupBy("hash").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("other")).where("origin < other").select("hash", "origin")
     hits = spans.join(origin, "hash").where("doc_id > origin").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
 
