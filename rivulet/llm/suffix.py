@@ -166,6 +166,8 @@ def twins(data: np.ndarray, bucket: np.ndarray, offset: np.ndarray, window: np.n
 
 def remove_repeats(docs: DataFrame, length: int = 200, large: int = 20_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for every row."""
+    if length < GRAM + PERIOD:
+        raise ValueError(f"length must be {GRAM + PERIOD} or more")
     small_batches(docs.sparkSession)
     rows = docs.select(text_id(), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
 

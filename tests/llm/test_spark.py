@@ -219,6 +219,13 @@ def test_suffix_by_brute_force(spark, docs, large):
     assert suffix.remove_repeats(df.where("false"), length).count() == 0
 
 
+def test_suffix_without_any_context(spark):
+    df = spark.createDataFrame([(1, "nothing repeats here, however long the text may go on"), (2, "x")], "doc_id long, text string").coalesce(1)
+    assert [r.n_removed for r in suffix.remove_repeats(df, 40).collect()] == [0, 0]
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(df, 10)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as p
 
