@@ -4,7 +4,8 @@ A text is cut after sentence ends and line ends. Between these it is cut after w
 of every 9 words in a row; two characters of a script without spaces count as a word), so cuts depend on at most 8 words to
 either side and no piece has more than 9 words: of 50 words in a row that two texts share, at least 17 words in two or more
 whole pieces are cut alike, wherever they stand.
-A run starts at each piece and takes at least `least` pieces and `chars` characters. Runs are compared in lower case without surrounding white space, by 64-bit hashes. The first
+A run starts or ends at each piece and takes at least `least` pieces and `chars` characters; a text that is too short for
+one is a run as a whole. Runs are compared in lower case without surrounding white space, by 64-bit hashes. The first
 document of a run is the one with the smallest doc_id; in every other one the run's pieces are removed, and within a document
 every later copy of a run is removed.
 
@@ -123,8 +124,12 @@ def runs(text: str, least: int, chars: int) -> tuple[np.ndarray, np.ndarray, np.
     # White space counts within a piece, not around it.
     size = np.concatenate([[0], np.cumsum(bare[cut[1:] - 1] - start[cut[:-1]])])
     at = np.arange(n + 1)
-    last = np.maximum(at + least, np.searchsorted(size, size + chars))
-    first, last = at[last <= n], last[last <= n]
+    # The shortest run from each piece on, and the shortest one up to each piece.
+    last, first = np.maximum(at + least, np.searchsorted(size, size + chars)), np.minimum(at - least, np.searchsorted(size, size - chars, "right") - 1)
+    pairs = np.sort(np.concatenate([(at * (n + 1) + last)[last <= n], (first * (n + 1) + at)[(first >= 0) & (last[first] != at)]]))
+    first, last = pairs // (n + 1), pairs % (n + 1)
+    if not len(pairs):
+        first, last = np.array([0]), np.array([n])
     return _spans(h, cut[first], cut[last]).view(np.int64), first, last, end[chosen]
 
 

@@ -33,3 +33,19 @@ def test_every_passage_of_50_words_holds_runs(data):
     assert covered(kana[100:250], kana, "前置文章", "後続文章") > 0.5
 
 
+def test_runs_reach_both_ends_of_a_text():
+    text = "A first sentence stands here and is long enough for a run of its own. Then comes another one of some length to follow it. Short end. Bye."
+    _, first, last, ends = substring.runs(text, 2, 60)
+    assert set(range(len(ends))) == {k for a, b in zip(first, last, strict=True) for k in range(a, b)}
+    assert len(substring.runs("Too short. Ok.", 2, 60)[0]) == len(substring.runs("one", 2, 60)[0]) == 1
+
+
+def test_later_copies_lose_all(spark):
+    long = " ".join(f"word{k * k % 97} is told in sentence {k}." for k in range(12))
+    texts = [long + " Short end. Bye.", "Too short. Ok.", "x" * 70, "one"]
+    df = spark.createDataFrame([(10 * c + k, t) for c in range(3) for k, t in enumerate(texts)] + [(50, "Before it. " + texts[0] + " And after it.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring.remove_repeats(df).collect()}
+    assert [got[k] for k in range(4)] == texts and [got[10 * c + k] for c in (1, 2) for k in range(4)] == [""] * 8
+    assert got[50] == "Before it. And after it."
+
+
