@@ -8,6 +8,7 @@ most the tasks of one stage.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,20 @@ from rivulet.llm import minhash, mixing, packing, pii, toxicity
 from rivulet.llm.common import durable, read
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """The rows of a table of files in the order of its files' numbers and of the rows within, partition by partition.
+
+    A scan deals out files by size. Other DataFrames have no files and keep the order that they have.
+    """
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long")
+    try:
+        placed = docs.select(F.struct("*").alias("doc"), number.alias("number"), name.alias("name"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return docs
+    return placed.repartitionByRange("number", "name", "at").sortWithinPartitions("number", "name", "at").select("doc.*")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 by the conditional random field stay."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -38,8 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens, in the order of the rows."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+    """Pieces of sequences of at most 2048 tokens, numbered in the order of the files and their rows."""
+    return packing.pack(in_file_order(docs), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 STAGES = [

@@ -5,7 +5,7 @@ import random
 import duckdb
 import numpy as np
 
-from rivulet.llm import substring
+from rivulet.llm import mixing, substring
 
 
 def covered(passage, other, before, after):
@@ -49,3 +49,25 @@ def test_later_copies_lose_all(spark):
     assert got[50] == "Before it. And after it."
 
 
+def test_sequences_follow_the_schedule(spark):
+    import corpus_pipeline as p
+
+    ids = spark.createDataFrame([(k, "aab"[k % 3]) for k in range(3000)], "doc_id long, source string")
+    order = [r.doc_id for r in mixing.mix(ids).select("doc.doc_id", "slot", "offset").orderBy("slot", "offset").collect()]
+    rows = [(k, "aab"[k % 3], " ".join(str(k + j) for j in range(2 + order.index(k) // 30))) for k in range(3000)]
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        mixed = p.durable(p.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, source string, text string"), ""))
+        sizes = [len(open(f.removeprefix("file:"), "rb").read()) for f in mixed.inputFiles()]
+        assert len(sizes) > 8 and max(sizes) > 3 * min(sizes)
+        part = {r.doc_id: r.sequence_id >> 33 for r in p.pack_sequences(spark, mixed, "").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = [part[k] for k in order]
+    assert len(parts) == 3000 and len(set(parts)) > 8 and parts == sorted(parts)
+
+
