@@ -8,24 +8,62 @@ t n / q blocks, give or take less than one. Windows of blocks end with the perio
 When a source has no blocks left its slots stay empty: slots then have gaps, and the order among the other sources is kept.
 No row is dropped or repeated.
 
+Without a period n and q are the weights and their sum themselves, so the bound holds for the weights however long the table is.
+With one, weights are rounded to slots of that period, at least one each: then the bound holds for the rounded weights only,
+and the deviation from the weights grows with t.
+
 Scale: ranks come from two levels (rows of a source and hash prefix, then counts of the prefixes), so a source with a third
-of all rows is spread over all tasks. The period's schedule is one row of q picks, whatever the size of the data.
+of all rows is spread over all tasks. The period's schedule is one row of q picks, each of which looks at every source: q is the
+period, or else the sum of the weights (without given ones the sum of the square roots of the sources' sizes).
 
 Defined cases: a null source is a source of its own; null doc_ids come first in their source; equal doc_ids are ordered by
-the hash of the row, and equal rows are interchangeable; a source without a weight gets one slot; an empty table gives none.
+the hash of the row, and equal rows are interchangeable; a source without a weight gets one slot of the
+period, or without a period a thousandth of what the others have together; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def slots_by_source(counts: DataFrame, period: int, weights: dict[str, float] | None) -> DataFrame:
-    """key, n (slots in a period) and q (their sum): largest remainders of the weights, at least one slot each.
+#: The most slots that given weights may need without a period; finer ones are refused, not rounded.
+LONGEST = 1_000_000
+
+
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The smallest whole numbers in exactly these proportions; 1 / 3 as a float is a third."""
+    exact = {k: near if float(near := Fraction(v).limit_denominator(1_000_000)) == float(v) else Fraction(v) for k, v in weights.items()}
+    if any(v < 0 for v in exact.values()):
+        raise ValueError("a weight is negative")
+    unit = math.lcm(*[v.denominator for v in exact.values()])
+    whole = {k: int(v * unit) for k, v in exact.items()}
+    common = math.gcd(*whole.values()) or 1
+    whole = {k: v // common for k, v in whole.items()}
+    if sum(whole.values()) > LONGEST:
+        raise ValueError(f"these weights repeat after {sum(whole.values())} slots only; give coarser ones or a period")
+    return whole
+
+
+def slots_by_source(counts: DataFrame, period: int | None, weights: dict[str, float] | None) -> DataFrame:
+    """key, n (slots in a period) and q (their sum): the weights, or with a period their largest remainders, at least one slot each.
 
     counts: key, rows. Without weights a source weighs the whole square root of its number of rows.
     """
+    if period is None:
+        if weights is None:
+            n = counts.select("key", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("rows").cast("double")))).cast("long").alias("n"))
+        else:
+            whole = whole_weights(weights)
+            given = counts.select("key", F.nullif(_lookup({f"s{k}": v for k, v in whole.items()}), F.lit(0)).cast("long").alias("w"))
+            # Only where a source has no weight are the others' counted in thousandths.
+            every = Window.partitionBy(F.lit(1))
+            lacking, sum_ = F.max(F.col("w").isNull()).over(every), F.coalesce(F.sum("w").over(every), F.lit(1))
+            n = given.select("key", F.when(lacking, F.coalesce(F.col("w") * 1000, sum_)).otherwise(F.col("w")).alias("n"))
+        return n.select("key", "n", F.sum("n").over(Window.partitionBy(F.lit(1))).alias("q"))
     if weights is None:
         weight = F.floor(F.sqrt(F.col("rows").cast("double"))).cast("long")
     else:
@@ -57,17 +95,21 @@ def schedule(slots: DataFrame) -> DataFrame:
         pick = F.array_min(ready)["k"]
         return F.struct(F.transform(acc["given"], lambda g, k: g + F.when(k == pick, 1).otherwise(0)).alias("given"), F.concat(acc["picks"], F.array(pick)).alias("picks"))
 
-    start = F.struct(F.transform("s", lambda s: F.lit(0)).alias("given"), F.array().cast("array<int>").alias("picks"))
-    picks = F.aggregate(F.sequence(F.lit(0), (F.col("q") - 1).cast("int")), start, step)["picks"]
+    none = F.array().cast("array<int>")
+    # In runs of 256 slots, so that a long list of picks is not copied for each of them.
+    part = lambda acc, a: F.aggregate(F.sequence(a, F.least(a + 255, (F.col("q") - 1).cast("int"))), F.struct(acc["given"].alias("given"), none.alias("picks")), step)
+    whole = lambda acc, a: F.transform(F.array(part(acc, a)), lambda x: F.struct(x["given"].alias("given"), F.concat(acc["picks"], F.array(x["picks"])).alias("picks")))[0]
+    start = F.struct(F.transform("s", lambda s: F.lit(0)).alias("given"), F.array().cast("array<array<int>>").alias("picks"))
+    picks = F.flatten(F.aggregate(F.sequence(F.lit(0), (F.col("q") - 1).cast("int"), F.lit(256)), start, whole)["picks"])
     rows = one.where("q > 0").withColumn("picks", picks).select("q", "picks", F.posexplode("s").alias("k", "x"))
     mine = F.filter(F.transform("picks", lambda p, t: F.when(p == F.col("k"), t)), lambda t: t.isNotNull())
     return rows.select(F.col("x")["key"].alias("key"), F.col("x")["n"].alias("n"), "q", mine.alias("slots"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, period: int = 1000, prefix: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 32, period: int | None = None, prefix: int = 3) -> DataFrame:
     """doc (all columns of the row, as a struct), block, slot and offset within the block, for every row.
 
-    weights: by source, relative; prefix: hex digits of the hash that split a source's rows for ranking.
+    weights: by source, relative; period: slots to which weights are rounded, None for exact weights; prefix: hex digits of the hash that split a source's rows for ranking.
     """
     row = F.struct("*").alias("doc")
     key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
@@ -79,7 +121,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranked.join(counts.select("key", "part", before.alias("before")), ["key", "part"])
     plan = schedule(slots_by_source(counts.groupBy("key").agg(F.sum("rows").alias("rows")), period, weights))
-    # The plan has a row for each source and q slots in all, so its size is bounded by the number of sources and the period.
+    # The plan has a row for each source and q slots in all, so its size is bounded by the number of sources and the period or weights.
     placed = placed.join(F.broadcast(plan), "key").withColumn("rank", F.col("before") + F.col("rank")).withColumn("block", F.expr(f"rank div {block_rows}"))
     slot = F.expr("(block div n) * q") + F.get("slots", (F.col("block") % F.col("n")).cast("int"))
     return placed.select("doc", "block", slot.cast("long").alias("slot"), (F.col("rank") % block_rows).cast("long").alias("offset"))

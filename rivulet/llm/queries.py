@@ -35,7 +35,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "source"))
+    # The query's SQL rounds weights to a period of 1,000 slots.
+    mixed = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "source"), period=1000)
     return mixed.select("doc.doc_id", "doc.source", "block", "slot", "offset")
 
 

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 
 from rivulet.llm import mixing, substring
 
@@ -68,6 +69,27 @@ def test_sequences_follow_the_schedule(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     parts = [part[k] for k in order]
+    assert p.in_file_order(ids).count() == 3000
     assert len(parts) == 3000 and len(set(parts)) > 8 and parts == sorted(parts)
 
 
+def test_mixing_weights_are_exact(spark):
+    rows = [(k, "abc"[k % 3]) for k in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    for weights in ({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 3 / 7, "b": 2 / 7, "c": 2 / 7}):
+        slots = {r.slot: r.source for r in mixing.mix(df, weights, block_rows=1).select("doc.source", "slot").collect()}
+        given, total = dict.fromkeys("abc", 0), sum(weights.values())
+        for t in range(7000):
+            given[slots[t]] += 1
+            assert all(abs(given[s] - (t + 1) * w / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_mixing_many_sources_keep_their_weights(spark):
+    counts = spark.createDataFrame([(f"s{k}", 100) for k in range(2000)], "key string, rows long")
+    weights = {str(k): 1 for k in range(1, 2000)} | {"0": 20}
+    got = {r.key: r.n / r.q for r in mixing.slots_by_source(counts, None, weights).collect()}
+    assert abs(got["s0"] - 20 / 2019) < 1e-12
+    lacking = {r.key: r.n / r.q for r in mixing.slots_by_source(counts.limit(2), None, {"0": 0.25}).collect()}
+    assert sorted(round(x, 6) for x in lacking.values()) == [round(1 / 1001, 6), round(1000 / 1001, 6)]
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 0.1234567891, "b": 1})
