@@ -1,7 +1,7 @@
 """ISO media containers: a writer for byte payloads and a reader of codec, duration and keyframe byte ranges.
 
 The reader walks nested boxes (32-bit, 64-bit and to-the-end sizes), decodes the sample tables stts, stsz, stsc, stco/co64
-and stss, and never decodes payloads. Broken containers give a null codec and an error text, never a failed task.
+and stss of each track and the runs of fragments (tfhd, trun and their defaults in trex), and never decodes payloads. Broken containers give a null codec and an error text, never a failed task.
 """
 
 from __future__ import annotations
@@ -105,27 +105,98 @@ def sample_ranges(t: dict[bytes, memoryview]) -> tuple[np.ndarray, np.ndarray]:
     return chunks[chunk] + before - base[chunk], sizes
 
 
+def fragment_samples(data: memoryview, moof: tuple[int, list], defaults: dict[int, tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Track, first bytes, sizes, durations and sync marks of each run (trun) of a moof: its first byte and its traf boxes."""
+    begin, trafs = moof
+    done = begin
+    for traf in trafs:
+        head = next(body for kind, body in traf if kind == b"tfhd")
+        flags, track = struct.unpack_from(">II", head)
+        at, base = 8, begin if flags & 0x20000 else done
+        if flags & 1:
+            base, at = struct.unpack_from(">Q", head, at)[0], at + 8
+        at += 4 if flags & 2 else 0
+        usual = list(defaults.get(track, (0, 0, 0)))
+        for k, bit in enumerate((8, 0x10, 0x20)):
+            if flags & bit:
+                usual[k], at = struct.unpack_from(">I", head, at)[0], at + 4
+        done = base
+        for body in [body for kind, body in traf if kind == b"trun"]:
+            flags, n = struct.unpack_from(">II", body)
+            flags, at = flags & 0xFFFFFF, 8
+            if flags & 1:
+                done, at = base + struct.unpack_from(">i", body, at)[0], at + 4
+            first = None
+            if flags & 4:
+                first, at = struct.unpack_from(">I", body, at)[0], at + 4
+            bits = [x for x in (0x100, 0x200, 0x400, 0x800) if flags & x]
+            if at + 4 * n * len(bits) > len(body):
+                raise ValueError("a run of samples is cut off")
+            if n > len(data):
+                raise ValueError("more samples than bytes")
+            table = np.frombuffer(body, ">u4", n * len(bits), at).astype(np.int64).reshape(n, len(bits))
+            long, size, mark = (table[:, bits.index(x)] if x in bits else np.full(n, usual[k], np.int64) for k, x in enumerate((0x100, 0x200, 0x400)))
+            if first is not None and n:
+                mark = mark.copy()
+                mark[0] = first
+            yield track, done + np.cumsum(size) - size, size, long, mark & 0x10000 == 0
+            done += int(size.sum())
+
+
+def read_track(t: dict[bytes, memoryview], more: list[tuple], end: int) -> dict:
+    """One track from its boxes and its fragments' runs."""
+    runs = np.frombuffer(t[b"stts"], ">u4", 2 * struct.unpack_from(">I", t[b"stts"], 4)[0], 8).astype(np.int64).reshape(-1, 2)
+    at, sizes = sample_ranges(t)
+    keys = np.arange(len(at))
+    if b"stss" in t:
+        keys = np.frombuffer(t[b"stss"], ">u4", struct.unpack_from(">I", t[b"stss"], 4)[0], 8).astype(np.int64) - 1
+    duration = int((runs[:, 0] * runs[:, 1]).sum())
+    for first, size, long, sync in more:
+        keys = np.concatenate([keys, len(at) + np.flatnonzero(sync)])
+        at, sizes, duration = np.concatenate([at, first]), np.concatenate([sizes, size]), duration + int(long.sum())
+    if len(at) and ((at + sizes).max() > end or at.min() < 0):
+        raise ValueError("a sample lies beyond the end")
+    return {
+        "codec": bytes(t[b"stsd"][12:16]).decode("latin-1"), "timescale": struct.unpack_from(">I", t[b"mdhd"], 20 if t[b"mdhd"][0] == 1 else 12)[0], "duration": duration,
+        "n_samples": len(at), "key_offsets": at[keys].tolist(), "key_sizes": sizes[keys].tolist(), "offsets": at, "sizes": sizes,
+    }
+
+
 def inspect(data: bytes) -> dict:
-    """Codec, time scale, duration, samples and keyframe byte ranges of the first track; error instead if it is broken."""
-    out = {"codec": None, "timescale": None, "duration": None, "n_samples": None, "key_offsets": [], "key_sizes": [], "error": None}
+    """Codec, time scale, duration, samples and keyframe byte ranges of every track (tracks, in the order of the file) and
+    of the first one; error instead if the container is broken."""
+    out = {"codec": None, "timescale": None, "duration": None, "n_samples": None, "key_offsets": [], "key_sizes": [], "tracks": [], "error": None}
     try:
-        view, t = memoryview(data), {}
+        view, traks, moofs, defaults = memoryview(data), [], [], {}
         for path, a, b in boxes(view, 0, len(data)):
-            if path.count(b"trak") and (path[-1] == b"stsd" or len(path) > 1 and path[-2] in (b"stbl", b"mdia")):
-                t.setdefault(path[-1], view[a:b])
-        runs = np.frombuffer(t[b"stts"], ">u4", 2 * struct.unpack_from(">I", t[b"stts"], 4)[0], 8).astype(np.int64).reshape(-1, 2)
-        at, sizes = sample_ranges(t)
-        keys = np.arange(len(at))
-        if b"stss" in t:
-            keys = np.frombuffer(t[b"stss"], ">u4", struct.unpack_from(">I", t[b"stss"], 4)[0], 8).astype(np.int64) - 1
-        if len(at) and (at + sizes).max() > len(data):
-            raise ValueError("a sample lies beyond the end")
-        wide = t[b"mdhd"][0] == 1
-        return out | {
-            "codec": bytes(t[b"stsd"][12:16]).decode("latin-1"), "timescale": struct.unpack_from(">I", t[b"mdhd"], 20 if wide else 12)[0], "duration": int((runs[:, 0] * runs[:, 1]).sum()),
-            "n_samples": len(at), "key_offsets": at[keys].tolist(), "key_sizes": sizes[keys].tolist(), "offsets": at, "sizes": sizes,
-        }
-    except (KeyError, ValueError, IndexError, struct.error) as e:
+            if path[-1] == b"trak":
+                traks.append({})
+            elif b"trak" in path and (path[-1] in (b"stsd", b"tkhd") or path[-2] in (b"stbl", b"mdia")):
+                traks[-1].setdefault(path[-1], view[a:b])
+            elif path[-1] == b"trex":
+                track, _, *usual = struct.unpack_from(">5I", view[a:b], 4)
+                defaults[track] = tuple(usual)
+            elif path[-1] == b"moof":
+                moofs.append((a - (8 if view[a - 4 : a] == b"moof" else 16), []))
+            elif path[-1] == b"traf" and b"moof" in path:
+                moofs[-1][1].append([])
+            elif path[-2:-1] == (b"traf",) and b"moof" in path:
+                moofs[-1][1][-1].append((path[-1], view[a:b]))
+        if not traks:
+            raise ValueError("no track")
+        more = {}
+        for moof in moofs:
+            for track, *run in fragment_samples(view, moof, defaults):
+                more.setdefault(track, []).append(run)
+        tracks = []
+        for t in traks:
+            head = t.get(b"tkhd")
+            track = struct.unpack_from(">I", head, 20 if head[0] == 1 else 12)[0] if head is not None else None
+            tracks.append(read_track(t, more.pop(track, []), len(data)))
+        if more:
+            raise ValueError("fragments of an unknown track")
+        return out | tracks[0] | {"tracks": tracks}
+    except (KeyError, ValueError, IndexError, StopIteration, struct.error) as e:
         return out | {"error": str(e)[:200] or type(e).__name__}
 
 
@@ -135,7 +206,8 @@ def payload_of(data: bytes, info: dict) -> bytes:
 
 
 def media_columns(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    """Adds codec, timescale, duration, n_samples, keyframes (array of offset and size) and error for a binary column.
+    """Adds codec, timescale, duration, n_samples, keyframes (array of offset and size) of the first track, error, and tracks
+    (array of the same fields for every track) for a binary column.
 
     A null value gives nulls and the error 'no data'; rows and repeats are kept as they are.
     """
@@ -147,13 +219,15 @@ def media_columns(df: DataFrame, column: str, *keep: str) -> DataFrame:
             out = batch[list(keep)].copy()
             for name in ("codec", "timescale", "duration", "n_samples"):
                 out[name] = pd.Series([x[name] for x in found], dtype="object" if name == "codec" else "Int64", index=out.index)
-            out["keyframes"] = [[{"offset": a, "size": n} for a, n in zip(x["key_offsets"], x["key_sizes"], strict=True)] for x in found]
+            frames = lambda x: [{"offset": a, "size": n} for a, n in zip(x["key_offsets"], x["key_sizes"], strict=True)]
+            out["keyframes"] = [frames(x) for x in found]
             out["error"] = [x["error"] for x in found]
+            out["tracks"] = [[{k: t[k] for k in ("codec", "timescale", "duration", "n_samples")} | {"keyframes": frames(t)} for t in x["tracks"]] for x in found]
             yield out
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep]
     kept.sort(key=lambda x: keep.index(x.split("`")[1]))
-    return df.select(*keep, *([column] if column not in keep else [])).mapInPandas(run, ", ".join([*kept, "codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,size:long>>, error string"]))
+    return df.select(*keep, *([column] if column not in keep else [])).mapInPandas(run, ", ".join([*kept, "codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,size:long>>, error string", "tracks array<struct<codec:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<offset:long,size:long>>>>"]))
 
 
 def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:

@@ -1,12 +1,13 @@
 """The whole job: cases in which an operator once did a part of it."""
 
 import random
+import struct
 
 import duckdb
 import numpy as np
 import pytest
 
-from rivulet.llm import mixing, substring
+from rivulet.llm import media, mixing, substring
 
 
 def covered(passage, other, before, after):
@@ -93,3 +94,33 @@ def test_mixing_many_sources_keep_their_weights(spark):
     assert sorted(round(x, 6) for x in lacking.values()) == [round(1 / 1001, 6), round(1000 / 1001, 6)]
     with pytest.raises(ValueError):
         mixing.whole_weights({"a": 0.1234567891, "b": 1})
+
+
+def track(number, kind, scale, sizes, offset, sync):
+    n, table = len(sizes), lambda *x: struct.pack(f">{len(x)}I", *x)
+    marks = [] if sync is None else [media.full(b"stss", table(len(sync), *sync))]
+    stbl = media.box(
+        b"stbl", media.full(b"stsd", table(1), media.box(kind, bytes(8))), media.full(b"stts", table(1, n, 2) if n else table(0)), *marks,
+        media.full(b"stsc", table(1, 1, n, 1) if n else table(0)), media.full(b"stsz", table(0, n, *sizes)), media.full(b"stco", table(1, offset) if n else table(0)),
+    )
+    return media.box(b"trak", media.full(b"tkhd", table(0, 0, number)), media.box(b"mdia", media.full(b"mdhd", table(0, 0, scale, n)), media.box(b"minf", stbl)))
+
+
+def test_every_track_of_a_file(spark):
+    payload = media.box(b"mdat", bytes(range(100)))
+    data = payload + media.box(b"moov", track(1, b"mp4a", 48, [5, 6, 7], 8, None), track(2, b"avc1", 30, [20, 10, 30], 26, [1, 3]))
+    info = media.inspect(data)
+    assert info["error"] is None and [t["codec"] for t in info["tracks"]] == ["mp4a", "avc1"] and [t["timescale"] for t in info["tracks"]] == [48, 30]
+    assert [(t["key_offsets"], t["key_sizes"]) for t in info["tracks"]] == [([8, 13, 19], [5, 6, 7]), ([26, 56], [20, 30])]
+    shown = media.media_columns(spark.createDataFrame([(1, bytearray(data)), (2, None)], "id long, media binary"), "media", "id").orderBy("id").collect()
+    assert [(t.codec, t.duration, [tuple(k) for k in t.keyframes]) for t in shown[0].tracks] == [("mp4a", 6, [(8, 5), (13, 6), (19, 7)]), ("avc1", 6, [(26, 20), (56, 30)])] and shown[1].tracks == []
+
+
+def test_fragments():
+    table = lambda *x: struct.pack(f">{len(x)}I", *x)
+    moov = media.box(b"moov", track(7, b"avc1", 30, [], 0, None), media.box(b"mvex", media.full(b"trex", table(7, 1, 3, 0, 0x10000))))
+    moof = lambda at: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", table(7), flags=0x20000), media.full(b"trun", table(3, at, 0, 4, 5, 6), flags=0x205)))
+    at = len(moof(0)) + 8
+    info = media.inspect(moov + moof(at) + media.box(b"mdat", bytes(15)))
+    assert info["error"] is None and info["duration"] == 9 and info["offsets"].tolist() == [len(moov) + at + k for k in (0, 4, 9)]
+    assert info["key_offsets"] == [len(moov) + at] and info["key_sizes"] == [4]
