@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import durable, small_batches
+from rivulet.llm.common import durable, slices
 from rivulet.llm.components import blocks, components
 
 
@@ -164,7 +164,6 @@ def _links(tables: int, probes: int, cosine: float, small: int = 128, step: int
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, tables: int = 10, parts: int = 2, probes: int = 3, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vec_id, embedding."""
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
     wide = F.col("embedding").cast("array<double>")
     sound = F.coalesce((F.size("wide") > 0) & ~F.exists("wide", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("wide", lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", wide.alias("wide")).withColumn("sound", sound)

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rivulet.llm.common import long_id, small_batches, text_id
+from rivulet.llm.common import long_id, slices, text_id
 
 #: Boxes that hold boxes. Fixed values of the container format.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
@@ -211,10 +211,9 @@ def media_columns(df: DataFrame, column: str, *keep: str) -> DataFrame:
 
     A null value gives nulls and the error 'no data'; rows and repeats are kept as they are.
     """
-    small_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [inspect(bytes(x)) if x is not None else inspect(b"") | {"error": "no data"} for x in batch[column]]
             out = batch[list(keep)].copy()
             for name in ("codec", "timescale", "duration", "n_samples"):
@@ -235,7 +234,6 @@ def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
     A null text is empty; the payload is padded with spaces to a positive multiple of 192 bytes. Equal texts give equal values.
     """
-    small_batches(docs.sparkSession)
 
     def one(text: str | None) -> tuple:
         raw = (text or "").encode()
@@ -249,7 +247,7 @@ def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "media"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = pd.DataFrame([one(x) for x in batch["text"]], columns=names, index=batch.index)
             out.insert(0, "doc_id", batch["doc_id"])
             yield out if with_media else out.drop(columns="media")

@@ -1,22 +1,26 @@
 """Near-duplicate documents: banded MinHash, sequential Bayesian pruning, exact verification.
 
 Documents with equal shingle sets form a class, and classes stand for their documents from then on. A signature holds
-`bands * rows` minima (16 bits each); documents that agree in a band share a bucket. Pairs are never listed group by group:
-
-1. Star round: in each bucket every member is paired with the bucket's first one.
-2. Pruning: signatures are compared 32 minima at a time. After m agreements of n the posterior of the similarity under a flat
-   prior is Beta(m + 1, n - m + 1); the pair is dropped once its chance to reach the threshold falls under `miss`.
-3. Survivors are verified exactly on the full sets, and confirmed links are merged into components.
-4. Only buckets that still hold several components go on: each member outside a bucket's largest component is compared with all
-   members of other components, in bounded blocks. Its best survivors (by agreement) are verified first; after another merge
-   more of those that still lie between components, and at last all of them. A pair that shares several bands is proposed
-   in the first of them only.
-
-So every surviving candidate is either verified or lies within a component already: no link is lost to a cap, and the work
-within a group of near copies stays about linear. Components follow in components.py; nothing is collected to the driver.
-
-Defined cases: texts without words have an empty set and link with nothing; fewer words than a shingle make one shingle; a
-null doc_id has no component and is kept; rows with one doc_id are documents of their own.
+`bands * rows` minima (16 bits each); classes that agree in a band share a bucket and are candidates. Candidates are never
+listed: groups of rows with signatures and whole sets go to tasks, which prune, verify and return a forest of the links.
+
+1. Stars: in each bucket every member meets the bucket's first one, in blocks of bounded size. The links are merged.
+2. Buckets that still hold several components: all pairs of members of different components meet in bounded pairs of
+   blocks. A pair that shares several bands is looked at in the first of them only.
+
+A task compares signatures 32 minima at a time. After m agreements of n the posterior of the similarity under a flat prior is
+Beta(m + 1, n - m + 1); a pair is dropped once its chance to reach the threshold falls under `miss`. What survives is
+verified exactly on the full sets, unless the task has linked both sides already. So every surviving candidate is verified or
+lies within a component: no link is lost to a cap.
+
+Scale: a class is shipped once for each of its buckets that are still mixed, so a group of m near copies costs about m rows
+once the stars have joined it. Blocks are sized by rows and by shingles; sets are hashed words of 8 bytes. A bucket of m rows
+without any link between them costs m * m / 2 signature comparisons and m / block copies of each row, but no rows out.
+
+Defined cases: null, empty and blank texts have an empty set and link with nothing; fewer words than a shingle make one
+shingle; a null doc_id has no component, is kept and links with nothing; rows are documents of their own even where they
+repeat a doc_id (component_id is the smallest doc_id of all rows reachable); equal rows get equal results; columns other than
+doc_id and text are not read; an empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import durable, long_id, small_batches, text_id
+from rivulet.llm.common import durable, group_starts, long_id, pairs_within, slices, text_id, whole_groups
 from rivulet.llm.components import blocks, components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -91,190 +95,228 @@ def least_matches(n: int, threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(next(m for m in range(k + 1) if m == k or chance(m, k) >= miss) for k in range(STEP, n + 1, STEP))
 
 
-def survivors(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and b (one row of a may stand for all) that outlast the batches, and their agreements."""
+def survivors(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Which rows of a and b outlast the batches of minima."""
     left, total = np.arange(len(b)), np.zeros(len(b), np.int64)
     for k, need in enumerate(least):
         part = slice(k * STEP, (k + 1) * STEP)
-        total[left] += ((a[:, part] if len(a) == 1 else a[left][:, part]) == b[left][:, part]).sum(1)
+        total[left] += (a[left, part] == b[left, part]).sum(1)
         left = left[total[left] >= need]
         if not len(left):
             break
-    return left, total[left]
+    return left
+
+
+class Sets:
+    """The sets of a frame's rows, their shingles numbered, for exact sizes of intersections."""
+
+    def __init__(self, column: pd.Series):
+        self.size = column.map(len).to_numpy() // 8
+        self.begin = np.cumsum(self.size) - self.size
+        known, number = np.unique(np.frombuffer(b"".join(column), "<u8"), return_inverse=True)
+        self.number, self.flag = number, np.zeros(len(known), bool)
+
+    def linked(self, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+        """Whether 100 * intersection >= percent * union, for each pair of rows. Pairs with one u should follow each other."""
+        out = np.zeros(len(u), bool)
+        small, large = np.minimum(self.size[u], self.size[v]), np.maximum(self.size[u], self.size[v])
+        able = np.flatnonzero(100 * small >= percent * large)
+        cut = np.flatnonzero(np.diff(u[able], prepend=-1, append=-1))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            at = able[a:b]
+            x = u[at[0]]
+            own = self.number[self.begin[x] : self.begin[x] + self.size[x]]
+            self.flag[own] = True
+            n = self.size[v[at]]
+            first = np.cumsum(n) - n
+            both = np.add.reduceat(self.flag[self.number[np.repeat(self.begin[v[at]] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+            self.flag[own] = False
+            out[at] = 100 * both >= percent * (len(own) + n - both)
+        return out
+
+
+class Forest:
+    """Merges labels by links and tells which links joined something."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                out[k] = True
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        while (self.root[self.root] != self.root).any():
+            self.root = self.root[self.root]
+        return self.root[a] != self.root[b]
+
+
+def _largest(group: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which rows are of the component that most rows of their group have."""
+    order = np.lexsort((part, group))
+    g, p = group[order], part[order]
+    new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])]))
+    count = np.diff(np.append(new, len(order)))
+    best = np.lexsort((-p[new], count, g[new]))
+    last = np.flatnonzero(np.append(g[new][best][1:] != g[new][best][:-1], True))
+    return p[new][best][last][group] == part
+
+
+def _forests(bands: int, rows: int, least: tuple[int, ...], percent: int, keys: list[str], small: int = 128, step: int = 20_000):
+    """Over rows sorted by group (keys), with node, component, signature and shingles: a forest of the links a, b that the
+    groups' pairs have. With a column hub only pairs with a hub count; else those of different components in different
+    blocks (or in the one block of i = j), in the first band that they share."""
+
+    def search(table: pd.DataFrame) -> pd.DataFrame:
+        node = table["node"].to_numpy()
+        part = pd.factorize(table["component"], sort=True)[0]
+        sig = np.frombuffer(b"".join(table["signature"]), "<u2").reshape(len(table), -1)
+        sets, forest, found = Sets(table["shingles"]), Forest(int(part.max()) + 1), []
+        starts = group_starts(table, keys)
+        sizes = np.diff(np.append(starts, len(table)))
+        stars = "hub" in table
+        if stars:
+            hub = table["hub"].to_numpy()
+        else:
+            largest = _largest(np.repeat(np.arange(len(sizes)), sizes), part)
+            i, j, block, band = (table[c].to_numpy() for c in ("i", "j", "block", "band"))
+
+        def verify(u: np.ndarray, v: np.ndarray) -> None:
+            able = forest.apart(part[u], part[v])
+            if not stars:
+                able &= (i[u] == j[u]) | (block[u] != block[v])
+            u, v = u[able], v[able]
+            left = survivors(sig[u], sig[v], least)
+            u, v = u[left], v[left]
+            if not stars:
+                first = (sig[u].reshape(-1, bands, rows) == sig[v].reshape(-1, bands, rows)).all(2).argmax(1) == band[u]
+                u, v = u[first], v[first]
+                u, v = np.where(largest[u], v, u), np.where(largest[u], u, v)
+                order = np.argsort(u, kind="stable")
+                u, v = u[order], v[order]
+            true = sets.linked(u, v, percent)
+            u, v = u[true], v[true]
+            new = forest.join(part[u], part[v])
+            found.append((u[new], v[new]))
+
+        if stars:
+            for s, m in zip(starts.tolist(), sizes.tolist(), strict=True):
+                inner = np.arange(s, s + m)
+                for h in inner[hub[s : s + m]]:
+                    for k in range(0, m, step):
+                        others = inner[~hub[s : s + m]][k : k + step]
+                        verify(np.full(len(others), h), others)
+        else:
+            little = sizes <= small
+            place = np.flatnonzero(np.repeat(little, sizes))
+            u, v = pairs_within(sizes[little])
+            for k in range(0, len(u), step):
+                verify(place[u[k : k + step]], place[v[k : k + step]])
+            for s, m in zip(starts[~little].tolist(), sizes[~little].tolist(), strict=True):
+                # Members of the largest component need no search of their own.
+                own = s + np.flatnonzero(~largest[s : s + m])
+                wide = max(1, step // m)
+                for k in range(0, len(own), wide):
+                    x = np.repeat(own[k : k + wide], m)
+                    y = np.tile(np.arange(s, s + m), len(own[k : k + wide]))
+                    once = largest[y] | (y > x)
+                    verify(x[once], y[once])
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+        return pd.DataFrame({"a": node[a], "b": node[b]}, dtype=object)
 
+    def run(batches):
+        for table in whole_groups(batches, keys):
+            yield search(table)
 
-def _matrix(column: pd.Series, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, n)
+    return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, miss: float = 1e-4, block: int = 4096, rounds: tuple = (2, 16)) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row: links where 100 * intersection >= percent * union of k-word shingles."""
-    small_batches(docs.sparkSession)
-    n, threshold = bands * rows, percent / 100
-    least = least_matches(n, threshold, miss)
+def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int, miss: float, block: int) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component_id, kept for every row."""
+    n = bands * rows
+    least = least_matches(n, percent / 100, miss)
 
     def describe(batches):
         words = Words()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [words.shingles(x, k) for x in batch["text"]]
             marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "mark": marks, "signature": [signature(s, n) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "n_shingles": [len(s) for s in sets], "node": marks, "signature": [signature(s, n) if len(s) else None for s in sets]})
 
-    known = durable(long_id(docs.select(text_id(), "text").mapInPandas(describe, "doc_id string, n_shingles long, mark binary, signature binary")))
-    classes = durable(known.where("mark is not null and doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
+    digest = F.md5(F.col("text").cast("binary")).alias("digest")
+    known = durable(long_id(docs.select(text_id(), "text", digest).mapInPandas(describe, "doc_id string, digest string, n_shingles long, node binary, signature binary")))
+    classes = known.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = durable(classes)
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (2 * rows) + 1, F.lit(2 * rows))))
-    banded = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root != last").drop("last")
-    members = durable(banded.join(shared, "bucket"))
-    nodes = members.select("node").distinct()
-    # Only what may have a near copy goes on: its signature and, shuffled once, its text.
-    signed = durable(classes.select("node", "signature").join(nodes, "node"))
-    texts = durable(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node"))
-
-    pairs = members.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
-    sides = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-
-    def prune(batches):
-        for batch in batches:
-            if len(batch):
-                left, _ = survivors(_matrix(batch["sa"], n), _matrix(batch["sb"], n), least)
-                yield batch.iloc[left][["a", "b"]]
-
-    found = components(verified(sides.mapInPandas(prune, "a long, b long"), texts, k, percent))
-
-    for most in (*rounds, None):
-        placed = members.join(found.withColumnRenamed("component", "c"), "node", "left").select("bucket", "band", "node", F.coalesce("c", "node").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        dealt = blocks(placed.join(mixed, "bucket"), "bucket", "node", block).join(signed, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-        proposed = durable(dealt.mapInPandas(_rivals(bands, rows, least, most), "a long, b long, more boolean").distinct())
-        fresh = verified(proposed.where("a is not null").select("a", "b"), texts, k, percent)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh))
-        if most is not None and proposed.where("more").isEmpty():
-            break
-
-    placed = classes.select("mark", "node").join(found.withColumnRenamed("component", "c"), "node", "left").select("mark", F.coalesce("c", "node").alias("c"))
-    return known.drop("signature").join(placed, "mark", "left").select(
-        "doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.lit(True)).alias("kept")
-    )
+    banded = classes.select("node", "n", F.posexplode(keys).alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    members = durable(banded.join(shared, "key"))
+    # Only what may have a near copy goes on, with its signature and its whole set. A text whose set is another one's has
+    # only the doc_id in common with the class.
+    chosen = classes.select("id", "node", "signature").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen, "id").select("text", "node", "signature")
+
+    def sets_of(batches):
+        words = Words()
+        for batch in slices(batches):
+            sets = [words.shingles(x, k).tobytes() for x in batch["text"]]
+            same = [hashlib.blake2b(s, digest_size=16).digest() == bytes(m) for s, m in zip(sets, batch["node"], strict=True)]
+            yield pd.DataFrame({"node": batch["node"], "signature": batch["signature"], "shingles": sets})[same]
+
+    sets = durable(texts.mapInPandas(sets_of, "node binary, signature binary, shingles binary").dropDuplicates(["node"]))
+
+    roots = members.groupBy("key").agg(F.min("node").alias("root"))
+    stars = members.join(roots, "key").where("node != root").select("root", "node", "n").distinct()
+    # A root with many members has them dealt out to several copies of itself; every block of members is bounded.
+    size = stars.groupBy("root").agg(F.ceil(F.sum(1 + F.col("n") / 500) / block).cast("int").alias("parts"))
+    dealt = stars.join(size, "root").select("root", "node", F.expr("pmod(xxhash64(node), parts)").cast("int").alias("i"), F.lit(False).alias("hub"))
+    dealt = dealt.union(dealt.select("root", F.col("root").alias("node"), "i", F.lit(True)).distinct()).join(sets, "node").withColumn("component", F.col("node"))
+    dealt = dealt.repartition("root", "i").sortWithinPartitions("root", "i")
+    found = components(dealt.mapInPandas(_forests(bands, rows, least, percent, ["root", "i"]), "a binary, b binary"))
+
+    placed = members.join(found, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    dealt = blocks(placed.join(mixed, "key"), "key", "node", block, 1 + F.col("n") / 500).drop("n").join(sets, "node")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    fresh = dealt.mapInPandas(_forests(bands, rows, least, percent, ["key", "i", "j"]), "a binary, b binary")
+    # A forest's ends lie in components, which their nodes' own links of the first round hold together.
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh))
+
+    linked = found.join(classes.select("node", "id"), "node")
+    least_id = linked.groupBy("component").agg(F.min("id").alias("c"))
+    linked = linked.join(least_id, "component").select("node", "c")
+    # Most classes are one document without links; those need no place.
+    placed = classes.select("node", "id", "copies").join(linked, "node", "left").where("copies > 1 or c is not null").select("node", F.coalesce("c", "id").alias("c"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
+    return known.drop("signature").join(placed, "node", "left").select("doc_id", "digest", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, miss: float = 1e-4, block: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row: links where 100 * intersection >= percent * union of k-word shingles."""
+    return _grouped(docs, k, percent, bands, rows, miss, block).drop("digest")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, miss: float = 1e-4, block: int = 1024) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
 
-    Rows that repeat a doc_id are one document; rows without a doc_id stay.
+    Rows with equal doc_id and equal text are one document; rows with equal doc_id and different texts are looked at each by
+    itself, and two of them that lie in one group both stay if theirs is the smallest doc_id. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
-
-
-def _rivals(bands: int, rows: int, least: tuple[int, ...], most: int | None, small: int = 128, step: int = 20_000):
-    """Over rows sorted by group (bucket, i, j): pairs a < b of different components that outlast the pruning, at most `most`
-    of each member outside the group's largest component, by agreement. A row with more = true says that some were left out."""
-    n = bands * rows
-
-    def search(table: pd.DataFrame):
-        node, part, block, bucket, band, i, j = (table[c].to_numpy() for c in ("node", "component", "block", "bucket", "band", "i", "j"))
-        sig = _matrix(table["signature"], n)
-        change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        starts = np.concatenate([[0], change])
-        sizes = np.diff(np.concatenate([starts, [len(node)]]))
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        # The largest component of each group: its members need no search of their own.
-        order = np.lexsort((part, group))
-        new = np.flatnonzero(np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (part[order][1:] != part[order][:-1])]))
-        count = np.diff(np.concatenate([new, [len(order)]]))
-        best = np.lexsort((-part[order][new], count, group[order][new]))
-        last = np.flatnonzero(np.concatenate([group[order][new][best][1:] != group[order][new][best][:-1], [True]]))
-        largest = part[order][new][best][last][group] == part
-
-        def kept(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Owner, other and agreement of the pairs that survive and meet here first."""
-            able = (part[u] != part[v]) & ((i[u] == j[u]) | (block[u] != block[v]))
-            u, v = u[able], v[able]
-            left, agree = survivors(sig[u], sig[v], least)
-            u, v = u[left], v[left]
-            shared = (sig[u].reshape(-1, bands, rows) == sig[v].reshape(-1, bands, rows)).all(2)
-            here = band[u]
-            first = shared.argmax(1) == here
-            u, v, agree = u[first], v[first], agree[first]
-            swap = largest[u]
-            return np.where(swap, v, u), np.where(swap, u, v), agree
-
-        found = []
-        place = np.flatnonzero(np.repeat(sizes <= small, sizes))
-        u, v = _pairs(sizes[sizes <= small])
-        for k in range(0, len(u), step):
-            found.append(kept(place[u[k : k + step]], place[v[k : k + step]]))
-        for s, m in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-            own = s + np.flatnonzero(~largest[s : s + m])
-            wide = max(1, step // m)
-            for k in range(0, len(own), wide):
-                x = np.repeat(own[k : k + wide], m)
-                y = np.tile(np.arange(s, s + m), len(own[k : k + wide]))
-                once = largest[y] | (y > x)
-                found.append(kept(x[once], y[once]))
-        if not found:
-            return
-        a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((node[b], -agree, a))
-        a, b = a[order], b[order]
-        begin = np.searchsorted(a, a)
-        near = np.arange(len(a)) - begin < (most if most is not None else len(a))
-        out = pd.DataFrame({"a": np.minimum(node[a], node[b])[near], "b": np.maximum(node[a], node[b])[near]}).astype("Int64")
-        out["more"] = False
-        yield out
-        if not near.all():
-            yield pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "more": [True]})
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = held[["bucket", "i", "j"]].to_numpy()
-            last = np.flatnonzero((key[1:] != key[:-1]).any(1))
-            if len(last):
-                done, held = held.iloc[: last[-1] + 1], held.iloc[last[-1] + 1 :].reset_index(drop=True)
-                yield from search(done)
-        if held is not None and len(held):
-            yield from search(held)
-
-    return run
-
-
-def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows u < v within groups of these sizes that follow each other."""
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    row = np.arange(len(ends))
-    after = ends - row - 1
-    u = np.repeat(row, after)
-    return u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(after) - after, after)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: int = 16) -> DataFrame:
-    """The pairs a, b whose full sets reach the threshold. Texts of b go to a's text, which is sent to at most `salts` places."""
-    salted = pairs.select("a", "b", F.expr(f"pmod(xxhash64(b), {salts})").cast("int").alias("salt"))
-    text = texts.select(F.col("node").alias("x"), "text")
-    theirs = salted.join(text, F.col("b") == F.col("x")).select("a", "salt", "b", "text")
-    ours = salted.select("a", "salt").distinct().join(text, F.col("a") == F.col("x")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    met = theirs.union(ours).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-    def run(batches):
-        words, at, mine = Words(), None, []
-        for batch in batches:
-            out = []
-            # Ids beyond 2^53 survive as they come as text.
-            for a, salt, b, x in zip(batch["a"], batch["salt"], batch["b"], batch["text"], strict=True):
-                s = words.shingles(x, k)
-                if b is None:
-                    mine = [*mine, s] if at == (a, salt) else [s]
-                    at = (a, salt)
-                elif at == (a, salt):
-                    for m in mine:
-                        both = len(np.intersect1d(m, s, assume_unique=True))
-                        if both and 100 * both >= percent * (len(m) + len(s) - both):
-                            out.append((a, b))
-                            break
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return met.withColumn("b", F.col("b").cast("string")).mapInPandas(run, "a long, b long").distinct()
+    known = F.coalesce("digest", F.lit("")).alias("digest")
+    kept = _grouped(docs, k, percent, bands, rows, miss, block).where("kept and doc_id is not null").select("doc_id", known).distinct()
+    rows_ = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("digest"))
+    one = rows_.where("doc_id is not null").join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return one.select("doc").union(rows_.where("doc_id is null").select("doc")).select("doc.*")

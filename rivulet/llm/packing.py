@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rivulet.llm.common import long_id, small_batches, text_id
+from rivulet.llm.common import long_id, slices, text_id
 from rivulet.llm.tokens import Ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -116,7 +116,6 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 1, pool: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if asked for."""
-    small_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +132,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
             out["ids"] = [np.frombuffer(x, "<u4").astype("int32") for x in out["ids"]]
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 rows += packer.add(doc, encoder.encode(text or "") + end)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import durable, long_id, small_batches, text_id
+from rivulet.llm.common import durable, long_id, slices, text_id
 
 #: Letters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana and ideographs.
 SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -135,11 +135,10 @@ def runs(text: str, least: int, chars: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def remove_repeats(docs: DataFrame, least: int = 2, chars: int = 60) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed_chars, text (what is left) for every row."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys = [np.unique(runs(text or "", least, chars)[0]) for text in batch["text"]]
             yield pd.DataFrame({"hash": np.concatenate(keys), "doc_id": np.repeat(batch["doc_id"].to_numpy(), list(map(len, keys)))})
 
@@ -149,7 +148,7 @@ def remove_repeats(docs: DataFrame, least: int = 2, chars: int = 60) -> DataFram
     hits = spans.join(origin, "hash").where("doc_id > origin").groupBy("doc_id").agg(F.collect_list("hash").alias("hits"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, hits in zip(batch["text"], batch["hits"], strict=True):
                 key, first, last, ends = runs(text or "", least, chars)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import durable, long_id, small_batches, text_id
+from rivulet.llm.common import durable, long_id, slices, text_id
 
 GRAM = 24
 #: Perfect difference cover: every difference modulo 7 occurs between two of its members. Fixed values.
@@ -168,11 +168,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, large: int = 20_000, with
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for every row."""
     if length < GRAM + PERIOD:
         raise ValueError(f"length must be {GRAM + PERIOD} or more")
-    small_batches(docs.sparkSession)
     rows = docs.select(text_id(), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
 
     def find(batches):
-        for batch in batches:
+        for batch in slices(batches):
             row, texts = batch["row"].to_numpy(), [x.encode() for x in batch["text"]]
             for k, _, _, _, roll, owner, place, first, last in anchors(texts, length):
                 gram, context, fresh, again = contexts_of(roll, owner, place, first, last, length)

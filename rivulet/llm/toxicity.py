@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import long_id, small_batches, text_id
+from rivulet.llm.common import SLICE_ROWS, long_id, slices, text_id
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Tokens of a block in the two-level forward-backward pass.
@@ -262,11 +262,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: in
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, span_at: float = 0.5) -> DataFrame:
     """doc_id, score, predicted, spans (array of start and end in code points, end exclusive) for every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = Weights(model.by_feature, model.bias)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch["text"]]
             s, p, lengths = model.score(texts, weights)
             spans, at = [], 0
@@ -289,14 +288,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, span_at: float
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows, with all their columns, whose score is below the threshold."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         weights = Weights(model.by_feature, model.bias)
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(model.score(texts, weights)[0] < threshold))
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(k, SLICE_ROWS)
+                texts = [x or "" for x in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(model.score(texts, weights)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

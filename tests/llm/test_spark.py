@@ -154,7 +154,7 @@ def test_minhash_by_brute_force(spark, docs):
     rows = {d: t for d, t in df.collect()}
     ids = sorted(i for i in rows if i is not None)
     expected = closure(ids, [(a, b) for a in ids for b in ids if a < b and near(rows[a], rows[b], 4)])
-    got = minhash.near_duplicates(df, k=4, block=3, rounds=(1,)).collect()
+    got = minhash.near_duplicates(df, k=4, block=3).collect()
     assert len(got) == df.count()
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == expected
     assert all(r.kept == (r.component_id == r.doc_id) for r in got if r.doc_id is not None)
