@@ -1,24 +1,28 @@
 """Exact repeated substrings of a fixed length over all documents, by blockwise suffix sorting with a difference cover.
 
 Sorting every suffix of the corpus would shuffle many times the input, so suffixes are first dealt into buckets, and only
-those that can have a twin are sorted:
-
-1. Anchors. Each window of `length` bytes names the leftmost of its smallest 24-byte strings (by hash) as its anchor. Equal
-   windows have equal anchors at equal offsets, so an anchor's 24 bytes are the leading part of a suffix bucket. An anchor
-   with its windows spans a context; one anchor is chosen about every 89 bytes.
-   Periodic text makes every place an anchor, but few contexts are distinct: a document sends each distinct one once, with
-   whether it holds it again (then all its windows repeat).
-2. Bucket sizes. Anchors are counted by map-side combined aggregation. A bucket of one is dropped: its windows are unique. In
-   a bucket of equal contexts every window repeats, so it needs no sorting; that is what copies and shared passages mostly are.
-3. Sorting. The contexts of the other buckets are sorted bucket by bucket in bounded blocks. A difference cover modulo 7
-   is sampled in the block's text and its samples are ranked by their next length - 6 bytes. Two windows compare by their first
-   and last 7 bytes and, if these tie, by the ranks of the two samples at their common cover shift, which lie within 6 bytes.
-   So a tie of any length costs one lookup, and memory is a few numbers for each byte of the block.
-4. Buckets with more than `large` contexts are not given to one task: their windows are counted by 128-bit hashes instead.
-5. Marks return to their documents, and covered bytes are removed.
-
-Defined cases: null and short texts have no windows and stay whole; equal rows are different documents; matches never cross
-documents; ids may be null or repeat; long texts are handled whole.
+buckets that can hold a twin are sorted, one after the other, in tasks of bounded memory:
+
+1. Anchors. Each window of `length` bytes names the leftmost of its smallest strings of GRAM bytes (by hash) as its anchor. Equal
+   windows have equal anchors at equal offsets, so an anchor's bytes are what a bucket's suffixes share. An anchor with the
+   bytes of all its windows is a context. A context that a document holds twice is a repeat as it is; it is sent on once.
+2. Equal contexts are one, with their number (map-side combined). Where it is two or more, all windows of all of them repeat.
+   A bucket of one context needs no sorting.
+3. Sorting. Of the other buckets each distinct context is cut from one text that holds it. A bucket of more than `limit`
+   contexts is split by the bytes that its suffixes share around the anchor: windows go by ranges of their offset, and all
+   windows of a range share at least length - SPREAD bytes. In a block of whole buckets the suffixes at a difference cover modulo 7
+   are ranked lexicographically to a depth of length - 6 bytes at least (prefix tripling from words of 7 bytes). The windows of
+   a bucket are then put in lexicographic order: by their first word, ties by the ranks of the two samples at the pair's
+   common cover shift (each residue class is sorted, then classes are merged), and last by their last 14 bytes. Neighbours
+   are compared byte by byte.
+4. Marks return to their documents, and covered bytes are removed.
+
+Hashes choose anchors and bring rows together; whether two windows are equal is decided by their bytes, or by two hashes of 64 bits
+each (anchor and context) where whole contexts are equal. Documents are told apart by 128 bits of doc_id and text.
+
+Defined cases: null, empty and short texts have no windows and stay whole; equal rows are different documents; matches never
+cross documents; ids may be null or repeat; other columns are not read; an empty table gives no rows; long texts are
+handled whole, and periodic ones send each distinct context once.
 """
 
 from __future__ import annotations
@@ -31,9 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import durable, long_id, slices, text_id
+from rivulet.llm.common import durable, group_starts, long_id, slices, text_id, whole_groups
 
-GRAM = 24
+GRAM = 48
+#: Offsets of a range into which the windows of a large bucket are split.
+SPREAD = 22
 #: Perfect difference cover: every difference modulo 7 occurs between two of its members. Fixed values.
 PERIOD, COVER = 7, (0, 1, 3)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -125,176 +131,208 @@ def contexts_of(roll: Rolling, owner, place, first, last, length: int):
     return gram, context, fresh, again
 
 
-def twins(data: np.ndarray, bucket: np.ndarray, offset: np.ndarray, window: np.ndarray, length: int) -> np.ndarray:
-    """Which windows (starts in data) have an equal one in their bucket at the same offset from the anchor."""
-    roll = Rolling(data)
-    with np.errstate(over="ignore"):
-        key = (bucket.astype(np.uint64) * np.uint64(BASES[1]) + offset.astype(np.uint64)) * np.uint64(BASES[0])
-        key = ((key ^ roll(window, PERIOD)) * np.uint64(BASES[1]) + roll(window + length - PERIOD, PERIOD)) * np.uint64(BASES[0])
-        key ^= key >> np.uint64(31)
-    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
-    tied = np.flatnonzero(count[place] > 1)
+def words(data: np.ndarray) -> np.ndarray:
+    """The PERIOD bytes from each place on as a number, the first one highest; zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(PERIOD, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for i in range(PERIOD):
+        out = (out << np.uint64(8)) | padded[i : i + len(data)]
+    return out
+
+
+def sample_number(place: np.ndarray) -> np.ndarray:
+    """Number of a sampled place; a period further on is len(COVER) numbers further on."""
+    return place // PERIOD * len(COVER) + np.searchsorted(COVER, place % PERIOD)
+
+
+def dense(x: np.ndarray) -> np.ndarray:
+    """Ranks without gaps."""
+    return np.unique(x, return_inverse=True)[1].astype(np.int64)
+
+
+def cover_ranks(word: np.ndarray, depth: int) -> np.ndarray:
+    """By number, the lexicographic rank of each sampled suffix by its first `depth` bytes (a multiple of the period)."""
+    place = (np.arange(-(-len(word) // PERIOD))[:, None] * PERIOD + np.array(COVER)).reshape(-1)
+    rank, have = dense(word[np.minimum(place, len(word) - 1)]), PERIOD
+    while have < depth:
+        # Three ranks in a row make one three times as deep; they overlap where that would be too deep.
+        reach, whole, span = min(3 * have, depth), rank, int(rank.max()) + 2
+        for back in [have, reach - have] if reach > 2 * have else [reach - have]:
+            k = min(back // PERIOD * len(COVER), len(rank))
+            after = np.zeros(len(rank), np.int64)
+            after[: len(rank) - k] = rank[k:] + 1
+            if (int(whole.max()) + 1) * span >= 1 << 62:
+                whole = dense(whole)
+            whole = whole * span + after
+        rank, have = dense(whole), reach
+    return rank
+
+
+def sorted_repeats(data: np.ndarray, bucket: np.ndarray, window: np.ndarray, length: int) -> np.ndarray:
+    """Which windows (starts in data) have an equal one in their bucket, by sorting each bucket's windows."""
     out = np.zeros(len(window), bool)
-    if not len(tied):
+    if not len(window):
         return out
-    # Ranks of the cover sample, by its next length - 6 bytes.
-    depth = length - PERIOD + 1
-    sample = np.arange(len(data) - depth + 1)
-    sample = sample[np.isin(sample % PERIOD, COVER)]
-    rank = np.zeros(len(data) + PERIOD, np.int64)
-    rank[sample] = np.unique(roll(sample, depth), return_inverse=True)[1]
-    shift, residue = cover_shift(), window[tied] % PERIOD
-    group = place[tied].astype(np.int64)
-    members = [np.flatnonzero(residue == a) for a in range(PERIOD)]
-    span = int(rank.max()) + 1
-
-    def compared(x: np.ndarray, d: int) -> np.ndarray:
-        return group[x] * span + rank[window[tied[x]] + d]
-
+    word = words(data)
+    # By bucket and first word; what is alone there has no twin.
+    order = np.lexsort((word[window], bucket))
+    b, x = bucket[order], word[window[order]]
+    new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])
+    group = np.cumsum(new) - 1
+    tied = np.bincount(group)[group] > 1
+    at, group = order[tied], dense(group[tied])
+    if not len(at):
+        return out
+    # Ties go by cover ranks and at last by the last two words.
+    w, depth = window[at], (length - PERIOD + 1) // PERIOD * PERIOD
+    rank, shift = cover_ranks(word, depth), cover_shift()
+    y, z = word[w + length - 2 * PERIOD], word[w + length - PERIOD]
+    order = np.lexsort((z, y))
+    tail = np.zeros(len(w), np.int64)
+    tail[order] = np.cumsum(np.concatenate([[False], (y[order][1:] != y[order][:-1]) | (z[order][1:] != z[order][:-1])]))
+    spans = int(rank.max()) + 1, int(tail.max()) + 1
+    if (int(group.max()) + 1) * spans[0] * spans[1] >= 1 << 63:
+        raise ValueError("the block is too large")
+
+    def key(members: np.ndarray, d: int) -> np.ndarray:
+        return (group[members] * spans[0] + rank[sample_number(w[members] + d)]) * spans[1] + tail[members]
+
+    classes = [np.flatnonzero(w % PERIOD == a) for a in range(PERIOD)]
+    classes = [m[np.argsort(key(m, int(shift[a][a])), kind="stable")] for a, m in enumerate(classes)]
+    place = [np.arange(len(m)) for m in classes]
     for a in range(PERIOD):
-        for b in range(a, PERIOD):
-            x, y, d = members[a], members[b], int(shift[a][b])
-            if a == b:
-                _, at, n = np.unique(compared(x, d), return_inverse=True, return_counts=True)
-                out[tied[x[n[at] > 1]]] = True
-            elif len(x) and len(y):
-                p, q = compared(x, d), compared(y, d)
-                out[tied[x[np.isin(p, q)]]] = True
-                out[tied[y[np.isin(q, p)]]] = True
+        for b in range(a + 1, PERIOD):
+            if len(classes[a]) and len(classes[b]):
+                p, q = key(classes[a], int(shift[a][b])), key(classes[b], int(shift[a][b]))
+                place[a] = place[a] + np.searchsorted(q, p, "left")
+                place[b] = place[b] + np.searchsorted(p, q, "right")
+    merged = np.zeros(len(w), np.int64)
+    merged[np.concatenate(place)] = np.concatenate(classes)
+    # Neighbours that agree in their group and last words are compared in full.
+    near = np.flatnonzero((group[merged][1:] == group[merged][:-1]) & (tail[merged][1:] == tail[merged][:-1]))
+    u, v = w[merged[near]], w[merged[near + 1]]
+    for k in range(PERIOD, length - 2 * PERIOD, PERIOD):
+        same = word[u + k] == word[v + k]
+        near, u, v = near[same], u[same], v[same]
+    out[at[merged[near]]] = out[at[merged[near + 1]]] = True
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, large: int = 20_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, limit: int = 2048, with_text: bool = False, block: int = 1 << 21) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for every row."""
-    if length < GRAM + PERIOD:
-        raise ValueError(f"length must be {GRAM + PERIOD} or more")
-    rows = docs.select(text_id(), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    if length < GRAM + 2 * PERIOD:
+        raise ValueError(f"length must be {GRAM + 2 * PERIOD} or more")
+    spread = max(1, min(SPREAD, (length - GRAM) // 2))
+    text = F.coalesce("text", F.lit(""))
+    key = [F.xxhash64(F.lit(k), text_id(), text).alias(f"k{k}") for k in (1, 2)]
+    rows = docs.select(text_id(), text.alias("text"), *key)
 
     def find(batches):
+        """The distinct contexts of each document, and (without a gram) the windows that it repeats itself."""
         for batch in slices(batches):
-            row, texts = batch["row"].to_numpy(), [x.encode() for x in batch["text"]]
-            for k, _, _, _, roll, owner, place, first, last in anchors(texts, length):
+            k1, k2, texts = batch["k1"].to_numpy(), batch["k2"].to_numpy(), [x.encode() for x in batch["text"]]
+            for k, n, _, starts, roll, owner, place, first, last in anchors(texts, length):
                 gram, context, fresh, again = contexts_of(roll, owner, place, first, last, length)
-                q = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                yield pd.DataFrame({"gram": gram.view(np.int64), "context": context.view(np.int64), "row": row[k + owner], "q": q.astype(np.int32), "n": 1 + again.astype(np.int32)})[fresh]
-
-    found = rows.select("row", "text").mapInPandas(find, "gram long, context long, row long, q int, n int")
-    sizes = found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1")
-    marks = found.select("gram", "row", "q").join(sizes.select("gram", F.expr("if(x = y, 0, if(n > {}, 2, 1))".format(large)).alias("how")), "gram")
-    marks = marks.groupBy("row").agg(F.collect_set(F.struct("q", "how")).alias("marks"))
-
-    schema = "kind int, doc_id string, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, gram long, q int, offset int, data binary, full binary"
-    columns = [x.split()[0] for x in schema.split(", ")]
-
-    def settled(doc, raw: bytes, windows: np.ndarray) -> dict:
-        cover = np.zeros(len(raw) + 1, np.int32)
-        if len(windows):
-            np.add.at(cover, windows, 1)
-            np.add.at(cover, windows + length, -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
-        return {"kind": 0, "doc_id": doc, "n_bytes": len(raw), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None}
-
-    def frame(out: list[dict]) -> pd.DataFrame:
-        # Columns of objects, as a column without any value would else become one of floats.
-        f = pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype=object) for c in columns})
-        for c, kind in (("kind", "int32"), ("row", "Int64"), ("n_bytes", "Int64"), ("n_removed", "Int64"), ("n_spans", "Int64"), ("gram", "Int64"), ("q", "Int32"), ("offset", "Int32")):
-            f[c] = f[c].astype(kind)
-        return f
-
-    def first_pass(batches):
-        """Documents without buckets to sort are settled; the others wait (kind 3), and their contexts go out (kind 1, 2)."""
-        for batch in batches:
-            texts, out = [x.encode() for x in batch["text"]], []
-            docs_, row, marked = batch["doc_id"].tolist(), batch["row"].tolist(), batch["marks"].tolist()
-            chosen = [i for i, m in enumerate(marked) if m is not None and len(m)]
-            out += [settled(docs_[i], texts[i], np.zeros(0, np.int64)) for i in range(len(texts)) if marked[i] is None or not len(marked[i])]
-            for k, n, data, starts, roll, owner, place, first, last in anchors([texts[i] for i in chosen], length):
-                bounds = np.searchsorted(owner, np.arange(n + 1))
-                gram, _, _, again = contexts_of(roll, owner, place, first, last, length)
-                for t in range(n):
-                    i, low = chosen[k + t], bounds[t]
-                    whole = np.zeros(max(0, len(texts[i]) - length + 1), bool)
-                    for a in low + np.flatnonzero(again[low : bounds[t + 1]]):
-                        whole[first[a] - starts[t] : last[a] - starts[t] + 1] = True
-                    mixed = 0
-                    for m in marked[i]:
-                        a = low + m["q"]
-                        if m["how"] == 0:
-                            whole[first[a] - starts[t] : last[a] - starts[t] + 1] = True
-                        else:
-                            mixed += 1
-                            out.append({"kind": m["how"], "row": row[i], "gram": int(gram.view(np.int64)[a]), "q": m["q"], "offset": int(place[a] - first[a]), "data": data[first[a] : last[a] + length].tobytes()})
-                    if len(out) >= 20_000:  # bounds what is built at once
-                        yield frame(out)
-                        out = []
-                    if mixed:
-                        out.append({"kind": 3, "doc_id": docs_[i], "row": row[i], "data": texts[i], "full": np.packbits(whole).tobytes()})
-                    else:
-                        out.append(settled(docs_[i], texts[i], np.flatnonzero(whole)))
-            yield frame(out)
-
-    met = durable(rows.join(marks, "row", "left").select("doc_id", "row", "text", "marks").mapInPandas(first_pass, schema))
+                near = (first - starts[owner]).astype(np.int32)
+                at = k + owner
+                yield pd.DataFrame({"gram": pd.array(gram.view(np.int64), "Int64"), "context": context.view(np.int64), "k1": k1[at], "k2": k2[at], "first": near, "offset": (place - first).astype(np.int32), "more": (last - first).astype(np.int32), "n": 1 + again.astype(np.int32)})[fresh]
+                if again.any():
+                    # Runs of such contexts that follow each other are one.
+                    o, a, z = owner[again], near[again], near[again] + (last - first)[again]
+                    new = np.concatenate([[True], (o[1:] != o[:-1]) | (a[1:] != z[:-1] + 1)])
+                    end = np.append(np.flatnonzero(new)[1:], len(o)) - 1
+                    at = k + o[new]
+                    yield pd.DataFrame({"gram": pd.array([None] * len(at), "Int64"), "context": 0, "k1": k1[at], "k2": k2[at], "first": a[new], "offset": 0, "more": z[end] - a[new], "n": 2}).astype({"offset": "int32", "more": "int32", "n": "int32"})
+
+    found = durable(rows.mapInPandas(find, "gram long, context long, k1 long, k2 long, first int, offset int, more int, n int"))
+    distinct = found.where("gram is not null").groupBy("gram", "context").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "first", "offset", "more")])
+    many = distinct.where("n > 1").select("gram", "context")
+    settled = found.join(many, ["gram", "context"], "left_semi").union(found.where("gram is null"))
+    settled = settled.select("k1", "k2", "first", "more", F.lit(None).cast("binary").alias("bits"))
+
+    sizes = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    chosen = distinct.join(sizes, "gram").select("k1", "k2", F.struct("gram", "first", "offset", "more", (F.col("n") == 1).alias("alone"), (F.col("m") > limit).alias("split")).alias("c"))
+    sources = chosen.groupBy("k1", "k2").agg(F.collect_list("c").alias("contexts"))
+    # Rows that are equal have one key, and their contexts occur twice: any of them can stand for all.
+    cut = rows.select("k1", "k2", "text").join(sources, ["k1", "k2"])
+
+    def cut_out(batches):
+        for batch in slices(batches):
+            out = []
+            for k1, k2, text, contexts in zip(batch["k1"], batch["k2"], batch["text"], batch["contexts"], strict=True):
+                raw = text.encode()
+                for c in contexts:
+                    first, most, least = c["first"], c["offset"], c["offset"] - c["more"]
+                    if not c["split"]:
+                        out.append((c["gram"], k1, k2, first, most, c["alone"], raw[first : first + c["more"] + length]))
+                        continue
+                    anchor = first + most
+                    for lo in range(least // spread * spread, most + 1, spread):
+                        a, z = max(lo, least), min(lo + spread - 1, most)
+                        shared = raw[anchor - lo : anchor - lo - spread + 1 + length]
+                        sub = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=lo.to_bytes(4, "little")).digest(), "little", signed=True)
+                        out.append((sub, k1, k2, anchor - z, z, c["alone"], raw[anchor - z : anchor - a + length]))
+                if len(out) >= 20_000:  # bounds what is built at once
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["gram", "k1", "k2", "first", "offset", "alone", "data"]
+    pieces = cut.mapInPandas(cut_out, "gram long, k1 long, k2 long, first int, offset int, alone boolean, data binary")
 
     def sort_buckets(batches):
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            gram = held["gram"].to_numpy()
-            last = np.flatnonzero(gram[1:] != gram[:-1])
-            if len(last):
-                done, held = held.iloc[: last[-1] + 1], held.iloc[last[-1] + 1 :].reset_index(drop=True)
-                yield from sort_block(done)
-        if held is not None and len(held):
-            yield from sort_block(held)
-
-    def sort_block(block: pd.DataFrame):
-        """All buckets of a block at once; a bucket never spans blocks, and blocks hold whole buckets of bounded size."""
-        size = block["data"].map(len).to_numpy()
-        data = np.frombuffer(b"".join(block["data"]), np.uint8)
+        for table in whole_groups(batches, ["gram"]):
+            # Blocks of whole buckets of about `block` bytes.
+            starts = group_starts(table, ["gram"])
+            size = np.add.reduceat(table["data"].map(len).to_numpy(), starts)
+            number = np.cumsum(size) // block
+            begin = starts[np.flatnonzero(np.diff(number, prepend=-1))]
+            for a, z in zip(begin, [*begin[1:], len(table)], strict=True):
+                yield sort_block(table.iloc[a:z])
+
+    def sort_block(part: pd.DataFrame) -> pd.DataFrame:
+        size = part["data"].map(len).to_numpy()
+        data = np.frombuffer(b"".join(part["data"]), np.uint8)
         start, room = np.cumsum(size) - size, size - length + 1
         context = np.repeat(np.arange(len(size)), room)
         inner = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
-        bucket = np.unique(block["gram"].to_numpy(), return_inverse=True)[1]
-        hit = twins(data, bucket[context], block["offset"].to_numpy()[context] - inner + length, start[context] + inner, length)
-        some = np.unique(context[hit])
+        # The suffixes of a bucket share its bytes at one offset.
+        bucket = dense(part["gram"].to_numpy())[context] * length + part["offset"].to_numpy()[context] - inner
+        hit = sorted_repeats(data, bucket, start[context] + inner, length)
+        alone = part["alone"].to_numpy()
+        some = np.unique(context[hit & alone[context]])
         ends = np.cumsum(room)
-        yield pd.DataFrame({"row": block["row"].to_numpy()[some], "q": block["q"].to_numpy()[some], "bits": [np.packbits(hit[ends[c] - room[c] : ends[c]]).tobytes() for c in some]})
-
-    contexts = met.where("kind = 1").select("gram", "row", "q", "offset", "data")
-    sorted_ = contexts.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_buckets, "row long, q int, bits binary")
-
-    def list_windows(batches):
-        for batch in batches:
-            for row, q, data in zip(batch["row"], batch["q"], batch["data"], strict=True):
-                x = np.frombuffer(data, np.uint8)
-                w = np.arange(len(x) - length + 1)
-                yield pd.DataFrame({"h1": Rolling(x, 0)(w, length).view(np.int64), "h2": Rolling(x, 1)(w, length).view(np.int64), "row": row, "q": q, "w": w.astype(np.int32)})
-
-    windows = met.where("kind = 2").select("row", "q", "data").mapInPandas(list_windows, "h1 long, h2 long, row long, q int, w int")
-    counted = windows.join(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["h1", "h2"]).select("row", "q", "w")
-    bits = sorted_.select("row", "q", "bits", F.lit(None).cast("int").alias("w")).union(counted.select("row", "q", F.lit(None).cast("binary").alias("bits"), "w"))
-    bits = bits.groupBy("row").agg(F.collect_list(F.struct("q", "bits", "w")).alias("marks"))
-
-    def second_pass(batches):
-        for batch in batches:
-            texts, out = [bytes(x) for x in batch["data"]], []
-            for k, n, _, starts, _, owner, _, first, last in anchors(texts, length):
-                bounds = np.searchsorted(owner, np.arange(n + 1))
-                for t in range(n):
-                    i = k + t
-                    whole = np.unpackbits(np.frombuffer(batch["full"].iloc[i], np.uint8))[: max(0, len(texts[i]) - length + 1)].astype(bool)
-                    for m in batch["marks"].iloc[i] if batch["marks"].iloc[i] is not None else ():
-                        a = bounds[t] + m["q"]
-                        lo, hi = first[a] - starts[t], last[a] - starts[t] + 1
-                        if m["bits"] is not None:
-                            whole[lo:hi] |= np.unpackbits(np.frombuffer(m["bits"], np.uint8))[: hi - lo].astype(bool)
-                        else:
-                            whole[lo + int(m["w"])] = True
-                    out.append(settled(batch["doc_id"].iloc[i], texts[i], np.flatnonzero(whole)))
-            yield frame(out)
-
-    late = met.where("kind = 3").select("doc_id", "row", "data", "full").join(bits, "row", "left").mapInPandas(second_pass, schema)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
-    return long_id(met.where("kind = 0").select(*names).union(late.select(*names)))
+        out = part[["k1", "k2", "first"]].iloc[some].reset_index(drop=True)
+        out["more"] = (room[some] - 1).astype(np.int32)
+        out["bits"] = pd.Series([np.packbits(hit[ends[c] - room[c] : ends[c]]).tobytes() for c in some], dtype=object)
+        return out
+
+    sorted_ = pieces.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_buckets, "k1 long, k2 long, first int, more int, bits binary")
+    marks = settled.union(sorted_).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "more", "bits")).alias("marks"))
+
+    def settle(batches):
+        for batch in slices(batches):
+            out = []
+            for doc, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"], strict=True):
+                raw = text.encode()
+                start, end = [], []
+                for m in marks if marks is not None else ():
+                    if m["bits"] is None:
+                        start.append(m["first"])
+                        end.append(m["first"] + m["more"] + length)
+                    else:
+                        at = np.flatnonzero(np.unpackbits(np.frombuffer(m["bits"], np.uint8))) + m["first"]
+                        start += at.tolist()
+                        end += (at + length).tolist()
+                kept, removed, spans = raw, 0, 0
+                if start:
+                    cover = np.bincount(start, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
+                    gone = np.cumsum(cover)[:-1] > 0
+                    removed, spans = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                out.append((doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+            yield pd.DataFrame(out, columns=columns)
+
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    return long_id(rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks").mapInPandas(settle, schema))

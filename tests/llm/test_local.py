@@ -128,14 +128,28 @@ def test_difference_cover():
     assert all((a + shift[a][b]) % 7 in (0, 1, 3) and (b + shift[a][b]) % 7 in (0, 1, 3) for a in range(7) for b in range(7))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=60, max_size=400), st.integers(21, 40), st.integers(1, 3), st.booleans())
+def test_sorted_repeats_by_brute_force(letters, length, buckets, periodic):
+    data = np.array(letters * 2 if periodic else letters, np.uint8)
+    window = np.arange(len(data) - length + 1)
+    bucket = window % buckets
+    n = Counter((b, data[w : w + length].tobytes()) for b, w in zip(bucket, window, strict=True))
+    assert suffix.sorted_repeats(data, bucket, window, length).tolist() == [n[b, data[w : w + length].tobytes()] > 1 for b, w in zip(bucket, window, strict=True)]
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 2), min_size=40, max_size=300), st.integers(8, 12))
-def test_twins_by_brute_force(letters, length):
+@given(st.lists(st.integers(0, 2), min_size=30, max_size=300), st.sampled_from([7, 14, 28, 56, 70, 189]))
+def test_cover_ranks_are_lexicographic(letters, depth):
     data = np.array(letters, np.uint8)
-    window = np.arange(len(data) - length + 1)
-    bucket, offset = np.zeros(len(window), int), np.zeros(len(window), int)
-    n = Counter(data[w : w + length].tobytes() for w in window)
-    assert suffix.twins(data, bucket, offset, window, length).tolist() == [n[data[w : w + length].tobytes()] > 1 for w in window]
+    rank = suffix.cover_ranks(suffix.words(data), depth)
+    place = np.array([p for p in range(len(data)) if p % 7 in (0, 1, 3)])
+    text = [bytes(data[p : p + depth]).ljust(depth, b"\0") for p in place]
+    whole = [k for k, p in enumerate(place) if p + depth <= len(data)]  # beyond the end ranks tell zeros from nothing
+    got = rank[suffix.sample_number(place)]
+    for i in whole:
+        for j in whole:
+            assert (got[i] < got[j]) == (text[i] < text[j]) and (got[i] == got[j]) == (text[i] == text[j])
 
 
 def test_sliding_argmin():

@@ -198,11 +198,10 @@ def test_substring(spark, docs):
     assert substring.remove_repeats(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("large", [20_000, 2])
-def test_suffix_by_brute_force(spark, docs, large):
-    length = 40
-    shared = "".join(chr(97 + (k * k + 3 * k) % 26) for k in range(90))
-    extra = ["x" * 200, "ab" * 90, f"start {shared} end", f"other {shared[5:]} words", f"{shared} é {shared}", f"tail {shared[:60]}!", ("xyz" * 30 + "q") * 3, "é" * 60]
+@pytest.mark.parametrize(("length", "limit"), [(64, 2048), (100, 2048), (64, 2), (100, 1)])
+def test_suffix_by_brute_force(spark, docs, length, limit):
+    shared = "".join(chr(97 + (k * k + 3 * k) % 26) for k in range(190))
+    extra = ["x" * 200, "ab" * 90, f"start {shared} end", f"other {shared[5:]} words", f"{shared} é {shared}", f"tail {shared[:120]}!", ("xyz" * 60 + "q") * 3, "é" * 90, *[f"{k} {shared[k : 150 + k]} {k * k}" for k in range(12)]]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(200 + k, t) for k, t in enumerate(extra)]
     count = Counter(b[s : s + length] for _, t in rows for b in [(t or "").encode()] for s in range(len(b) - length + 1))
     expected = []
@@ -214,14 +213,14 @@ def test_suffix_by_brute_force(spark, docs, large):
                 gone[s : s + length] = b"\1" * length
         expected.append((str(d), len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix.remove_repeats(df, length, large)
+    got = suffix.remove_repeats(df, length, limit, block=1000)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == sorted(expected)
     assert suffix.remove_repeats(df.where("false"), length).count() == 0
 
 
 def test_suffix_without_any_context(spark):
     df = spark.createDataFrame([(1, "nothing repeats here, however long the text may go on"), (2, "x")], "doc_id long, text string").coalesce(1)
-    assert [r.n_removed for r in suffix.remove_repeats(df, 40).collect()] == [0, 0]
+    assert [r.n_removed for r in suffix.remove_repeats(df, 64).collect()] == [0, 0]
     with pytest.raises(ValueError):
         suffix.remove_repeats(df, 10)
 
