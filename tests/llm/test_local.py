@@ -185,10 +185,41 @@ def test_hadamard_and_codes():
     assert np.allclose(h @ h.T, np.eye(16))
     x = np.random.default_rng(4).normal(size=(50, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = embeddings.codes(x, 3, 2, 4)
+    c = embeddings.codes(x, (16, 16), 3, 4)
     assert c.shape == (50, 3, 5) and all(len(set(row)) == 5 for v in c for row in v)
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_codes_of_short_vectors(dim):
+    x = np.random.default_rng(4).normal(size=(30, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    widths = embeddings.part_widths(dim, 100)
+    c = embeddings.codes(x, widths, 2, 3)
+    assert c.shape == (30, 2, 4) and (c[:, :, 0] >= 0).all() and embeddings.tables_for(dim, widths, 3, 0.95, 0.99) >= 1
+
+
+def test_meetings_do_not_grow_and_recall():
+    met = {}
+    for n in (2_000, 10_000, 50_000):
+        r = np.random.default_rng(n)
+        x = r.normal(size=(n, 64))
+        y = r.normal(size=(300, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x[:300] * y).sum(1, keepdims=True) * x[:300]
+        y = 0.95 * x[:300] + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        widths = embeddings.parts_for(64, n, 4)
+        tables = embeddings.tables_for(64, widths, 3, 0.95, 0.99)
+        a, b = embeddings.codes(x, widths, tables, 3), embeddings.codes(y, widths, tables, 3)
+        assert ((a[:300, :, :1] == b).any(2) | (b[:, :, :1] == a[:300]).any(2)).any(1).mean() >= 0.95
+        pairs = 0
+        for t in range(tables):
+            own = Counter(a[:, t, 0].tolist())
+            pairs += sum(own[k] * m for k, m in Counter(a[:, t].ravel().tolist()).items()) - n
+        met[n] = pairs / n
+    # Widths are powers of two, so the number of buckets is up to twice what was asked for.
+    assert max(met.values()) < 12 and max(met.values()) < 2 * min(met.values()), met
+
+
 def test_runs_of_sentences():
     text = "One two three four five six. Seven eight nine ten eleven. Twelve thirteen is late.\nEnd here."
     assert "".join(text[a:b] for a, b in zip([0, *substring.pieces(text)], substring.pieces(text), strict=False)) == text
