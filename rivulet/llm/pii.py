@@ -3,15 +3,18 @@
 Base spans are leftmost and non-overlapping for each kind: email, ip (parts at most 255), card (13 to 19 digits passing the
 Luhn check) and phone (+, 9 to 15 digits). Beyond these, generators of high recall propose overlapping spans (numbers set
 out like telephone numbers, spelled-out addresses, social security numbers, account numbers, IPv6 addresses). Gradient
-boosted trees score each proposal by its format and its context, and a calibrated threshold selects. The trees are fitted at
-planning time on labelled phrases that a seeded rule writes, and run as CASE expressions; no Python runs on executors.
+boosted trees score each proposal by its format and its context, and each kind's calibrated threshold selects. Of selected
+proposals that overlap each other the one that lies highest above its threshold stays. The trees are fitted at planning time on labelled phrases that a
+seeded rule writes, and run as CASE expressions; no Python runs on executors.
 
 Patterns use possessive quantifiers and start only where a run of their characters starts (or where the last match ended),
 which finds the same matches as the plain patterns but in linear time and constant stack, whatever the text. Offsets are code
-points, end exclusive; they are running sums of the lengths between matches, in chunks of 1,024 matches.
+points, end exclusive; they are running sums of the lengths between matches, in chunks of 1,024 matches. Contexts and what
+redaction keeps are cut from pieces of 256 code points, so the work is linear in the text and in the number of spans.
 
-Defined cases: a null text is empty; rows are handled one by one, so repeated and null ids stay; texts of any length are
-searched whole; extra columns are passed through by `redact` and ignored by `detect`.
+Defined cases: a null text is empty (and stays null in `redact`); rows are handled one by one, so repeated and null ids stay;
+an empty table gives no rows; texts of any length are searched whole; columns of any name are passed through by `redact` and
+come back in `doc` from `detect`.
 """
 
 from __future__ import annotations
@@ -46,26 +49,89 @@ KINDS = [*BASE, *PROPOSALS]
 CUES = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|reach|write|ssn|social|security|iban|account|bank|transfer|address|host|server|login)"
 CHUNK = 1024
 SPANS = "array<struct<kind:int,start:int,end:int,text:string>>"
+PLACES = "array<struct<start:int,end:int,kind:int>>"
 CONTEXT = 24
+PIECE = 256
+#: Stands for characters of base spans; no proposal can hold it.
+MASK = "\u0001"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body speaks of it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _chunked(items: Column) -> Column:
+    """An array cut into arrays of CHUNK, in which sequential steps may copy what they have."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
 
 
 def _at(text: Column, kind: str, pattern: str, found: Column) -> Column:
     """Array of (kind, start, end, text) of the matches found."""
-    between = F.split(text, pattern, -1)
-    sizes = F.zip_with(between, found, lambda b, f: F.struct(F.length(b).alias("gap"), F.coalesce(F.length(f), F.lit(0)).alias("own"), f.alias("text")))
-    pieces = F.slice(sizes, 1, F.size(found))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.slice(pieces, c * CHUNK + 1, F.lit(CHUNK)))
+    sizes = F.zip_with(F.split(text, pattern, -1), found, lambda b, f: F.struct(F.length(b).alias("gap"), F.coalesce(F.length(f), F.lit(0)).alias("own"), f.alias("text")))
     total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x["gap"] + x["own"])
-    starts = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + total(c))))
+    starts = lambda cs: F.aggregate(cs, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + total(c))))
 
     def spans(c: Column, base: Column) -> Column:
         def step(acc: Column, x: Column) -> Column:
             start = F.when(F.size(acc) == 0, base).otherwise(F.try_element_at(acc, F.lit(-1))["end"]) + x["gap"]
-            return F.concat(acc, F.array(F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + x["own"]).alias("end"), x["text"].alias("text"))))
+            return F.concat(acc, F.array(let(start, lambda at: F.struct(F.lit(KINDS.index(kind)).alias("kind"), at.alias("start"), (at + x["own"]).alias("end"), x["text"].alias("text")))))
 
         return F.aggregate(c, F.array().cast(SPANS), step)
 
-    return F.flatten(F.zip_with(chunks, F.slice(starts, 1, F.size(chunks)), spans))
+    placed = lambda cs: let(starts(cs), lambda at: F.flatten(F.zip_with(cs, F.slice(at, 1, F.size(cs)), spans)))
+    return let(F.slice(sizes, 1, F.size(found)), lambda pieces: let(_chunked(pieces), placed))
+
+
+def _ends_before(spans: Column) -> Column:
+    """For each span the largest end of all before it, 0 for the first."""
+    largest = lambda c: F.array_max(F.transform(c, lambda x: x["end"]))
+    heads = lambda cs: F.aggregate(cs, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), largest(c)))))
+
+    def run(c: Column, head: Column) -> Column:
+        start = F.struct(head.alias("m"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(c, start, lambda acc, x: F.struct(F.greatest(acc["m"], x["end"]).alias("m"), F.concat(acc["out"], F.array(acc["m"])).alias("out")))["out"]
+
+    return let(_chunked(spans), lambda cs: let(heads(cs), lambda m: F.flatten(F.zip_with(cs, F.slice(m, 1, F.size(cs)), run))))
+
+
+def _groups(spans: Column, body) -> Column:
+    """body(s, first, next, ends) over the groups of overlapping spans of the sorted array s; ends: as of _ends_before, and at
+    last the largest of all."""
+
+    def over(s: Column, ends: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.get(s, i)["start"] >= F.get(ends, i))
+        return let(begins, lambda b: F.transform(b, lambda i, k: body(s, i, F.coalesce(F.get(b, k + 1), F.size(s)), ends)))
+
+    last = lambda s: F.array(F.array_max(F.transform(s, lambda x: x["end"])))
+    return let(F.array_sort(spans), lambda s: let(F.concat(_ends_before(s), last(s)), lambda ends: over(s, ends)))
+
+
+def _merged(spans: Column) -> Column:
+    """Overlapping spans (start, end, kind) as one, of the first's kind."""
+    one = lambda s, i, after, ends: F.struct(F.get(s, i)["start"].alias("start"), F.get(ends, after).alias("end"), F.get(s, i)["kind"].alias("kind"))
+    return _groups(spans, one)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The text between two places, from the pieces that hold it."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE + 1, end - start)
+
+
+def _replaced(pieces: Column, length: Column, merged: Column, by) -> Column:
+    """The text with by(span) in the place of each of the merged spans."""
+
+    def whole(m: Column) -> Column:
+        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(m, k - 1)["end"])
+        kept = F.transform(m, lambda x, k: F.concat(_cut(pieces, before(k), x["start"]), by(x)))
+        return F.concat(F.array_join(kept, ""), _cut(pieces, F.element_at(m, -1)["end"], length))
+
+    return let(merged, whole)
 
 
 def luhn(digits: Column) -> Column:
@@ -140,11 +206,12 @@ def phrases(n: int = 900, seed: int = 11) -> list[tuple[str, str, str, str, int]
 
 @dataclass(frozen=True)
 class Boosted:
-    """Trees of two levels on numeric features: (feature, cut, then (feature, cut, left, right) of both sides), and a threshold."""
+    """Trees of two levels on numeric features: (feature, cut, then (feature, cut, left, right) of both sides), and a threshold
+    for each kind of proposal."""
 
     trees: tuple
     start: float
-    threshold: float
+    thresholds: dict[str, float]
 
     def margin(self, row: dict[str, float]) -> float:
         total = self.start
@@ -153,7 +220,7 @@ class Boosted:
             total += a if row[g] <= c else b
         return total
 
-    def native(self, row: dict[str, Column]) -> Column:
+    def native(self, row: Column) -> Column:
         total = F.lit(self.start)
         for f, cut, low, high in self.trees:
             leaf = [F.when(row[g] <= c, F.lit(a)).otherwise(F.lit(b)) for g, c, a, b in (low, high)]
@@ -163,7 +230,7 @@ class Boosted:
 
 @lru_cache(1)
 def fit(rounds: int = 24, rate: float = 0.4, precision: float = 0.97) -> Boosted:
-    """Boosting on the logistic loss; a third of the phrases is kept to calibrate the threshold for the precision asked."""
+    """Boosting on the logistic loss; a third of the phrases is kept to calibrate each kind's threshold for the precision asked."""
     data = [({n: float(f[1](KINDS.index(k), t, b, a)) for n, f in FEATURES.items()}, y) for k, t, b, a, y in phrases()]
     train, check = [x for i, x in enumerate(data) if i % 3], [x for i, x in enumerate(data) if i % 3 == 0]
     share = sum(y for _, y in train) / len(train)
@@ -199,14 +266,15 @@ def fit(rounds: int = 24, rate: float = 0.4, precision: float = 0.97) -> Boosted
         for i, (r, _) in enumerate(train):
             g, c, a, b = sides[r[f] > cut]
             margin[i] += a if r[g] <= c else b
-    model = Boosted(tuple(trees), start, 0.0)
-    scored = sorted(((model.margin(r), y) for r, y in check), reverse=True)
-    good, threshold = 0, scored[0][0]
-    for k, (m, y) in enumerate(scored, 1):
-        good += y
-        if good >= precision * k and m > 0:
-            threshold = m
-    return Boosted(tuple(trees), start, threshold)
+    model, thresholds = Boosted(tuple(trees), start, {}), {}
+    for kind in PROPOSALS:
+        scored = sorted(((model.margin(r), y) for r, y in check if r["kind"] == KINDS.index(kind)), reverse=True)
+        good, thresholds[kind] = 0, scored[0][0]
+        for k, (m, y) in enumerate(scored, 1):
+            good += y
+            if good >= precision * k and m > 0:
+                thresholds[kind] = m
+    return Boosted(tuple(trees), start, thresholds)
 
 
 def detect(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
@@ -225,33 +293,39 @@ def detect(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     base = F.concat(*[F.transform(F.filter(k, _checked(k)), plain) for k in BASE])
     rows = rows.select("doc", "whole", base.alias("base"), F.concat(*PROPOSALS).alias("proposed"))
-
-    def chosen(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
-        after = F.substring(text, x["end"] + 1, F.lit(CONTEXT))
-        free = ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return free & (model.native({n: f[0](x, before, after) for n, f in FEATURES.items()}) >= model.threshold)
-
-    added = F.when(F.size("proposed") > 0, F.transform(F.filter("proposed", chosen), plain)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>"))
-    return rows.select("doc", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    by_start = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+    limits = F.array(*[F.lit(model.thresholds.get(k, math.inf)) for k in KINDS])
+
+    def scored(x: Column, pieces: Column) -> Column:
+        before, after = _cut(pieces, F.greatest(x["start"] - CONTEXT, F.lit(0)), x["start"]), _cut(pieces, x["end"], x["end"] + CONTEXT)
+        features = let(F.struct(before.alias("b"), after.alias("a")), lambda c: F.struct(*[f[0](x, c["b"], c["a"]).cast("double").alias(n) for n, f in FEATURES.items()]))
+        over = let(features, lambda f: model.native(f) - F.get(limits, x["kind"]))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), over.alias("over"))
+
+    def best(s: Column, first: Column, after: Column, ends: Column) -> Column:
+        """Of overlapping proposals the one furthest over its threshold, then what does not overlap the ones taken."""
+        ranked = F.array_sort(F.transform(F.slice(s, first + 1, after - first), lambda x: F.struct((-x["over"]).alias("rank"), by_start(x).alias("x"))))
+        clear = lambda taken, x: ~F.exists(taken, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        add = lambda taken, r: F.when(clear(taken, r["x"]), F.concat(taken, F.array(r["x"]))).otherwise(taken)
+        return F.when(after - first == 1, F.array(by_start(F.get(s, first)))).otherwise(F.aggregate(ranked, F.array().cast(PLACES), add))
+
+    # Proposals that overlap a base span go; the base spans are told by a copy of the text in which they are masked.
+    mask = lambda pieces: _replaced(pieces, F.length(text), _merged(F.transform("base", by_start)), lambda x: F.repeat(F.lit(MASK), x["end"] - x["start"]))
+    free = lambda found: let(_pieces(let(_pieces(text), mask)), lambda masked: F.filter(found, lambda x: ~_cut(masked, x["start"], x["end"]).contains(MASK)))
+    open_ = F.when(F.size("base") == 0, F.col("proposed")).otherwise(free(F.col("proposed")))
+    rows = rows.select("doc", "whole", "base", F.when(F.size("proposed") > 0, open_).otherwise(none).alias("proposed"))
+    chosen = let(_pieces(text), lambda pieces: F.filter(F.transform("proposed", lambda x: scored(x, pieces)), lambda x: x["over"] >= 0))
+    nothing = F.array().cast(PLACES)
+    rows = rows.select("doc", "base", F.when(F.size("proposed") > 0, chosen).alias("chosen"))
+    added = F.when(F.coalesce(F.size("chosen"), F.lit(0)) > 0, F.flatten(_groups(F.col("chosen"), best))).otherwise(nothing)
+    return rows.select("doc", "base", F.array_sort(F.concat("base", F.transform(added, plain))).alias("spans"))
 
 
 def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """The same rows and columns with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
     found = detect(docs, model)
-    start = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    found = found.withColumn("merged", F.aggregate(by_start, start, merge))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.coalesce(F.col("doc.text"), F.lit(""))
-    before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("merged", k - 1)["end"])
-    pieces = F.transform("merged", lambda x, k: F.concat(F.substring(text, before(k) + 1, x["start"] - before(k)), F.get(names, x["kind"])))
-    tail = F.substring(text, F.try_element_at("merged", F.lit(-1))["end"] + 1, F.length(text))
-    clean = F.when(F.size("merged") == 0, F.col("doc.text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    places = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    clean = let(_pieces(F.col("doc.text")), lambda pieces: _replaced(pieces, F.length("doc.text"), _merged(places), lambda x: F.get(names, x["kind"])))
+    clean = F.when(F.size("spans") == 0, F.col("doc.text")).otherwise(clean)
     return found.select(*[clean.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

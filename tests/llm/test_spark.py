@@ -118,6 +118,21 @@ def test_pii_edges(spark, docs):
     assert pii.redact(df).columns == df.columns and pii.redact(df.where("false")).count() == 0
 
 
+def test_pii_is_linear_in_long_texts(spark):
+    import time
+
+    one = "call me at 555-123-4567 or +1 (555) 123-4567 x, mail bob@example.org, host 10.0.0.1, ssn 123-45-6789; "
+    text = one * (1_000_000 // len(one))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.redact(spark.createDataFrame([(0, one)], df.schema)).collect()
+    began = time.perf_counter()
+    (row,) = pii.redact(df).collect()
+    assert time.perf_counter() - began < 60
+    assert row.text == "call me at [TEL] or [PHONE] x, mail [EMAIL], host [IP], ssn [SSN]; " * (len(text) // len(one))
+    (found,) = pii.detect(df).collect()
+    assert [(pii.KINDS[s.kind], s.start, s.end) for s in found.base] == base_spans(text)
+
+
 def near(a, b, k):
     sets = []
     for t in (a, b):
