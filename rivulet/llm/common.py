@@ -85,6 +85,7 @@ def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives the loss of executors.
 
     replaces: an earlier cut that nothing but df reads, deleted once df is written. What is left goes when the driver ends.
+    Spark removes a shuffle's files once its plan is garbage; the plan that made df is, so the driver collects garbage here.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -97,6 +98,7 @@ def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
         old.getFileSystem(conf).delete(old, True)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
+    jvm.System.gc()
     return out
 
 

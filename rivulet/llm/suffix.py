@@ -7,7 +7,7 @@ buckets that can hold a twin are sorted, one after the other, in tasks of bounde
    windows have equal anchors at equal offsets, so an anchor's bytes are what a bucket's suffixes share. An anchor with the
    bytes of all its windows is a context. A context that a document holds twice is a repeat as it is; it is sent on once.
 2. Equal contexts are one, with their number (map-side combined). Where it is two or more, all windows of all of them repeat.
-   A bucket of one context needs no sorting.
+   Anchors that occur once are dropped before (their windows are unique), and a bucket of one context needs no sorting.
 3. Sorting. Of the other buckets each distinct context is cut from one text that holds it. A bucket of more than `limit`
    contexts is split by the bytes that its suffixes share around the anchor: windows go by ranges of their offset, and all
    windows of a range share at least length - SPREAD bytes. In a block of whole buckets the suffixes at a difference cover modulo 7
@@ -18,7 +18,7 @@ buckets that can hold a twin are sorted, one after the other, in tasks of bounde
 4. Marks return to their documents, and covered bytes are removed.
 
 Hashes choose anchors and bring rows together; whether two windows are equal is decided by their bytes, or by two hashes of 64 bits
-each (anchor and context) where whole contexts are equal. Documents are told apart by 128 bits of doc_id and text.
+each (anchor and context) where whole contexts are equal. Documents are told apart by 96 bits of doc_id and text.
 
 Defined cases: null, empty and short texts have no windows and stay whole; equal rows are different documents; matches never
 cross documents; ids may be null or repeat; other columns are not read; an empty table gives no rows; long texts are
@@ -28,6 +28,7 @@ handled whole, and periodic ones send each distinct context once.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -131,6 +132,15 @@ def contexts_of(roll: Rolling, owner, place, first, last, length: int):
     return gram, context, fresh, again
 
 
+def packed(check: np.ndarray, offset: np.ndarray, more: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """A context's document check, its anchor's offset, its windows beyond the first one, and whether the document repeats it."""
+    return (check.astype(np.int64) << 21) | (offset.astype(np.int64) << 11) | (more.astype(np.int64) << 1) | again
+
+
+def unpacked(shape: int) -> tuple[int, int, int]:
+    return shape >> 21, (shape >> 11) & 0x3FF, (shape >> 1) & 0x3FF
+
+
 def words(data: np.ndarray) -> np.ndarray:
     """The PERIOD bytes from each place on as a number, the first one highest; zeros beyond the end."""
     padded = np.concatenate([data, np.zeros(PERIOD, np.uint8)])
@@ -220,73 +230,108 @@ def sorted_repeats(data: np.ndarray, bucket: np.ndarray, window: np.ndarray, len
 
 def remove_repeats(docs: DataFrame, length: int = 200, limit: int = 2048, with_text: bool = False, block: int = 1 << 21) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for every row."""
-    if length < GRAM + 2 * PERIOD:
-        raise ValueError(f"length must be {GRAM + 2 * PERIOD} or more")
+    if not GRAM + 2 * PERIOD <= length < 1 << 10:
+        raise ValueError(f"length must be {GRAM + 2 * PERIOD} to {(1 << 10) - 1}")
     spread = max(1, min(SPREAD, (length - GRAM) // 2))
     text = F.coalesce("text", F.lit(""))
-    key = [F.xxhash64(F.lit(k), text_id(), text).alias(f"k{k}") for k in (1, 2)]
-    rows = docs.select(text_id(), text.alias("text"), *key)
+    # A document's key, and 32 bits more by which documents with one key are told apart.
+    key, check = F.xxhash64(F.lit(1), text_id(), text).alias("key"), F.shiftrightunsigned(F.xxhash64(F.lit(2), text_id(), text), 32).alias("check")
+    rows = docs.select(text_id(), text.alias("text"), key, check)
 
     def find(batches):
         """The distinct contexts of each document, and (without a gram) the windows that it repeats itself."""
         for batch in slices(batches):
-            k1, k2, texts = batch["k1"].to_numpy(), batch["k2"].to_numpy(), [x.encode() for x in batch["text"]]
-            for k, n, _, starts, roll, owner, place, first, last in anchors(texts, length):
+            keys, checks, texts = batch["key"].to_numpy(), batch["check"].to_numpy(), [x.encode() for x in batch["text"]]
+            for k, _, _, starts, roll, owner, place, first, last in anchors(texts, length):
                 gram, context, fresh, again = contexts_of(roll, owner, place, first, last, length)
-                near = (first - starts[owner]).astype(np.int32)
-                at = k + owner
-                yield pd.DataFrame({"gram": pd.array(gram.view(np.int64), "Int64"), "context": context.view(np.int64), "k1": k1[at], "k2": k2[at], "first": near, "offset": (place - first).astype(np.int32), "more": (last - first).astype(np.int32), "n": 1 + again.astype(np.int32)})[fresh]
+                near, at = (first - starts[owner]).astype(np.int32), k + owner
+                shape = packed(checks[at], place - first, last - first, again)
+                yield pd.DataFrame({"gram": pd.array(gram.view(np.int64), "Int64"), "context": context.view(np.int64), "key": keys[at], "first": near, "shape": shape})[fresh]
                 if again.any():
-                    # Runs of such contexts that follow each other are one.
-                    o, a, z = owner[again], near[again], near[again] + (last - first)[again]
-                    new = np.concatenate([[True], (o[1:] != o[:-1]) | (a[1:] != z[:-1] + 1)])
-                    end = np.append(np.flatnonzero(new)[1:], len(o)) - 1
-                    at = k + o[new]
-                    yield pd.DataFrame({"gram": pd.array([None] * len(at), "Int64"), "context": 0, "k1": k1[at], "k2": k2[at], "first": a[new], "offset": 0, "more": z[end] - a[new], "n": 2}).astype({"offset": "int32", "more": "int32", "n": "int32"})
-
-    found = durable(rows.mapInPandas(find, "gram long, context long, k1 long, k2 long, first int, offset int, more int, n int"))
-    distinct = found.where("gram is not null").groupBy("gram", "context").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "first", "offset", "more")])
-    many = distinct.where("n > 1").select("gram", "context")
-    settled = found.join(many, ["gram", "context"], "left_semi").union(found.where("gram is null"))
-    settled = settled.select("k1", "k2", "first", "more", F.lit(None).cast("binary").alias("bits"))
+                    o, a, more = at[again], near[again], (last - first)[again]
+                    shape = packed(checks[o], np.zeros(len(o), np.int64), more, np.ones(len(o), bool))
+                    yield pd.DataFrame({"gram": pd.array([None] * len(o), "Int64"), "context": 0, "key": keys[o], "first": a, "shape": shape})
 
-    sizes = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    chosen = distinct.join(sizes, "gram").select("k1", "k2", F.struct("gram", "first", "offset", "more", (F.col("n") == 1).alias("alone"), (F.col("m") > limit).alias("split")).alias("c"))
-    sources = chosen.groupBy("k1", "k2").agg(F.collect_list("c").alias("contexts"))
-    # Rows that are equal have one key, and their contexts occur twice: any of them can stand for all.
-    cut = rows.select("k1", "k2", "text").join(sources, ["k1", "k2"])
+    found = rows.select("doc_id", "text", "key", "check").mapInPandas(find, "gram long, context long, key long, first int, shape long")
+    times = (1 + F.col("shape").bitwiseAND(F.lit(1))).alias("n")
+    common = found.where("gram is not null").groupBy("gram").agg(F.sum(times).alias("n")).where("n > 1").select("gram")
+    marked = durable(found.where("gram is not null").join(common, "gram").unionByName(found.where("gram is null")))
 
-    def cut_out(batches):
+    distinct = marked.where("gram is not null").groupBy("gram", "context").agg(F.sum(times).alias("n"), *[F.first(c).alias(c) for c in ("key", "first", "shape")])
+    many = distinct.where("n > 1").select("gram", "context")
+    settled = marked.join(many, ["gram", "context"], "left_semi").unionByName(marked.where("gram is null"))
+    settled = settled.select("key", "first", "shape", F.lit(None).cast("long").alias("gram"), F.lit(False).alias("alone"), F.lit(False).alias("split"))
+    sizes = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    chosen = distinct.join(sizes, "gram").select("key", "first", "shape", "gram", (F.col("n") == 1).alias("alone"), (F.col("m") > limit).alias("split"))
+    marks = settled.union(chosen).groupBy("key").agg(F.collect_set(F.struct("first", "shape", "gram", "alone", "split")).alias("marks"))
+
+    schema = "kind int, doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, key long, check long, gram long, first int, offset int, alone boolean, data binary, full binary"
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def result(doc, raw: bytes, windows: np.ndarray) -> dict:
+        kept, removed, spans = raw, 0, 0
+        if windows.any():
+            step = np.zeros(len(raw) + 1, np.int32)
+            at = np.flatnonzero(windows)
+            step[at] += 1
+            step[at + length] -= 1
+            gone = np.cumsum(step)[:-1] > 0
+            removed, spans = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        return {"kind": 0, "doc_id": doc, "n_bytes": len(raw), "n_removed": removed, "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None}
+
+    def frame(out: list[dict]) -> pd.DataFrame:
+        # Columns of objects, as a column without any value would else become one of floats.
+        return pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype=object) for c in columns})
+
+    def pieces_of(raw: bytes, key: int, check: int, first: int, most: int, more: int, mark) -> Iterator[dict]:
+        """A context for its bucket; of a large bucket one piece for each range of offsets, in the bucket of its shared bytes."""
+        one = {"kind": 1, "key": key, "check": check, "alone": mark["alone"]}
+        if not mark["split"]:
+            yield one | {"gram": mark["gram"], "first": first, "offset": most, "data": raw[first : first + more + length]}
+            return
+        anchor, least = first + most, most - more
+        for lo in range(least // spread * spread, most + 1, spread):
+            a, z = max(lo, least), min(lo + spread - 1, most)
+            shared = hashlib.blake2b(raw[anchor - lo : anchor - lo - spread + 1 + length], digest_size=8, salt=lo.to_bytes(4, "little"))
+            yield one | {"gram": int.from_bytes(shared.digest(), "little", signed=True), "first": anchor - z, "offset": z, "data": raw[anchor - z : anchor - a + length]}
+
+    def first_pass(batches):
+        """Documents without contexts to sort are settled (kind 0); the others wait (3), and the contexts go out (1)."""
         for batch in slices(batches):
-            out = []
-            for k1, k2, text, contexts in zip(batch["k1"], batch["k2"], batch["text"], batch["contexts"], strict=True):
-                raw = text.encode()
-                for c in contexts:
-                    first, most, least = c["first"], c["offset"], c["offset"] - c["more"]
-                    if not c["split"]:
-                        out.append((c["gram"], k1, k2, first, most, c["alone"], raw[first : first + c["more"] + length]))
+            out, size = [], 0
+            for doc, key, check, text, marks in zip(batch["doc_id"], batch["key"].tolist(), batch["check"].tolist(), batch["text"], batch["marks"], strict=True):
+                raw, waits = text.encode(), False
+                windows = np.zeros(max(0, len(raw) - length + 1), bool)
+                for m in marks if marks is not None else ():
+                    owner, most, more = unpacked(m["shape"])
+                    if owner != check:
                         continue
-                    anchor = first + most
-                    for lo in range(least // spread * spread, most + 1, spread):
-                        a, z = max(lo, least), min(lo + spread - 1, most)
-                        shared = raw[anchor - lo : anchor - lo - spread + 1 + length]
-                        sub = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=lo.to_bytes(4, "little")).digest(), "little", signed=True)
-                        out.append((sub, k1, k2, anchor - z, z, c["alone"], raw[anchor - z : anchor - a + length]))
-                if len(out) >= 20_000:  # bounds what is built at once
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            yield pd.DataFrame(out, columns=names)
-
-    names = ["gram", "k1", "k2", "first", "offset", "alone", "data"]
-    pieces = cut.mapInPandas(cut_out, "gram long, k1 long, k2 long, first int, offset int, alone boolean, data binary")
+                    if m["gram"] is None or not m["alone"]:
+                        windows[m["first"] : m["first"] + more + 1] = True
+                    if m["gram"] is not None:
+                        waits |= m["alone"]
+                        new = list(pieces_of(raw, key, check, m["first"], most, more, m))
+                        out += new
+                        size += sum(len(x["data"]) for x in new)
+                if waits:
+                    out.append({"kind": 3, "doc_id": doc, "key": key, "check": check, "data": raw, "full": np.packbits(windows).tobytes()})
+                    size += len(raw)
+                else:
+                    out.append(result(doc, raw, windows))
+                if size > 1 << 23:  # bounds what is built at once
+                    yield frame(out)
+                    out, size = [], 0
+            yield frame(out)
+
+    met = durable(rows.join(marks, "key", "left").select("doc_id", "key", "check", "text", "marks").mapInPandas(first_pass, schema), replaces=marked)
 
     def sort_buckets(batches):
         for table in whole_groups(batches, ["gram"]):
             # Blocks of whole buckets of about `block` bytes.
             starts = group_starts(table, ["gram"])
             size = np.add.reduceat(table["data"].map(len).to_numpy(), starts)
-            number = np.cumsum(size) // block
-            begin = starts[np.flatnonzero(np.diff(number, prepend=-1))]
+            begin = starts[np.flatnonzero(np.diff(np.cumsum(size) // block, prepend=-1))]
             for a, z in zip(begin, [*begin[1:], len(table)], strict=True):
                 yield sort_block(table.iloc[a:z])
 
@@ -297,42 +342,31 @@ def remove_repeats(docs: DataFrame, length: int = 200, limit: int = 2048, with_t
         context = np.repeat(np.arange(len(size)), room)
         inner = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
         # The suffixes of a bucket share its bytes at one offset.
-        bucket = dense(part["gram"].to_numpy())[context] * length + part["offset"].to_numpy()[context] - inner
+        bucket = dense(part["gram"].to_numpy())[context] * (1 << 10) + part["offset"].to_numpy()[context] - inner
         hit = sorted_repeats(data, bucket, start[context] + inner, length)
-        alone = part["alone"].to_numpy()
-        some = np.unique(context[hit & alone[context]])
+        some = np.unique(context[hit & part["alone"].to_numpy()[context]])
         ends = np.cumsum(room)
-        out = part[["k1", "k2", "first"]].iloc[some].reset_index(drop=True)
-        out["more"] = (room[some] - 1).astype(np.int32)
+        out = part[["key", "check", "first"]].iloc[some].reset_index(drop=True)
+        out["n"] = room[some].astype(np.int32)
         out["bits"] = pd.Series([np.packbits(hit[ends[c] - room[c] : ends[c]]).tobytes() for c in some], dtype=object)
         return out
 
-    sorted_ = pieces.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_buckets, "k1 long, k2 long, first int, more int, bits binary")
-    marks = settled.union(sorted_).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "more", "bits")).alias("marks"))
+    contexts = met.where("kind = 1").select("gram", "key", "check", "first", "offset", "alone", "data")
+    sorted_ = contexts.repartition("gram").sortWithinPartitions("gram").mapInPandas(sort_buckets, "key long, check long, first int, n int, bits binary")
+    bits = sorted_.groupBy("key").agg(F.collect_set(F.struct("check", "first", "n", "bits")).alias("marks"))
 
-    def settle(batches):
+    def second_pass(batches):
         for batch in slices(batches):
             out = []
-            for doc, text, marks in zip(batch["doc_id"], batch["text"], batch["marks"], strict=True):
-                raw = text.encode()
-                start, end = [], []
+            for doc, check, data, full, marks in zip(batch["doc_id"], batch["check"].tolist(), batch["data"], batch["full"], batch["marks"], strict=True):
+                raw = bytes(data)
+                windows = np.unpackbits(np.frombuffer(full, np.uint8))[: max(0, len(raw) - length + 1)].astype(bool)
                 for m in marks if marks is not None else ():
-                    if m["bits"] is None:
-                        start.append(m["first"])
-                        end.append(m["first"] + m["more"] + length)
-                    else:
-                        at = np.flatnonzero(np.unpackbits(np.frombuffer(m["bits"], np.uint8))) + m["first"]
-                        start += at.tolist()
-                        end += (at + length).tolist()
-                kept, removed, spans = raw, 0, 0
-                if start:
-                    cover = np.bincount(start, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1)
-                    gone = np.cumsum(cover)[:-1] > 0
-                    removed, spans = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((doc, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            yield pd.DataFrame(out, columns=columns)
-
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
-    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return long_id(rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "marks").mapInPandas(settle, schema))
+                    if m["check"] == check:
+                        windows[m["first"] : m["first"] + m["n"]] |= np.unpackbits(np.frombuffer(m["bits"], np.uint8))[: m["n"]].astype(bool)
+                out.append(result(doc, raw, windows))
+            yield frame(out)
+
+    late = met.where("kind = 3").select("doc_id", "key", "check", "data", "full").join(bits, "key", "left").select("doc_id", "check", "data", "full", "marks").mapInPandas(second_pass, schema)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    return long_id(met.where("kind = 0").select(*names).union(late.select(*names)))
