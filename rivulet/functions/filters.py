@@ -6,32 +6,25 @@ import math
 import re
 from collections.abc import Sequence
 
-from rivulet.operators.kernels import Biquad, Fir, Kernel
-
-
-def _falling(a: int, b: int) -> float:
-    return math.prod(range(a - b + 1, a + 1))
+import numpy as np
 
-
-def _gram(i: int, m: int, k: int, s: int) -> float:
-    """s-th derivative at i of the Gram polynomial of order k over 2m + 1 points."""
-    if k <= 0:
-        return 1.0 if k == 0 and s == 0 else 0.0
-    lead = (4 * k - 2) / (k * (2 * m - k + 1))
-    back = (k - 1) * (2 * m + k) / (k * (2 * m - k + 1))
-    return lead * (i * _gram(i, m, k - 1, s) + (s * _gram(i, m, k - 1, s - 1) if s else 0.0)) - back * _gram(i, m, k - 2, s)
+from rivulet.operators.kernels import Biquad, Fir, Kernel
 
 
 def slope_taps(m: int = 4, order: int = 1, derivative: int = 1, causal: bool = True) -> tuple[float, ...]:
     """Least-squares smoothing or slope over 2m + 1 points at the newest one; newest tap first.
 
+    A polynomial of the order is fitted to the points at 1 - n to 0, and its derivative is taken at 0: that is the row of the
+    pseudo-inverse of the points' powers that belongs to the derivative, times its factorial.
     causal=False gives the taps in the order oldest first, which a filter then applies to the newest sample first: a rising
     ramp then has a falling slope.
     """
     if m < 1 or order < derivative or derivative < 0 or order > 2 * m:
         raise ValueError("the window must hold the order, and the order the derivative")
-    weights = [sum((2 * k + 1) * _falling(2 * m, k) / _falling(2 * m + k + 1, k + 1) * _gram(i, m, k, 0) * _gram(m, m, k, derivative) for k in range(order + 1)) for i in range(-m, m + 1)]
-    return tuple(reversed(weights)) if causal else tuple(weights)
+    places = np.arange(-2 * m, 1) / (2 * m)  # scaled, so that high powers stay well conditioned
+    oldest_first = np.linalg.pinv(np.vander(places, order + 1, increasing=True))[derivative] * math.factorial(derivative) / (2 * m) ** derivative
+    taps = tuple(oldest_first.tolist())
+    return taps[::-1] if causal else taps
 
 
 def lowpass_taps(cutoff: float, n: int = 101) -> tuple[float, ...]:
@@ -114,8 +107,6 @@ def parse_text(text: str) -> Kernel:
 
 def impulse_response(kernel: Kernel, n: int | None = None) -> list[float]:
     """What the filter makes of a one and n - 1 zeros; n is by default the filter's order."""
-    import numpy as np
-
     order = len(kernel.taps) - 1 if isinstance(kernel, Fir) else 2 * len(kernel.sections)
     x = np.zeros(max(1, n if n is not None else order))
     x[0] = 1

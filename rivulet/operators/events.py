@@ -57,18 +57,25 @@ def coincidence_filter(
     """Targets on at least `needed` slots within sync_us (strictly less before), unless a blocker comes at most block_us
     before, at the same time, or less than wait_us after. Adds n_slots.
 
-    One shuffle by `by` serves all windows: the last blocker at or before and the first one after are running extremes over the
-    union of both streams, so no range join is needed and a hot stream costs a sort, not a product.
+    One shuffle by `by` serves all windows, and each of them is a running aggregate, so a stream costs a sort however dense it
+    is: the last blocker at or before and the first one after are running extremes (the latter from the end), and the number
+    of slots is a running sum over steps up, where a slot's event begins to count, and down, where it ends to: after
+    sync_us, or at the slot's next event.
     """
-    both = targets.withColumn("_t", F.lit(True)).unionByName(blockers.withColumn("_t", F.lit(False)), allowMissingColumns=True).where("hw_ts is not null")
-    time = Window.partitionBy(*by).orderBy("hw_ts")
-    blocked = F.when(~F.col("_t"), F.col("hw_ts"))
-    slots = F.size(F.collect_set(F.when(F.col("_t"), F.col("slot"))).over(time.rangeBetween(1 - sync_us, 0)))
+    both = targets.withColumn("_t", F.lit(True)).unionByName(blockers.withColumn("_t", F.lit(False)), allowMissingColumns=True).where("hw_ts is not null").repartition(*by)
+    following = F.lead("hw_ts").over(Window.partitionBy(*by, "_t", "slot").orderBy("hw_ts"))
+    both = both.withColumn("_end", F.least(following, F.col("hw_ts") + sync_us))
+    step = lambda at, n, own: F.struct(F.col(at).alias("at"), F.lit(n).alias("n"), F.lit(own).alias("own"))
+    steps = F.when(F.col("_t"), F.array(step("hw_ts", 1, True), step("_end", -1, False))).otherwise(F.array(step("hw_ts", 0, False)))
+    both = both.withColumn("_s", F.explode(steps)).withColumn("_at", F.col("_s.at"))
+    time = Window.partitionBy(*by).orderBy("_at")
+    blocked = F.when(~F.col("_t"), F.col("_at"))
+    slots = F.sum("_s.n").over(time.rangeBetween(Window.unboundedPreceding, 0))
     last = F.max(blocked).over(time.rangeBetween(Window.unboundedPreceding, 0))
-    first = F.min(blocked).over(time.rangeBetween(1, Window.unboundedFollowing))
-    seen = both.withColumn("n_slots", slots).withColumn("_last", last).withColumn("_next", first).where("_t")
+    back = Window.partitionBy(*by).orderBy((-F.col("_at")).alias("_back")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("n_slots", slots).withColumn("_last", last).withColumn("_next", F.min(blocked).over(back)).where("_s.own")
     free = F.coalesce(F.col("hw_ts") - F.col("_last") > block_us, F.lit(True)) & F.coalesce(F.col("_next") - F.col("hw_ts") >= wait_us, F.lit(True))
-    return seen.where(free & (F.col("n_slots") >= needed)).drop("_t", "_last", "_next")
+    return seen.where(free & (F.col("n_slots") >= needed)).drop("_t", "_last", "_next", "_end", "_s", "_at")
 
 
 def as_of_state(events: DataFrame, states: DataFrame, by: Sequence[str], state: str = "enabled") -> DataFrame:

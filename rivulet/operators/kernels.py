@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 from types import SimpleNamespace
 
 import numpy as np
 
 Step = tuple[list[int], dict[str, list]]
+#: Samples of a block in the recursive filter.
+BLOCK = 64
 
 
 class Kernel:
@@ -53,19 +56,20 @@ class LevelCrossing(Kernel):
 
     def step(self, state, columns):
         x = vectors(columns["value"])
+        if not len(x):
+            return [], {"crossed": []}
         side = x if self.upslope else -x
         limit = self.threshold if self.upslope else -self.threshold
-        out = []
-        for k, now in enumerate(side):
-            if state.left > 0:
-                state.left -= 1
-                if state.left == 0:
-                    state.prev = now
-                continue
-            if state.prev is not None and ((state.prev <= limit) & (now > limit)).any():
-                out.append(k)
-                state.left = self.block
-            state.prev = now
+        before = np.concatenate([side[:1] if state.prev is None else state.prev[None], side[:-1]])
+        at = np.flatnonzero(((before <= limit) & (side > limit)).any(1))
+        # Where it crosses is known for all samples at once; what remains is to go from one event past its block to the next.
+        out, free = [], state.left
+        k = int(np.searchsorted(at, free))
+        while k < len(at):
+            out.append(int(at[k]))
+            free = out[-1] + self.block + 1
+            k = int(np.searchsorted(at, free))
+        state.left, state.prev = max(0, free - len(x)), side[-1]
         return out, {"crossed": [True] * len(out)}
 
 
@@ -301,7 +305,10 @@ class Fir(Kernel):
 
 @dataclass
 class Biquad(Kernel):
-    """Cascade of second-order sections (b0, b1, b2, a0, a1, a2; a0 is taken as 1), then a gain; registers start at zero."""
+    """Cascade of second-order sections (b0, b1, b2, a0, a1, a2; a0 is taken as 1), then a gain; registers start at zero.
+
+    Samples go in blocks: a section's output over a block is a matrix product of the block and of its two registers.
+    """
 
     sections: tuple[tuple[float, ...], ...] = ((1.0, 0.0, 0.0, 1.0, 0.0, 0.0),)
     gain: float = 1.0
@@ -313,16 +320,38 @@ class Biquad(Kernel):
     def step(self, state, columns):
         x = vectors(columns["value"])
         if state.w is None:
-            state.w = [(np.zeros(x.shape[1]), np.zeros(x.shape[1])) for _ in self.sections]
-        out = []
-        for y in x:
-            for k, (b0, b1, b2, _, a1, a2) in enumerate(self.sections):
-                w0, w1 = state.w[k]
-                u = y - a1 * w0 - a2 * w1
-                y = b0 * u + b1 * w0 + b2 * w1
-                state.w[k] = (u, w0)
-            out.append((y * self.gain).tolist())
-        return list(range(len(out))), {"filtered": out}
+            state.w = [np.zeros((2, x.shape[1])) for _ in self.sections]
+        y = np.empty_like(x)
+        for lo in range(0, len(x), BLOCK):
+            part = x[lo : lo + BLOCK]
+            n = len(part)
+            for k, section in enumerate(self.sections):
+                forced, free, into, over = block_response(section)
+                w = state.w[k]
+                # The registers after n samples are the free and forced responses of the recursive part.
+                state.w[k] = over[n] @ w + into[:, BLOCK - n :] @ part
+                part = forced[:n, :n] @ part + free[:n] @ w
+            y[lo : lo + n] = part * self.gain
+        return list(range(len(x))), {"filtered": y.tolist()}
+
+
+@lru_cache(256)
+def block_response(section: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a section over a block: outputs by input (lower triangular), outputs by register, registers at the end of n samples
+    by input (the last n columns), and by register for every n."""
+    b0, b1, b2, _, a1, a2 = section
+    move = np.array([[-a1, -a2], [1.0, 0.0]])
+    over = [np.eye(2)]
+    for _ in range(BLOCK):
+        over.append(move @ over[-1])
+    over = np.stack(over)
+    out = np.array([b1 - a1 * b0, b2 - a2 * b0])
+    free = np.stack([out @ p for p in over[:BLOCK]])
+    pulse = np.concatenate([[b0], free[: BLOCK - 1, 0]])
+    i, j = np.indices((BLOCK, BLOCK))
+    forced = np.where(i >= j, pulse[np.maximum(i - j, 0)], 0.0)
+    into = over[:BLOCK, :, 0][::-1].T
+    return forced, free, into, over
 
 
 @dataclass

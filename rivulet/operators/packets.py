@@ -19,11 +19,13 @@ TIME_HIGH, TIME_LOW, DIGITAL = 3, 4, 6
 
 
 def words_of(raw: Column, nchannels: int, swapped: bool = False) -> Column:
-    """The little-endian 32-bit words of a binary packet; swapped: each 16-bit half has its bytes exchanged."""
-    byte = lambda i: F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("long")
-    word = lambda k: byte(4 * k) + byte(4 * k + 1) * 256 + byte(4 * k + 2) * 65536 + byte(4 * k + 3) * 16777216
+    """The little-endian 32-bit words of a binary packet; swapped: each 16-bit half has its bytes exchanged. Null where the
+    packet is too short."""
+    # One string of hex digits for the packet, of which each word takes four pairs, the last one first.
+    word = lambda h, k: F.conv(F.concat(*[F.substring(h, 8 * k + 2 * j + 1, F.lit(2)) for j in (3, 2, 1, 0)]), 16, 10).cast("long")
     signed = lambda w: F.when(w >= 1 << 31, w - (1 << 32)).otherwise(w).cast("int")
-    words = F.transform(F.sequence(F.lit(0), F.lit(HEADER + nchannels)), lambda k: signed(word(k)))
+    digits = lambda h: F.transform(F.sequence(F.lit(0), F.lit(HEADER + nchannels)), lambda k: signed(word(h, k)))
+    words = F.get(F.transform(F.array(F.hex(raw)), digits), 0)
     return F.transform(words, S.swap_16) if swapped else words
 
 
@@ -55,16 +57,26 @@ def decode(packets: DataFrame, nchannels: int, channels: Sequence[int] | None =
     )
 
 
-def check_times(rows: DataFrame, by: Sequence[str], order: Sequence[str], period_us: float = 31.25) -> DataFrame:
+def check_times(rows: DataFrame, by: Sequence[str], order: Sequence[str], period_us: float = 31.25, chunk: int | None = None) -> DataFrame:
     """Adds status (first, duplicated, out_of_order, gap or ok) and missed (samples left out before this one).
 
-    The time compared with is the largest one before, so a late packet does not move it.
+    The time compared with is the largest one before, so a late packet does not move it. chunk: length of a chunk of the first
+    column of the order; the largest times of the chunks before are then joined to each, so one long stream is many tasks.
     """
-    last = F.max("hw_ts").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if chunk is None:
+        rows = rows.withColumn("_last", F.max("hw_ts").over(before(Window.partitionBy(*by).orderBy(*order))))
+    else:
+        kept = rows.columns
+        cut = rows.withColumn("_chunk", F.floor(F.col(order[0]) / chunk))
+        heads = cut.groupBy(*by, "_chunk").agg(F.max("hw_ts").alias("_m"))
+        heads = heads.select(*by, "_chunk", F.max("_m").over(before(Window.partitionBy(*by).orderBy("_chunk"))).alias("_head"))
+        own = F.max("hw_ts").over(before(Window.partitionBy(*by, "_chunk").orderBy(*order)))
+        rows = cut.withColumn("_own", own).join(heads, [*by, "_chunk"]).select(*kept, F.greatest("_head", "_own").alias("_last"))
     delta, limit = F.col("hw_ts") - F.col("_last"), int(period_us) + 1
     status = F.when(F.col("_last").isNull(), "first").when(delta == 0, "duplicated").when(delta < 0, "out_of_order").when(delta > limit, "gap").otherwise("ok")
     missed = F.when(F.col("status") == "gap", F.floor(delta / period_us + 0.5).cast("long") - 1).otherwise(F.lit(0).cast("long"))
-    return rows.withColumn("_last", last).withColumn("status", status).withColumn("missed", missed).drop("_last")
+    return rows.withColumn("status", status).withColumn("missed", missed).drop("_last")
 
 
 def quality(checked: DataFrame, by: Sequence[str]) -> DataFrame:
