@@ -180,6 +180,7 @@ class Oscillation(Kernel):
     The threshold is `deviations` times the running deviation and is set once for each bucket of samples. The burn-in takes
     whole buckets. Locked and disabled samples change neither the crossing state nor the statistics. A column `enabled`, if it
     is there, switches detection by sample. With power, a sample is the mean of its channels' squares, else their mean.
+    With downsample only every so many samples are shown; one that fires is returned all the same, with shown false.
     """
 
     deviations: float = 6.0
@@ -190,7 +191,7 @@ class Oscillation(Kernel):
     power: bool = True
     downsample: int = 1
     gated: bool = False
-    returns = "test_value double, threshold double, detected boolean, locked boolean"
+    returns = "test_value double, threshold double, detected boolean, locked boolean, shown boolean"
 
     def __post_init__(self):
         self.reads = ("value", "enabled") if self.gated else ("value",)
@@ -204,7 +205,7 @@ class Oscillation(Kernel):
         x = vectors(columns["value"])
         v = (x * x).mean(1) if self.power else x.mean(1)
         on = columns["enabled"].tolist() if self.gated else [True] * len(v)
-        rows, out = [], {"test_value": [], "threshold": [], "detected": [], "locked": []}
+        rows, out = [], {"test_value": [], "threshold": [], "detected": [], "locked": [], "shown": []}
         for k, (value, enabled) in enumerate(zip(v.tolist(), on, strict=True)):
             if state.at == 0 and not state.stats.burning_in:
                 state.warm = True
@@ -228,7 +229,7 @@ class Oscillation(Kernel):
                 state.stats.add(value)
             if show or fired:
                 rows.append(k)
-                for name, y in zip(out, (test, state.threshold, fired, locked), strict=True):
+                for name, y in zip(out, (test, state.threshold, fired, locked, show), strict=True):
                     out[name].append(y)
         return rows, out
 
@@ -468,8 +469,9 @@ class Delayed(Kernel):
     """Detections to trigger messages: at once or after a delay, with lockouts and analysis windows in event time.
 
     Modes: detection (emits `detection` only), ontime (emits `ontime` at the detection), delayed (emits `detection` at once and
-    `delayed` at the detection plus its delay). After each message the analysis is off in [at + offset, at + offset + length):
-    inputs and stimulations that fall there are dropped. Columns: hw_ts and, for the delayed mode, delay.
+    `delayed` at the detection plus its delay). Each stimulation (the delayed or ontime message) at time at turns the analysis
+    off in [at + offset, at + offset + analysis) for each of the offsets: detections that fall there are dropped, and so are
+    stimulations of earlier decisions. Columns: hw_ts and, for the delayed mode, delay.
     """
 
     mode: str = "ontime"
@@ -477,24 +479,24 @@ class Delayed(Kernel):
     after_stimulation: bool = True
     after_detection: bool = False
     analysis: int = 0
-    offset: int = 0
+    offsets: tuple[int, ...] = (0,)
     detection: str = "r"
     ontime: str = "o"
     delayed: str = "d"
     returns = "at long, message string"
 
     def __post_init__(self):
-        if self.lockout < 0:
-            raise ValueError("lockout must not be negative")
+        if self.lockout < 0 or self.analysis < 0:
+            raise ValueError("a lockout must not be negative")
         if self.mode not in ("detection", "ontime", "delayed"):
             raise ValueError(f"unknown mode {self.mode}")
         self.reads = ("hw_ts", "delay") if self.mode == "delayed" else ("hw_ts",)
 
     def init(self):
-        return SimpleNamespace(prev=-math.inf, last=-math.inf, off=[])
+        return SimpleNamespace(prev=-math.inf, last=-math.inf, windows=[])
 
-    def _off(self, s, t) -> bool:
-        return any(a <= t < a + self.analysis for a in s.off)
+    def off(self, s, t) -> bool:
+        return any(a <= t < a + self.analysis for a in s.windows)
 
     def step(self, s, columns):
         rows, at, messages = [], [], []
@@ -504,12 +506,14 @@ class Delayed(Kernel):
             rows.append(k)
             at.append(t)
             messages.append(message)
+
+        def block(t) -> None:
             if self.analysis:
-                s.off.append(t + self.offset)
+                s.windows += [t + offset for offset in self.offsets]
 
         for k, (t, wait) in enumerate(zip(columns["hw_ts"].tolist(), delays, strict=True)):
-            s.off = [a for a in s.off if a + self.analysis > t]
-            if self._off(s, t):
+            s.windows = [a for a in s.windows if a + self.analysis > t]
+            if self.off(s, t):
                 continue
             if self.mode == "detection":
                 if not (self.after_detection and t - s.prev <= self.lockout):
@@ -518,14 +522,16 @@ class Delayed(Kernel):
             elif self.mode == "ontime":
                 if not ((self.after_detection or self.after_stimulation) and t - s.prev <= self.lockout):
                     emit(k, t, self.ontime)
+                    block(t)
                     s.prev = t
             else:
                 due = t + wait
                 if (self.after_stimulation and due - s.last <= self.lockout) or (self.after_detection and t - s.prev <= self.lockout):
                     continue
                 emit(k, t, self.detection)
-                if not self._off(s, due):
+                if not self.off(s, due):
                     emit(k, due, self.delayed)
+                    block(due)
                     s.last = max(s.last, due)
                 s.prev = t if self.after_detection else s.prev
         return rows, {"at": at, "message": messages}

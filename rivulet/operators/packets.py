@@ -85,6 +85,25 @@ def quality(checked: DataFrame, by: Sequence[str]) -> DataFrame:
     return checked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), n("duplicated").alias("n_duplicated"), n("out_of_order").alias("n_out_of_order"), n("gap").alias("n_gaps"), F.sum("missed").alias("n_missed"))
 
 
+def parse(packets: DataFrame, nchannels: int, by: Sequence[str], order: Sequence[str], batch: int = 2, gap_fill: str = "asap", trigger: int | None = None, period_us: float = 31.25) -> dict[str, DataFrame]:
+    """Packets (by, order, words) as samples: data (by, order, copy, hw_ts, digital, values) and invalid (counts by error code).
+
+    Valid packets are taken from the first one on whose digital word has the trigger's bit, if a trigger is named. After each
+    batch the last sample is repeated for what was missed, copy counting the repeats from 1; a last partial batch is dropped.
+    """
+    from rivulet.operators import events, kernels, runner, signal
+
+    (key,) = by
+    decoded = decode(packets, nchannels)
+    invalid = decoded.where("error <> 0").groupBy(*by, "error").agg(F.count(F.lit(1)).alias("n"))
+    valid = decoded.where("error = 0").select(*by, *order, "hw_ts", "digital", "values")
+    if trigger is not None:
+        valid = events.one_shot_gate(valid, S.bit_is_set(F.col("digital"), trigger), by, order)
+    valid = signal.rebuffer_rows(valid, by, order, 1, batch)
+    filled = runner.batch(valid, key, order, kernels.GapFill(batch, gap_fill, period_us), [*order, "hw_ts", "digital", "values"])
+    return {"data": repeat_rows(filled).drop("copies"), "invalid": invalid}
+
+
 def repeat_rows(rows: DataFrame, copies: str = "copies") -> DataFrame:
     """Each row, followed by as many copies of itself; adds copy, 0 for the row itself."""
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies))))

@@ -68,6 +68,17 @@ def rebuffer(samples: DataFrame, by: Sequence[str], order: Sequence[str], factor
     return packed if keep_partial else packed.where(F.col("n") == size)
 
 
+def rebuffer_rows(samples: DataFrame, by: Sequence[str], order: Sequence[str], factor: int, size: int, chunk: int | None = None) -> DataFrame:
+    """Every factor-th sample from the first on, as rows with all their columns, without those of a last partial buffer."""
+    if factor < 1 or size < 1:
+        raise ValueError("factor and size must be 1 or more")
+    kept = numbered(samples, by, order, chunk).where(F.col("_seq") % factor == 0).withColumn("_out", F.expr(f"_seq div {factor}"))
+    if size == 1:
+        return kept.drop("_seq", "_out")
+    whole = kept.groupBy(*by).agg(F.expr(f"count(1) div {size} * {size}").alias("_whole"))
+    return kept.join(whole, list(by)).where("_out < _whole").select(*samples.columns)
+
+
 def buffer_size(seconds: float, rate: float, factor: int = 1) -> int:
     """Whole samples, after decimation, of a buffer of so many seconds; one at least."""
     if seconds <= 0:

@@ -76,6 +76,112 @@ FIRST = f"(0.2::DOUBLE * ({SECTION}) + 0.4::DOUBLE * p0 + 0.2::DOUBLE * p1)"
 SECOND = f"({FIRST} - 0.3::DOUBLE * q0)"
 CLICKS = "event IN ('click', 'view')"
 
+MISSED = f"missed + CASE WHEN {DIV} - last > 11 THEN CAST(floor(({DIV} - last) / 10.0::DOUBLE + 0.5) AS BIGINT) - 1 ELSE 0 END"
+#: A standard normal number by the hash of seed, salt and number n.
+UNIFORM = "((('0x' || substr(md5('{{k}}:{salt}:' || {{n}}), 1, 12))::BIGINT + 1) / 281474976710656::DOUBLE)"
+NORMAL = f"(sqrt(-2 * ln({UNIFORM.format(salt=1)})) * cos(6.283185307179586::DOUBLE * {UNIFORM.format(salt=2)}))"
+
+
+def detector(v: str, burn: int, warm: int, dev: float, block: int, alpha: float, bucket: int = 1, on: str = "true") -> dict[str, str]:
+    """Next values of an oscillation detector's state: c, d, thr, prev, left_, and what it says of the row."""
+    a0, a = f"({1 / burn!r}::DOUBLE + (1 - {1 / burn!r}::DOUBLE) / (n + 1))", f"{alpha!r}::DOUBLE"
+    live, open_ = f"n >= {warm}", f"(left_ = 0 AND {on})"
+    thr = f"CASE WHEN {live} AND n % {bucket} = 0 THEN {dev!r}::DOUBLE * d ELSE thr END"
+    test = f"abs({v} - c)"
+    c = lambda w: f"((1 - {w}) * c + {w} * {v})"
+    d = lambda w: f"((1 - {w}) * d + {w} * abs({v} - {c(w)}))"
+    pick = lambda f, same: f"CASE WHEN n < {burn} THEN {f(a0)} WHEN n < {warm} THEN {f(f'{1 / burn!r}::DOUBLE')} WHEN {open_} THEN {f(a)} ELSE {same} END"
+    fired = f"({live} AND {open_} AND prev <= ({thr}) AND {test} > ({thr}))"
+    return {
+        "c": pick(c, "c"), "d": pick(d, "d"), "thr": thr, "prev": f"CASE WHEN {live} AND {open_} THEN {test} ELSE prev END", "left_": f"CASE WHEN {fired} THEN {block} WHEN {live} AND left_ > 0 THEN left_ - 1 ELSE left_ END",
+        "test": test, "fired": fired, "locked": f"{live} AND left_ > 0", "live": live,
+    }
+
+
+START = {"c": "0::DOUBLE", "d": "0::DOUBLE", "thr": "0::DOUBLE", "prev": "'infinity'::DOUBLE", "left_": "0", "test": "0::DOUBLE", "fired": "false", "locked": "false", "live": "false"}
+
+
+def loop(step: dict[str, str], out: str, more: dict[str, tuple[str, str]], **options) -> str:
+    """A fold of a detector's state and more: (first value, next value) by name."""
+    init = ", ".join([f"{START[k]} AS {k}" for k in step] + [f"{x} AS {k}" for k, (x, _) in more.items()])
+    return fold(init, ", ".join([*step.values(), *(y for _, y in more.values())]), out, **options)
+
+
+BUCKETS = loop(
+    detector("(value * value)", 10, 12, 2.0, 3, 0.1, 4), "id AS event_id, round(test, 4) AS test_value, round(thr, 4) AS threshold, fired AS detected, locked, shown",
+    {"shown": ("false", "n >= 12 AND (n - 12) % 3 = 0")}, state_filter="(shown OR fired)",
+)
+CLOSED = loop(
+    detector("(value * value)", 10, 10, 2.0, 0, 0.1, 1, "hw_ts >= until"), "u AS stream_id, t AS hw_ts, 'o' AS event",
+    {"until": ("0::BIGINT", f"CASE WHEN {detector('(value * value)', 10, 10, 2.0, 0, 0.1, 1, 'hw_ts >= until')['fired']} THEN hw_ts + {2 * DAY} ELSE until END"), "t": ("0::BIGINT", "hw_ts")}, state_filter="fired",
+)
+
+HIT = (
+    "NULL::DOUBLE AS prev, 0 AS left_, false AS fired, 0::BIGINT AS t",
+    "CASE WHEN left_ <= 1 THEN value ELSE prev END, CASE WHEN left_ > 0 THEN left_ - 1 WHEN prev <= 60 AND value > 60 THEN 1 ELSE 0 END, left_ = 0 AND coalesce(prev <= 60 AND value > 60, false), hw_ts",
+    "u AS user_id, t AS hw_ts",
+)
+HALF = "0.5::DOUBLE * value + 0.5::DOUBLE * coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY hw_ts, event_id), 0)"
+LAST = lambda hits, blocks, before, after: f"""SELECT h.* FROM ({hits}) h WHERE NOT EXISTS (SELECT 1 FROM ({blocks}) b WHERE b.user_id = h.user_id AND b.hw_ts >= h.hw_ts - {before} AND b.hw_ts <= h.hw_ts)
+  AND NOT EXISTS (SELECT 1 FROM ({blocks}) b WHERE b.user_id = h.user_id AND b.hw_ts > h.hw_ts AND b.hw_ts < h.hw_ts + {after})"""
+GRAPH = fold(
+    "NULL::BIGINT AS prev, false AS fired", f"CASE WHEN prev IS NULL OR hw_ts - prev > {DAY} THEN hw_ts ELSE prev END, prev IS NULL OR hw_ts - prev > {DAY}", "u AS stream_id, prev AS hw_ts, 'o' AS event", state_filter="fired",
+    extra=f""", ha AS ({fold(*HIT, state_filter="fired", source="x", extra=f", x AS (SELECT event_id, user_id, hw_ts, {HALF} AS value FROM e WHERE event_id % 2 = 0)")}),
+      hb AS ({fold(*HIT, "event_id % 2 = 1", "fired")}), g AS (SELECT hw_ts AS event_id, user_id, hw_ts FROM ({LAST("SELECT * FROM ha", "SELECT * FROM hb", DAY // 2, 0)}))""",
+    source="g", order="hw_ts",
+)
+
+GRAPH_EVENTS = """
+WITH t AS (SELECT i * 333000 AS hw_ts FROM range(600) t(i)), b AS (SELECT i * 50000 AS hw_ts FROM range(4000) t(i)),
+f AS (SELECT t.hw_ts FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.hw_ts BETWEEN t.hw_ts - 10000 AND t.hw_ts) AND NOT EXISTS (SELECT 1 FROM b WHERE b.hw_ts > t.hw_ts AND b.hw_ts < t.hw_ts + 2000))
+SELECT hw_ts, 'target' AS event, (SELECT count(*) FROM f) AS n_all, (SELECT count(*) FROM f) AS n_target FROM f"""
+
+GRAPH_PACKETS = """
+WITH p AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS n, count(*) OVER () AS total, 31 * (vec_id - lag(vec_id) OVER (ORDER BY vec_id)) AS gap FROM embeddings WHERE vec_id % 40 NOT BETWEEN 5 AND 15),
+m AS (SELECT *, sum(CASE WHEN gap > 32 THEN CAST(floor(gap / 31.25::DOUBLE + 0.5) AS BIGINT) - 1 ELSE 0 END) OVER (ORDER BY n) AS missed FROM p WHERE n <= total // 10 * 10),
+c AS (SELECT *, CASE WHEN n % 10 = 0 THEN 10 * (missed // 10 - coalesce(lag(missed, 10) OVER (ORDER BY n), 0) // 10) ELSE 0 END::BIGINT AS copies FROM m),
+r AS (SELECT *, unnest(range(copies + 1)) AS copy FROM c)
+""" + " UNION ALL ".join(f"SELECT '{port}' AS port, vec_id AS arrival, copy, vec_id * 31 AS hw_ts, (vec_id % 256)::INTEGER AS digital, " + ", ".join(f"round(round(embedding[{k + c + 1}]::DOUBLE * 1000) * 0.015624999960550667::DOUBLE, 6) + 0::DOUBLE AS v{c}" for c in range(4)) + " FROM r" for port, k in (("a", 1), ("b", 5)))
+
+RAW = lambda c: f"((round(value * 100) * {c + 1} - event_id * {c + 3} % 1000) * 0.015624999960550667::DOUBLE)"
+FILTERED = lambda c: f"(0.5::DOUBLE * x{c} - 0.25::DOUBLE * coalesce(lag(x{c}) {W}, 0) + 0.25::DOUBLE * coalesce(lag(x{c}, 2) {W}, 0))"
+SIGNALS = f", w AS (SELECT event_id, user_id, hw_ts, {', '.join(f'{RAW(c)} AS x{c}' for c in (1, 2, 3))} FROM e), y AS (SELECT event_id, user_id, hw_ts, {', '.join(f'{FILTERED(c)} AS y{c}' for c in (1, 2, 3))} FROM w)"
+SECOND_ = loop(detector("v", 10, 10, 2.0, 2, 0.1), "u AS user_id, t AS hw_ts", {"t": ("0::BIGINT", "hw_ts")}, state_filter="fired", source="z", extra=SIGNALS + ", z AS (SELECT event_id, user_id, hw_ts, y2 * y2 AS v FROM y)")
+FIRST_ = detector("v", 10, 10, 1.5, 2, 0.1, 1, "hw_ts >= until")
+SENT = f"({FIRST_['fired']} AND free AND (told IS NULL OR hw_ts - told > {25 * HOUR}))"
+GRAPH_RIPPLE = loop(
+    FIRST_, "u AS stream_id, told AS hw_ts, 'o' AS message",
+    {"until": ("0::BIGINT", f"CASE WHEN {SENT} THEN hw_ts + {12 * HOUR} ELSE until END"), "told": ("NULL::BIGINT", f"CASE WHEN {SENT} THEN hw_ts ELSE told END"), "sent": ("false", f"coalesce({SENT}, false)")},
+    state_filter="sent", source="z",
+    extra=SIGNALS + f""", k AS ({SECOND_}), z AS (SELECT event_id, user_id, hw_ts, (y1 * y1 + y3 * y3) / 2 AS v,
+      NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = y.user_id AND k.hw_ts >= y.hw_ts - {DAY} AND k.hw_ts <= y.hw_ts) AND NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = y.user_id AND k.hw_ts > y.hw_ts AND k.hw_ts < y.hw_ts + {HOUR}) AS free FROM y)""",
+)
+
+PULSES = f"""
+WITH {E}, q AS (SELECT *, last_value(CASE event WHEN 'click' THEN 1 WHEN 'error' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hw_ts, event_id) AS c0,
+  last_value(CASE event WHEN 'click' THEN 1 WHEN 'error' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY hw_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c0_before,
+  max(CASE WHEN event = 'purchase' THEN hw_ts END) {W} AS pulsed FROM e),
+p AS (SELECT user_id, hw_ts + {12 * HOUR} AS due, lead(hw_ts) {W} AS again FROM e WHERE event = 'purchase')
+SELECT event_id, hw_ts AS at, coalesce(c0, 0) || '0' || coalesce(hw_ts - pulsed < {12 * HOUR}, false)::INTEGER || '0' AS state FROM q WHERE event IN ('purchase', 'click', 'error')
+UNION ALL
+SELECT q.event_id, p.due AS at, coalesce(q.c0_before, 0) || '000' AS state FROM p ASOF JOIN q ON p.user_id = q.user_id AND p.due <= q.hw_ts WHERE again IS NULL OR again >= due"""
+
+NOW = "list_transform(embedding, lambda x: -(x::DOUBLE))"
+FRESH = f"list_transform({NOW}, lambda x, i: NOT peaks[i] AND slopes[i] > 0 AND x < prev[i])"
+PEAKED = f"list_transform({FRESH}, lambda f, i: peaks[i] OR f)"
+AMPS = f"list_transform({FRESH}, lambda f, i: CASE WHEN f THEN prev[i] ELSE amps[i] END)"
+OPEN_ = f"list_bool_or(list_transform({NOW}, lambda x, i: prev[i] <= 0.2::DOUBLE AND x > 0.2::DOUBLE))"
+DONE = f"(searching AND (left_ = 1 OR list_bool_and({PEAKED})))"
+SPIKES_64 = fold(
+    "list_transform(range(64), lambda i: 0::DOUBLE) AS prev, list_transform(range(64), lambda i: 0::DOUBLE) AS slopes, false AS searching, 0 AS left_, 0::BIGINT AS ts, list_transform(range(64), lambda i: false) AS peaks, list_transform(range(64), lambda i: 0::DOUBLE) AS amps, false AS done",
+    f"""{NOW}, CASE WHEN (searching AND NOT {DONE}) OR (NOT searching AND {OPEN_}) THEN list_transform({NOW}, lambda x, i: CASE WHEN x <> prev[i] THEN x - prev[i] ELSE slopes[i] END) ELSE slopes END,
+      CASE WHEN searching THEN NOT {DONE} ELSE {OPEN_} END, CASE WHEN searching THEN left_ - 1 WHEN {OPEN_} THEN 3 ELSE left_ END, CASE WHEN NOT searching AND {OPEN_} THEN event_id ELSE ts END,
+      CASE WHEN searching THEN {PEAKED} WHEN {OPEN_} THEN list_transform(range(64), lambda i: false) ELSE peaks END, CASE WHEN searching THEN {AMPS} WHEN {OPEN_} THEN prev ELSE amps END,
+      {DONE} AND list_bool_or({PEAKED})""",
+    "id AS vec_id, ts AS spike_ts, array_to_string(list_transform(amps, lambda a: round(-a * 1000000)::BIGINT::VARCHAR), ',') AS amplitudes", state_filter="done",
+    extra=", m AS (SELECT vec_id AS event_id, vec_id % 8 AS stream, embedding FROM embeddings)", source="m", key="stream", order="event_id",
+)
+
 ORACLE = {
     "distributor": "SELECT vec_id, port, position, embedding[c + 1]::DOUBLE AS value FROM embeddings, (VALUES ('cx', 0, 9), ('cx', 1, 0), ('cx', 2, 9), ('hp', 0, 1), ('hp', 1, 2), ('hp', 2, 3)) t(port, position, c)",
     "sample_stats": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
@@ -142,7 +248,7 @@ ORACLE = {
         f"{SECTION}, p0, {SECOND}, 0.5::DOUBLE * ({SECOND} - q0)", "id AS event_id, round(y, 6) AS filtered",
     ),
     "multichannel_filter": """WITH m AS (SELECT vec_id, embedding AS x, lag(embedding, 1) OVER w AS y, lag(embedding, 2) OVER w AS z FROM embeddings WINDOW w AS (PARTITION BY vec_id % 4 ORDER BY vec_id))
-      SELECT vec_id, """ + ", ".join(f"round(0.5::DOUBLE * x[{c + 1}]::DOUBLE + 0.25::DOUBLE * coalesce(y[{c + 1}], 0)::DOUBLE + 0.25::DOUBLE * coalesce(z[{c + 1}], 0)::DOUBLE, 6) AS c{c}" for c in (0, 7, 63)) + " FROM m",
+      SELECT vec_id, """ + ", ".join(f"round(0.5::DOUBLE * x[{c + 1}]::DOUBLE + 0.25::DOUBLE * coalesce(y[{c + 1}], 0)::DOUBLE + 0.25::DOUBLE * coalesce(z[{c + 1}], 0)::DOUBLE, 6) AS c{c}" for c in range(64)) + " FROM m",
     "event_delayed_detection": fold("NULL::BIGINT AS prev, false AS fired", f"CASE WHEN prev IS NULL OR hw_ts - prev > {36 * HOUR} THEN hw_ts ELSE prev END, prev IS NULL OR hw_ts - prev > {36 * HOUR}", "id AS event_id, prev AS at, 'r' AS message", CLICKS, "fired"),
     "event_delayed_ontime": fold("NULL::BIGINT AS prev, false AS fired", f"CASE WHEN prev IS NULL OR hw_ts - prev > {36 * HOUR} THEN hw_ts ELSE prev END, prev IS NULL OR hw_ts - prev > {36 * HOUR}", "id AS event_id, prev AS at, 'o' AS message", CLICKS, "fired"),
     "event_delayed": "SELECT event_id, CASE m WHEN 'r' THEN t ELSE last END AS at, m AS message FROM (" + fold(
@@ -169,10 +275,35 @@ ORACLE = {
     "packet_decode": f"""WITH {E}, p AS (SELECT event_id, hw_ts, value, CASE WHEN event_id % 23 = 11 THEN 4 WHEN event_id % 11 = 3 THEN 2 WHEN event_id % 13 = 5 THEN 3 WHEN event_id % 17 = 7 THEN 5 WHEN event_id % 19 = 9 THEN 1 ELSE 0 END AS error FROM e)
       SELECT event_id, error, CASE WHEN error = 0 THEN hw_ts END AS hw_ts, CASE WHEN error = 0 THEN (event_id % 256)::INTEGER END AS digital, """
     + ", ".join(f"CASE WHEN error = 0 THEN round((round(value * 100) * {c + 1} - event_id % 1000)::DOUBLE * 0.015624999960550667::DOUBLE, 9) END AS v{c}" for c in range(4)) + " FROM p",
-    "message_unpack": "SELECT vec_id AS message_id, vec_id * 8 + i AS hw_ts, round(embedding[i + 1]::DOUBLE, 6) AS c0, round(embedding[7 * 8 + i + 1]::DOUBLE, 6) AS c7 FROM embeddings, range(8) t(i)",
+    "message_unpack": "SELECT vec_id AS message_id, vec_id * 8 + i AS hw_ts, " + ", ".join(f"round(embedding[{c} * 8 + i + 1]::DOUBLE, 6) AS c{c}" for c in range(8)) + " FROM embeddings, range(8) t(i)",
     "message_gaps": "WITH v AS (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events WHERE event_type = 'view') SELECT user_id, count(*) FILTER (WHERE d <> 1) AS n_gaps, count(*) AS n_messages FROM v GROUP BY user_id",
     "source_sine": "SELECT i AS seq, i * 1000 AS hw_ts, round(1.0 + 2.0 * sin(2 * 3.141592653589793::DOUBLE * 5.0 * (i * 1000) / 1e6), 6) AS value FROM range(2000) t(i)",
     "source_square": "SELECT i AS seq, i * 1000 AS hw_ts, CASE WHEN i % 250 < 75 THEN 3.0::DOUBLE ELSE -3.0::DOUBLE END AS value FROM range(2000) t(i)",
     "source_events": "SELECT i AS serial, i * 33000 AS hw_ts, ['foo', 'bar', 'baz'][1 + ('0x' || substr(md5('7:' || i), 1, 8))::BIGINT % 3] AS event FROM range(1000) t(i)",
+    "source_noise": f"SELECT i AS seq, i * 31 AS hw_ts, round({NORMAL.format(k='0', n='i')}, 6) AS value FROM range(2000) t(i)",
+    "source_ripple": f"""WITH x AS (SELECT i AS seq, i * 125 AS hw_ts, i % 1200 AS phase, i // 1200 AS n FROM range(4000) t(i)),
+      d AS (SELECT *, greatest(0, round(100 + {NORMAL.format(k='0', n='n')} * 10)) AS drawn, phase - 800::DOUBLE AS c FROM x)
+      SELECT seq, hw_ts, round(CASE WHEN phase >= 400 THEN drawn * exp(-0.5 * pow(c * 4.0 / 800, 2)) * cos(c * (6.283185307179586::DOUBLE * 200 / 8000)) ELSE 0 END, 6) + 0::DOUBLE AS value FROM d""",
+    "ripple_buckets": BUCKETS,
+    "spikes_channels": SPIKES_64,
+    "gap_fill_distributed": "SELECT event_id, unnest(range(copies + 1)) AS copy FROM (" + fold(
+        "NULL::BIGINT AS last, 0::BIGINT AS missed, 0::BIGINT AS filled, 0::BIGINT AS copies",
+        f"greatest(last, {DIV}), {MISSED}, filled + CASE WHEN (n + 1) % 2 = 0 AND {MISSED} - filled >= 2 THEN 2 ELSE 0 END, CASE WHEN (n + 1) % 2 = 0 AND {MISSED} - filled >= 2 THEN 2 ELSE 0 END",
+        "id AS event_id, copies",
+    ) + ")",
+    "digital_pulse": PULSES,
+    "graph": GRAPH,
+    "closed_loop": CLOSED,
+    "graph_events": GRAPH_EVENTS,
+    "graph_packets": GRAPH_PACKETS,
+    "graph_ripple": GRAPH_RIPPLE,
+    "fir_chunked": fir((0.5, 0.3, 0.2)).replace("PARTITION BY user_id ", ""),
+    "level_cross_chunked": f"WITH {E}, p AS (SELECT *, lag(value) OVER (ORDER BY hw_ts, event_id) AS p FROM e) SELECT event_id FROM p WHERE {LEVEL('p', 'value', True)}",
+    "rebuffer_chunked": f"""WITH {E}, q AS (SELECT *, row_number() OVER (ORDER BY hw_ts, event_id) - 1 AS i FROM e), k AS (SELECT *, i // 3 AS o FROM q WHERE i % 3 = 0)
+      SELECT (o // 4)::BIGINT AS buffer, 4::BIGINT AS n, min(hw_ts) AS hw_ts, {", ".join(f"max(value) FILTER (WHERE o % 4 = {j}) AS v{j}" for j in range(4))} FROM k GROUP BY o // 4 HAVING count(*) = 4""",
+    "time_check_chunked": f"""WITH {E}, a AS (SELECT event_id, {DIV} AS t, event_id + (event_id % 7) * 400 AS arrival FROM e),
+      l AS (SELECT *, max(t) OVER (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM a)
+      SELECT 0 AS stream_id, count(*) AS n, count(*) FILTER (WHERE t = last) AS n_duplicated, count(*) FILTER (WHERE t < last) AS n_out_of_order, count(*) FILTER (WHERE t - last > 3) AS n_gaps,
+        coalesce(sum(CAST(floor((t - last) / 2.5::DOUBLE + 0.5) AS BIGINT) - 1) FILTER (WHERE t - last > 3), 0)::BIGINT AS n_missed FROM l""",
     "serialized": f"WITH {E} SELECT event_id, hw_ts, event AS stream_id FROM e",
 }

@@ -1,8 +1,13 @@
-"""Graphs of named operators, from a dict or YAML-like structure, as one lazy plan.
+"""Graphs of named operators, from a dict or YAML text, as one lazy plan.
 
-{"processors": {name: {"class": ..., "options": {...}}}, "connections": [[from, to], ...]}; an end is `name`, `name.port` or
-`name.port.slot`. Names like `sink(1-3)` stand for several; ranges on both ends of a connection pair up.
-Streams are checked against what an input takes before anything is built.
+{"processors": {name: {"class": ..., "options": {...}}}, "connections": [...], "states": [...]}. A connection is
+`from = to` or [from, to]; an end is `name`, `name.port` or `name.port.slot`, or parts marked `p:port`, `f:name` and `s:slot`
+in any order. Names like `sink(1-3)` stand for several; ranges on both ends of a connection pair up. A state pair lets one
+processor's state switch another: an event state switches a detector as of its time; a trigger that switches the detector
+before it closes a loop, and detector, filter and trigger then become one kernel.
+
+Streams are checked against what an input takes before anything is built, and so are options: an unknown one fails. What
+concerns acquisition hardware, threads or logs only (addresses, priorities, intervals of messages) is taken and has no effect.
 """
 
 from __future__ import annotations
@@ -11,27 +16,21 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.functions import filters
 from rivulet.model import Accepts, StreamInfo
-from rivulet.operators import events as E
-from rivulet.operators import kernels as K
-from rivulet.operators import runner
-from rivulet.operators import signal as S
 
 
 def expand(name: str) -> list[str]:
     """source(1-3) is source1, source2, source3; lists (1,4) too."""
-    m = re.fullmatch(r"([^()]*)\(([^()]*)\)(.*)", name)
+    m = re.fullmatch(r"([^()]*?)\s*\(([^()]*)\)(.*)", name)
     if not m:
-        return [name]
+        return [name.strip()]
     numbers: list[int] = []
     for part in m[2].split(","):
         a, _, b = part.strip().partition("-")
         numbers += range(int(a), int(b or a) + 1)
-    return [f"{m[1]}{k}{m[3]}" for k in numbers]
+    return [f"{m[1].strip()}{k}{m[3].strip()}" for k in numbers]
 
 
 @dataclass
@@ -44,198 +43,207 @@ class Port:
     order: tuple[str, ...] = ("hw_ts",)
 
 
+@dataclass
+class Context:
+    """What a processor is built from: its inputs by port, its options, the session and the seconds of generated sources."""
+
+    inputs: dict[str, list[Port]]
+    options: dict
+    spark: SparkSession | None = None
+    seconds: float | None = None
+    name: str = ""
+    #: State rows (key, hw_ts, enabled) that switch this processor, if any.
+    enabled: Port | None = None
+
+    def one(self, port: str) -> Port:
+        if len(self.inputs.get(port, [])) != 1:
+            raise ValueError(f"{self.name}: port {port} takes one stream")
+        return self.inputs[port][0]
+
+    def __getitem__(self, option: str):
+        return self.options[option]
+
+
 @dataclass
 class Operator:
     takes: dict[str, Accepts]
-    build: Callable[[dict[str, list[Port]], dict], dict[str, Port]]
+    options: dict
+    build: Callable[[Context], dict[str, Port]]
 
 
 OPERATORS: dict[str, Operator] = {}
+#: Options of any processor that have no effect on results.
+IDLE = {"address": None, "port": None, "update interval": None, "discard warnings": None, "event logging": None, "port address": None, "baud rate": None, "statistics buffer size": None, "strict time bin check": None}
 
 
-def operator(name: str, **takes: Accepts):
-    """Registers a new operator: build(inputs by port, options) returns outputs by port."""
+def operator(*names: str, options: dict | None = None, **takes: Accepts):
+    """Registers an operator under its names: build(context) returns outputs by port. options: their defaults, by name; a
+    nested dict holds an option's parts."""
 
     def register(build):
-        OPERATORS[name] = Operator(takes, build)
+        for name in names:
+            OPERATORS[name] = Operator({k.replace("_", " "): v for k, v in takes.items()}, options or {}, build)
         return build
 
     return register
 
 
-def _one(inputs: dict[str, list[Port]], port: str) -> Port:
-    if len(inputs.get(port, [])) != 1:
-        raise ValueError(f"port {port} takes one stream")
-    return inputs[port][0]
-
-
-def _kernel(port: Port, kernel: K.Kernel, keep=("hw_ts",)) -> DataFrame:
-    return runner.batch(port.df, port.key, port.order, kernel, keep)
-
-
-def _numbered(port: Port) -> DataFrame:
-    return port.df.withColumn("value", F.col("values"))
+def options_of(name: str, known: dict, given: dict) -> dict:
+    """The defaults under what is given. `a/b` stands for part b of a; underscores are spaces."""
+    out = {k: dict(v) if isinstance(v, dict) and v else v for k, v in known.items()}
+    for raw, value in (given or {}).items():
+        key, _, part = str(raw).replace("_", " ").partition("/")
+        if part:
+            value = {part: value}
+        if key not in known:
+            if key in IDLE:
+                continue
+            raise ValueError(f"{name} has no option {raw!r}")
+        if isinstance(known[key], dict) and known[key]:
+            out[key] = options_of(f"{name}: {key}", out[key], value)
+        else:
+            out[key] = value
+    return out
 
 
-@operator("distributor", data=Accepts())
-def _distributor(inputs, options):
-    p = _one(inputs, "data")
-    made = S.distribute(p.df, options["channelmap"], p.info.nchannels)
-    return {name: Port(df, p.info.with_(nchannels=len(options["channelmap"][name])), p.key, p.order) for name, df in made.items()}
-
-
-@operator("filter", data=Accepts(channels=(1, 384)))
-def _filter(inputs, options):
-    p = _one(inputs, "data")
-    out = _kernel(Port(_numbered(p), p.info, p.key, p.order), filters.from_spec(options["filter"]))
-    return {"data": Port(out.withColumnRenamed("filtered", "values"), p.info, p.key, p.order)}
-
-
-@operator("levelcrossing", data=Accepts(channels=(1, 256)))
-def _levels(inputs, options):
-    p = _one(inputs, "data")
-    kernel = K.LevelCrossing(options.get("threshold", 0.0), options.get("upslope", True), options.get("post detect block", 2))
-    out = _kernel(Port(_numbered(p), p.info, p.key, p.order), kernel)
-    return {"events": Port(out.select(p.key, "hw_ts", F.lit(options.get("event", "threshold_crossing")).alias("event")), StreamInfo("events"), p.key, p.order)}
-
-
-@operator("ripple", data=Accepts(channels=(1, 256)))
-def _ripple(inputs, options):
-    p = _one(inputs, "data")
-    kernel = K.Oscillation(options.get("threshold dev", 6.0), options.get("smooth time", 10.0), options.get("analysis lockout", 30.0), p.info.sample_rate, p.info.nsamples, options.get("use power", True), options.get("statistics downsample factor", 1))
-    out = _kernel(Port(_numbered(p), p.info, p.key, p.order), kernel)
-    events = out.where("detected").select(p.key, "hw_ts", F.lit("ripple").alias("event"))
-    statistics = out.select(p.key, "hw_ts", "test_value", "threshold")
-    return {"events": Port(events, StreamInfo("events"), p.key, p.order), "statistics": Port(statistics, StreamInfo("statistics"), p.key, p.order)}
+def _overlaid(options: dict, more: dict) -> dict:
+    return {k: _overlaid(options[k], more[k]) if isinstance(options.get(k), dict) and isinstance(more.get(k), dict) else more.get(k, options.get(k)) for k in {**options, **more}}
 
 
-@operator("spike", data=Accepts(channels=(1, 8)))
-def _spike(inputs, options):
-    p = _one(inputs, "data")
-    out = _kernel(Port(_numbered(p), p.info, p.key, p.order), K.Spike(options.get("threshold", 60.0), options.get("invert signal", True), options.get("peak lifetime", 8)))
-    return {"spikes": Port(out.select(p.key, F.col("spike_ts").alias("hw_ts"), "amplitudes"), StreamInfo("spikes", p.info.nchannels), p.key, p.order)}
+def load(text: str) -> dict:
+    """A graph from YAML text."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading graphs from YAML needs a YAML parser; pass a dict instead") from e
+    graph = yaml.safe_load(text)
+    if not isinstance(graph, dict) or "processors" not in graph:
+        raise ValueError("a graph has processors")
+    return graph
 
 
-@operator("converter", events=Accepts("events"))
-def _converter(inputs, options):
-    p = _one(inputs, "events")
-    return {"events": Port(E.convert(p.df, options.get("event", "stimulation"), options.get("replace", True)), p.info, p.key, p.order)}
+@dataclass(frozen=True)
+class End:
+    name: str
+    port: str = ""
+    slot: str = ""
 
 
-@operator("eventfilter", events=Accepts("events"), blocking=Accepts("events"))
-def _eventfilter(inputs, options):
-    streams = inputs["events"]
-    slots = [p.df.withColumn("slot", F.lit(k)) for k, p in enumerate(streams)]
-    targets = slots[0]
-    for s in slots[1:]:
-        targets = targets.unionByName(s, allowMissingColumns=True)
-    target = options.get("target event")
-    targets = targets.where(F.col("event") == target) if target else targets
-    blockers = [p.df.where(F.col("event") == target) if target else p.df for p in inputs.get("blocking", [])]
-    block = blockers[0] if blockers else targets.where("false")
-    for b in blockers[1:]:
-        block = block.unionByName(b, allowMissingColumns=True)
-    needed = options.get("synchronous event criterion", 1)
-    needed = {"any": 1, "all": len(streams), 0: len(streams)}.get(needed, needed)
-    us = lambda name, default: int(1000 * options.get(name, default))
-    key = streams[0].key
-    out = E.coincidence_filter(targets, block, [key], us("sync time", 3.5), us("block duration", 10.0), us("block wait time", 1.5), needed)
-    return {"events": Port(out.select(key, "hw_ts", "event"), StreamInfo("events"), key, ("hw_ts",))}
+def end_of(text: str) -> End:
+    """name.port.slot, or parts marked f: (or n:), p: and s: in any order."""
+    parts = [p.strip() for p in re.split(r"\.", text)]
+    marked = {p[:2]: p[2:].strip() for p in parts if re.match(r"[fnps]:", p)}
+    plain = [p for p in parts if not re.match(r"[fnps]:", p)]
+    name = marked.get("f:") or marked.get("n:") or (plain.pop(0) if plain else "")
+    port = marked.get("p:") or (plain.pop(0) if plain else "")
+    return End(name, port.replace("_", " "), marked.get("s:") or (plain.pop(0) if plain else ""))
 
 
-@operator("delayed", events=Accepts("events"))
-def _delayed(inputs, options):
-    p = _one(inputs, "events")
-    us = lambda name, default: int(1000 * options.get(name, default))
-    mode = "detection" if options.get("detection only mode") else "delayed" if options.get("delayed") else "ontime"
-    low, high = (int(1000 * x) for x in options.get("delayed range", (150.0, 200.0)))
-    wait = F.lit(low) + F.pmod(F.xxhash64("hw_ts", F.lit(options.get("seed", 0))), F.lit(max(1, high - low + 1)))
-    kernel = K.Delayed(mode, us("trigger lockout", 50.0), options.get("after stimulation", True), options.get("after detection", False))
-    out = _kernel(Port(p.df.withColumn("delay", wait), p.info, p.key, p.order), kernel)
-    return {"events": Port(out.select(p.key, F.col("at").alias("hw_ts"), F.col("message").alias("event")), p.info, p.key, ("hw_ts",))}
+def edges_of(graph: dict) -> list[tuple[End, End]]:
+    edges = []
+    for c in graph.get("connections") or []:
+        a, b = c.split("=") if isinstance(c, str) else c
+        left, right = expand(a), expand(b)
+        if len(left) != len(right) and 1 not in (len(left), len(right)):
+            raise ValueError(f"{a} and {b} do not pair up")
+        n = max(len(left), len(right))
+        edges += [(end_of(x), end_of(y)) for x, y in zip(left * (n if len(left) == 1 else 1), right * (n if len(right) == 1 else 1), strict=True)]
+    return edges
 
 
 @dataclass
-class ClosedLoop(K.Kernel):
-    """Detector and trigger in one kernel, for graphs where the trigger's analysis windows switch the detector off.
-
-    Such a cycle has no order of operators: each sample is detected with the state that the messages before it have left.
+class Loop:
+    """Processors that one feedback binds together: a detector, its trigger, and the filter between them, if any."""
+
+    detector: str
+    trigger: str
+    filter: str | None = None
+    members: set = field(default_factory=set)
+
+
+def loops_of(graph: dict, edges: list[tuple[End, End]], kinds: dict[str, str]) -> tuple[list[Loop], dict[str, str]]:
+    """Feedback loops, and which processor's state switches which other one."""
+    loops, switched = [], {}
+    for pair in graph.get("states") or []:
+        (source, said), (target, asked) = (tuple(x.strip() for x in p.split(".", 1)) for p in pair)
+        if asked != "detection enabled" or said not in ("analysis enabled", "enabled"):
+            raise ValueError(f"state {said!r} of {source} does not switch {asked!r} of {target}")
+        if said == "enabled":
+            switched[target] = source
+            continue
+        after = {b.name for a, b in edges if a.name == target and kinds.get(b.name) in ("EventDelayed", "EventFilter", "delayed", "eventfilter") and b.port in ("", "events")}
+        between = [n for n in after if n != source and any(a.name == n and b.name == source for a, b in edges)]
+        if source not in after and len(between) != 1:
+            raise ValueError(f"no way from {target} to {source} that could be one kernel")
+        middle = None if source in after else between[0]
+        loops.append(Loop(target, source, middle, {target, source} | ({middle} if middle else set())))
+    return loops, switched
+
+
+def build(graph: dict | str, sources: dict[str, dict[str, Port]] | None = None, overrides: dict | None = None, spark: SparkSession | None = None, seconds: float | None = None) -> dict[str, dict[str, Port]]:
+    """Outputs of every processor, by name and port.
+
+    sources: outputs of processors that the graph does not define; for one that reads from outside (packets, messages) its
+    port `feed`. seconds: how long generated sources run. overrides: options laid over the graph's, by processor.
     """
+    from rivulet.plans import graph_operators  # registers the operators
 
-    detector: K.Oscillation = field(default_factory=K.Oscillation)
-    trigger: K.Delayed = field(default_factory=K.Delayed)
-    reads = ("value", "hw_ts", "delay")
-    returns = "at long, message string"
-
-    def init(self):
-        from types import SimpleNamespace
-
-        return SimpleNamespace(detector=self.detector.init(), trigger=self.trigger.init())
-
-    def step(self, state, columns):
-        import numpy as np
-        from dataclasses import replace
-
-        gated = replace(self.detector, gated=True)
-        rows, out = [], {"at": [], "message": []}
-        for k in range(len(columns["hw_ts"])):
-            t = columns["hw_ts"][k : k + 1]
-            on = not self.trigger._off(state.trigger, int(t[0]))
-            _, found = gated.step(state.detector, {"value": columns["value"][k : k + 1], "enabled": np.array([on])})
-            if any(found["detected"]):
-                _, told = self.trigger.step(state.trigger, {"hw_ts": t, "delay": columns["delay"][k : k + 1]})
-                rows += [k] * len(told["at"])
-                for c in out:
-                    out[c] += told[c]
-        return rows, out
-
-
-@operator("closedloop", data=Accepts(channels=(1, 256)))
-def _closed(inputs, options):
-    p = _one(inputs, "data")
-    detector = K.Oscillation(options.get("threshold dev", 6.0), options.get("smooth time", 10.0), options.get("analysis lockout", 30.0), p.info.sample_rate, p.info.nsamples, options.get("use power", True))
-    trigger = K.Delayed(options.get("mode", "ontime"), int(1000 * options.get("trigger lockout", 50.0)), analysis=int(1000 * options.get("stimulation lockout", 50.0)))
-    out = _kernel(Port(_numbered(p).withColumn("delay", F.lit(options.get("delay", 0)).cast("long")), p.info, p.key, p.order), ClosedLoop(detector, trigger))
-    return {"events": Port(out.select(p.key, F.col("at").alias("hw_ts"), F.col("message").alias("event")), StreamInfo("events"), p.key, ("hw_ts",))}
-
-
-def _overlaid(options: dict, more: dict) -> dict:
-    return {k: _overlaid(options[k], more[k]) if isinstance(options.get(k), dict) and isinstance(more.get(k), dict) else more.get(k, options.get(k)) for k in {**options, **more}}
-
-
-def build(graph: dict, sources: dict[str, dict[str, Port]], overrides: dict | None = None) -> dict[str, dict[str, Port]]:
-    """Outputs of every processor, by name and port. sources: outputs of processors that the graph does not define."""
+    graph = load(graph) if isinstance(graph, str) else graph
     processors = {n: spec for raw, spec in graph["processors"].items() for n in expand(raw)}
     for name, more in (overrides or {}).items():
-        processors[name] = processors[name] | {"options": _overlaid(processors[name].get("options", {}), more)}
-    edges = []
-    for a, b in graph.get("connections", []):
-        left, right = expand(a), expand(b)
-        if len(left) != len(right) and 1 not in (len(left), len(right)):
-            raise ValueError(f"{a} and {b} do not pair up")
-        n = max(len(left), len(right))
-        edges += zip(left * (n if len(left) == 1 else 1), right * (n if len(right) == 1 else 1), strict=True)
-    done = dict(sources)
+        processors[name] = processors[name] | {"options": _overlaid(processors[name].get("options") or {}, more)}
+    for name, spec in processors.items():
+        if spec["class"] not in OPERATORS:
+            raise ValueError(f"unknown operator {spec['class']!r}")
+        if extra := set(spec) - {"class", "options", "advanced"}:
+            raise ValueError(f"{name} has unknown parts {sorted(extra)}")
+    edges = edges_of(graph)
+    for a, b in edges:
+        for e in (a, b):
+            if e.name not in processors and e.name not in (sources or {}):
+                raise ValueError(f"no processor {e.name!r}")
+    loops, switched = loops_of(graph, edges, {n: s["class"] for n, s in processors.items()})
+    bound = {n: loop for loop in loops for n in loop.members}
+    done: dict[str, dict[str, Port]] = {n: p for n, p in (sources or {}).items() if n not in processors}
     waiting = dict(processors)
+
+    def context(name: str, without: set = frozenset()) -> Context:
+        op = OPERATORS[processors[name]["class"]]
+        inputs: dict[str, list[Port]] = {}
+        placed: dict[str, list[tuple[int, Port]]] = {}
+        for k, (a, b) in enumerate(e for e in edges if e[1].name == name and e[0].name not in without):
+            port = b.port if b.port in op.takes or b.port else next(iter(op.takes), "")
+            if port not in op.takes:
+                raise ValueError(f"{name} has no port {port!r}")
+            out = a.port or next(iter(done[a.name]))
+            if out not in done[a.name]:
+                raise ValueError(f"{a.name} has no port {out!r}")
+            op.takes[port].check(done[a.name][out].info, f"{name}.{port}")
+            placed.setdefault(port, []).append((int(b.slot) if b.slot else 1000 + k, done[a.name][out]))
+        inputs = {p: [x for _, x in sorted(found, key=lambda y: y[0])] for p, found in placed.items()}
+        if "feed" in (sources or {}).get(name, {}):
+            inputs["feed"] = [sources[name]["feed"]]
+        options = options_of(name, op.options, processors[name].get("options") or {})
+        made = Context(inputs, options, spark, seconds, name)
+        if name in switched:
+            made.enabled = done[switched[name]]["states"]
+        return made
+
     while waiting:
-        ready = [n for n in waiting if all(a.split(".")[0] in done for a, b in edges if b.split(".")[0] == n)]
+        needs = lambda n, own: {a.name for a, b in edges if b.name == n} | ({switched[n]} if n in switched else set()) - own
+        ready = [n for n in waiting if all(x in done for m in (bound[n].members if n in bound else {n}) for x in needs(m, set()) - (bound[n].members if n in bound else set()))]
         if not ready:
-            raise ValueError(f"a cycle or a missing source at {sorted(waiting)}; use closedloop for feedback")
+            raise ValueError(f"a cycle or a missing source at {sorted(waiting)}")
         for name in ready:
-            spec = waiting.pop(name)
-            if spec["class"] not in OPERATORS:
-                raise ValueError(f"unknown operator {spec['class']!r}")
-            op = OPERATORS[spec["class"]]
-            inputs: dict[str, list[Port]] = {}
-            for a, b in edges:
-                to, port = (*b.split("."), "")[:2]
-                if to != name:
-                    continue
-                source, out = (*a.split("."), "")[:2]
-                port, out = port or next(iter(op.takes)), out or next(iter(done[source]))
-                if port not in op.takes:
-                    raise ValueError(f"{name} has no port {port}")
-                op.takes[port].check(done[source][out].info, b)
-                inputs.setdefault(port, []).append(done[source][out])
-            done[name] = op.build(inputs, spec.get("options", {}))
+            if name not in waiting:
+                continue
+            if name in bound:
+                loop = bound[name]
+                parts = {n: context(n, loop.members) for n in loop.members}
+                done |= graph_operators.closed_loop(loop, parts)
+                for n in loop.members:
+                    waiting.pop(n)
+                continue
+            waiting.pop(name)
+            done[name] = OPERATORS[processors[name]["class"]].build(context(name))
     return done

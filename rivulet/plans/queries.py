@@ -179,7 +179,9 @@ def ripple(spark, sf_dir):
 
 
 def ripple_buckets(spark, sf_dir):
-    return run(valued(spark, sf_dir), K.Oscillation(2.0, 10.0, 3000.0, 1.0, 4, True, 3)).where("detected").select("event_id")
+    """Thresholds set once for each bucket of 4 samples, statistics shown for every third one."""
+    found = run(valued(spark, sf_dir), K.Oscillation(2.0, 10.0, 3000.0, 1.0, 4, True, 3))
+    return found.select("event_id", F.round("test_value", 4).alias("test_value"), F.round("threshold", 4).alias("threshold"), "detected", "locked", "shown")
 
 
 def burst(spark, sf_dir):
@@ -198,8 +200,10 @@ def spike_events(spark, sf_dir):
 
 
 def spikes_channels(spark, sf_dir):
-    m = matrix(spark, sf_dir).select("vec_id", (F.col("vec_id") % 8).alias("stream"), F.col("vec_id").alias("hw_ts"), F.slice("values", 1, 4).alias("value"))
-    return runner.batch(m, "stream", ["vec_id"], K.Spike(0.2, True, 3), ["vec_id"]).select("vec_id", "spike_ts", F.round(F.get("amplitudes", 0), 6).alias("a0"), F.round(F.get("amplitudes", 3), 6).alias("a3"))
+    """Spikes over all 64 channels: a crossing on any of them opens the search on each."""
+    m = matrix(spark, sf_dir).select("vec_id", (F.col("vec_id") % 8).alias("stream"), F.col("vec_id").alias("hw_ts"), F.col("values").alias("value"))
+    out = runner.batch(m, "stream", ["vec_id"], K.Spike(0.2, True, 3), ["vec_id"])
+    return out.select("vec_id", "spike_ts", F.array_join(F.transform("amplitudes", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",").alias("amplitudes"))
 
 
 def fir(spark, sf_dir):
@@ -226,7 +230,7 @@ def biquad(spark, sf_dir):
 def multichannel_filter(spark, sf_dir):
     m = matrix(spark, sf_dir).withColumn("stream", F.col("vec_id") % 4).withColumnRenamed("values", "value")
     out = runner.batch(m, "stream", ["vec_id"], K.Fir((0.5, 0.25, 0.25)), ["vec_id"])
-    return out.select("vec_id", *[F.round(F.get("filtered", c), 6).alias(f"c{c}") for c in (0, 7, 63)])
+    return out.select("vec_id", *[F.round(F.get("filtered", c), 6).alias(f"c{c}") for c in range(64)])
 
 
 def event_delayed_detection(spark, sf_dir):
@@ -291,7 +295,7 @@ def packet_decode(spark, sf_dir):
 def message_unpack(spark, sf_dir):
     m = matrix(spark, sf_dir).select(F.col("vec_id").alias("message_id"), (F.col("vec_id") * 8).alias("ts"), F.lit(8).alias("n_channels"), F.lit(8).alias("n_samples"), F.col("values").alias("samples"))
     out = pk.unpack_messages(m, 8)
-    return out.select("message_id", "hw_ts", F.round(F.get("values", 0), 6).alias("c0"), F.round(F.get("values", 7), 6).alias("c7"))
+    return out.select("message_id", "hw_ts", *[F.round(F.get("values", c), 6).alias(f"c{c}") for c in range(8)])
 
 
 def message_gaps(spark, sf_dir):
@@ -308,58 +312,189 @@ def source_square(spark, sf_dir):
 
 
 def source_noise(spark, sf_dir):
-    return gen.white_noise(spark, 2000).select("seq", "hw_ts", F.get("values", 0).alias("value"))
+    return gen.white_noise(spark, 2000).select("seq", "hw_ts", F.round(F.get("values", 0), 6).alias("value"))
 
 
 def source_ripple(spark, sf_dir):
-    return gen.ripple(spark, 4000, 8000.0).select("seq", "hw_ts", F.get("values", 0).alias("value"))
+    return gen.ripple(spark, 4000, 8000.0).select("seq", "hw_ts", F.round(F.get("values", 0), 6).alias("value"))
 
 
 def source_events(spark, sf_dir):
     return gen.random_events(spark, 1000, ["foo", "bar", "baz"], 30.0, 7)
 
 
+def _stream(spark, sf_dir, cut: str) -> pipeline.Port:
+    rows = valued(spark, sf_dir).where(cut).select(F.col("user_id").alias("stream_id"), "hw_ts", F.array("value").alias("values"))
+    return pipeline.Port(rows, StreamInfo(sample_rate=1.0))
+
+
 def graph(spark, sf_dir):
     """A graph of detectors, filter and trigger over two streams, built from a specification."""
-    e = valued(spark, sf_dir)
-    port = lambda cut: pipeline.Port(e.where(cut).select(F.col("user_id").alias("stream_id"), "hw_ts", F.array("value").alias("values")), StreamInfo(sample_rate=1.0))
     spec = {
         "processors": {
             "smooth": {"class": "filter", "options": {"filter": {"type": "fir", "coefficients": [0.5, 0.5]}}},
             "cross(1-2)": {"class": "levelcrossing", "options": {"threshold": 60.0, "post detect block": 1, "event": "hit"}},
             "gate": {"class": "eventfilter", "options": {"target event": "hit", "sync time": 1.0, "block duration": 43_200_000.0, "block wait time": 0.0}},
-            "rename": {"class": "converter", "options": {"event": "stimulation"}},
-            "trigger": {"class": "delayed", "options": {"trigger lockout": 86_400_000.0}},
+            "rename": {"class": "converter", "options": {"event name": "stimulation"}},
+            "trigger": {"class": "delayed", "options": {"event trigger lockout time": {"period": 86_400_000.0}, "analysis lockout time": {"period": 0.0}}},
         },
-        "connections": [["a.data", "smooth"], ["smooth.data", "cross1.data"], ["b.data", "cross2.data"], ["cross1.events", "gate.events"], ["cross2.events", "gate.blocking"], ["gate", "rename"], ["rename", "trigger"]],
+        "connections": [["a.data", "smooth"], ["smooth.data", "cross1.data"], ["b.data", "cross2.data"], ["cross1.events", "gate.events"], ["cross2.events", "gate.blocking events"], ["gate", "rename"], ["rename", "trigger"]],
     }
-    out = pipeline.build(spec, {"a": {"data": port("event_id % 2 = 0")}, "b": {"data": port("event_id % 2 = 1")}})
+    out = pipeline.build(spec, {"a": {"data": _stream(spark, sf_dir, "event_id % 2 = 0")}, "b": {"data": _stream(spark, sf_dir, "event_id % 2 = 1")}})
     return out["trigger"]["events"].df.select("stream_id", "hw_ts", "event")
 
 
 def closed_loop(spark, sf_dir):
-    e = valued(spark, sf_dir).select(F.col("user_id").alias("stream_id"), "hw_ts", F.array("value").alias("values"))
-    spec = {"processors": {"loop": {"class": "closedloop", "options": {"threshold dev": 2.0, "smooth time": 10.0, "analysis lockout": 0.0, "trigger lockout": 0.0, "stimulation lockout": 172_800_000.0}}}, "connections": [["in", "loop"]]}
-    out = pipeline.build(spec, {"in": {"data": pipeline.Port(e, StreamInfo())}})
-    return out["loop"]["events"].df.select("stream_id", "hw_ts", "event")
+    """A trigger that switches its detector off for two days after each stimulation."""
+    spec = {
+        "processors": {
+            "detector": {"class": "RippleDetector", "options": {"threshold dev": 2.0, "smooth time": 10.0, "analysis lockout time": 0.0}},
+            "trigger": {"class": "EventDelayed", "options": {"event trigger lockout time": {"period": 0.0}, "analysis lockout time": {"period": 172_800_000.0}}},
+        },
+        "connections": ["in.data = detector.data", "detector.events = trigger.events"],
+        "states": [["trigger.analysis enabled", "detector.detection enabled"]],
+    }
+    out = pipeline.build(spec, {"in": {"data": _stream(spark, sf_dir, "true")}})
+    return out["trigger"]["events"].df.select("stream_id", "hw_ts", "event")
+
+
+def graph_events(spark, sf_dir):
+    """Sources, a filter with blocking sources, a logger and file sinks; what the filter lets pass."""
+    spec = """
+processors:
+  source foo(1-2):
+    class: EventSource
+    options: {events: foo, rate: 1}
+  source slow:
+    class: EventSource
+    options: {events: target, rate: 3}
+  source fast:
+    class: EventSource
+    options: {events: target, rate: 20}
+  source bang:
+    class: EventSource
+    options: {events: bang, rate: 1}
+  event filter:
+    class: EventFilter
+    options: {target event: target, block wait time: 2, sync time: 6.5, detection criterion: any, discard warnings: false}
+  sink(1-3):
+    class: FileSerializer
+    options: {encoding: yaml, format: full, throttle/enabled: false}
+  event sink:
+    class: EventLogger
+    options: {target event: target}
+connections:
+  - source foo1.events=p:events.f:event filter
+  - source slow.events=p:events.f:event filter
+  - source fast.events=p:blocking events.f:event filter
+  - source bang.events=p:blocking events.f:event filter
+  - source foo(1-2).events=sink(1-2).data
+  - event filter.events=event sink.events
+  - event filter.events=sink3.data
+"""
+    out = pipeline.build(spec, spark=spark, seconds=200.0)
+    counts = out["event sink"]["counts"].df.select("stream_id", "n_all", "n_target")
+    return out["sink3"]["0"].df.join(counts, "stream_id").select("hw_ts", "event", "n_all", "n_target")
+
+
+def _packets(df: DataFrame, stream, arrival, hw_ts, samples) -> pipeline.Port:
+    """Whole packets of the samples (integers), with their checksum."""
+    low = hw_ts % (1 << 32)
+    i = lambda x: x.cast("int")
+    n = F.size(samples)
+    head = F.array(i(F.lit(pk.START)), i(F.lit(pk.PACKET_ID)), i(n + pk.EXTRA), i(F.floor(hw_ts / (1 << 32))), i(F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low)), i(F.lit(0)), i(arrival % 256))
+    whole = df.select(stream.alias("stream_id"), arrival.alias("arrival"), F.concat(head, F.array_repeat(i(F.lit(0)), 10), samples).alias("body"))
+    return pipeline.Port(whole.select("stream_id", "arrival", F.concat("body", F.array(fs.xor_checksum(F.col("body")))).alias("words")), StreamInfo("packets"), order=("arrival",))
+
+
+def graph_packets(spark, sf_dir):
+    """Packets of 64 channels, some of them lost, parsed in batches with gaps filled, and dealt to two ports."""
+    m = matrix(spark, sf_dir).where("vec_id % 40 NOT BETWEEN 5 AND 15")
+    feed = _packets(m, F.lit(0), F.col("vec_id"), F.col("vec_id") * 31, F.transform("values", lambda x: F.round(x * 1000).cast("int")))
+    spec = {
+        "processors": {
+            "reader": {"class": "NlxPureReader", "options": {"nchannels": 64}}, "parser": {"class": "NlxParser", "options": {"batch size": 10, "gap fill": "asap"}},
+            "distributor": {"class": "Distributor", "options": {"channelmap": {"a": [1, 2, 3, 4], "b": [5, 6, 7, 8]}}},
+        },
+        "connections": ["reader = parser", "parser.data = distributor.data"],
+    }
+    out = pipeline.build(spec, {"reader": {"feed": feed}})["distributor"]
+    rows = [out[k].df.select(F.lit(k).alias("port"), "arrival", "copy", "hw_ts", "digital", *[F.round(F.get("values", c), 6).alias(f"v{c}") for c in range(4)]) for k in "ab"]
+    return rows[0].union(rows[1])
+
+
+def graph_ripple(spark, sf_dir):
+    """Packets to two filtered signals, detectors on both, one blocking the other's events, and a trigger in a feedback loop."""
+    e = valued(spark, sf_dir)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: (F.round(F.col("value") * 100) * (c + 1) - F.col("event_id") * (c + 3) % 1000).cast("int"))
+    ordered = e.withColumn("arrival", F.col("hw_ts"))
+    feed = _packets(ordered, F.col("user_id"), F.col("arrival"), F.col("hw_ts"), samples)
+    detector = {"smooth time": 3.125e-4, "analysis lockout time": 0.0625}
+    spec = {
+        "processors": {
+            "source": {"class": "NlxReader", "options": {"nchannels": 4, "batch size": 1, "channelmap": {"hp": [1, 3], "cx": [2]}}},
+            "ripple_filter (1-2)": {"class": "MultiChannelFilter", "options": {"filter": {"type": "fir", "coefficients": [0.5, -0.25, 0.25]}}},
+            "first": {"class": "RippleDetector", "options": detector | {"threshold dev": 1.5}},
+            "second": {"class": "RippleDetector", "options": detector | {"threshold dev": 2.0, "stream statistics": False}},
+            "eventfilter": {"class": "EventFilter", "options": {"target event": "ripple", "block duration": 86_400_000.0, "sync time": 1.5, "block wait time": 3_600_000.0, "detection criterion": "any"}},
+            "trigger": {"class": "EventDelayed", "options": {"event trigger lockout time": {"period": 90_000_000.0, "detection": False, "stimulation": True}, "analysis lockout time": {"period": 43_200_000.0, "starting time": [0]}}},
+            "serial": {"class": "SerialOutput"}, "network": {"class": "ZMQSerializer", "options": {"encoding": "binary", "format": "compact"}},
+        },
+        "connections": [
+            "source.hp=ripple_filter1.data", "source.cx=ripple_filter2.data", "ripple_filter1.data=first.data", "ripple_filter2.data=second.data", "first.events=eventfilter.events",
+            "second.events=eventfilter.blocking_events", "eventfilter.events=trigger.events", "trigger.events=serial.events", "first.statistics=network.data",
+        ],
+        "states": [["trigger.analysis enabled", "first.detection enabled"]],
+    }
+    out = pipeline.build(spec, {"source": {"feed": feed}})
+    return out["serial"]["messages"].df.select("stream_id", "hw_ts", "message")
+
+
+def _one_stream(spark, sf_dir):
+    return valued(spark, sf_dir).withColumn("stream_id", F.lit(0))
+
+
+def fir_chunked(spark, sf_dir):
+    """One long stream filtered in blocks with a halo, so that it is many tasks."""
+    return sg.fir(_one_stream(spark, sf_dir), (0.5, 0.3, 0.2), ["stream_id"], ORDER, chunk=DAY, block=1000).select("event_id", F.round("filtered", 6).alias("filtered"))
+
+
+def level_cross_chunked(spark, sf_dir):
+    rows = _one_stream(spark, sf_dir).withColumn("values", F.array("value"))
+    return sg.crossings(rows, 50.0, ["stream_id"], ORDER, chunk=DAY, block=1000).select("event_id")
+
+
+def rebuffer_chunked(spark, sf_dir):
+    packed = sg.rebuffer(_one_stream(spark, sf_dir), ["stream_id"], ORDER, factor=3, seconds=12.0, rate=1.0, chunk=DAY)
+    return packed.select("buffer", "n", "hw_ts", *[F.get("values", k).alias(f"v{k}") for k in range(4)])
+
+
+def time_check_chunked(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("hw_ts", F.expr("hw_ts div 3600000000")).withColumn("arrival", F.expr("event_id + (event_id % 7) * 400")).withColumn("stream_id", F.lit(0))
+    return pk.quality(pk.check_times(e, ["stream_id"], ["arrival", "event_id"], 2.5, chunk=1000), ["stream_id"])
 
 
 def _shared(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(configured or '/tmp/rivulet-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(configured or '/tmp/rivulet-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # goes when the driver ends
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def streaming_level_cross(spark, sf_dir):
     """The refractory crossing as a streaming query over the events file, run to its end; equals the batch query."""
-    from rivulet.streaming.runner import stream
+    from rivulet.streaming.runner import stateful, stream
 
     base = _shared(spark)
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     live = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = stream(live.select("event_id", KEY, F.expr(MICROSECONDS), "value"), KEY, "hw_ts", K.LevelCrossing(50.0, True, 2), ["event_id", "hw_ts"])
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
-    query.awaitTermination()
+    out = stream(live.select("event_id", KEY, F.expr(MICROSECONDS), "value"), KEY, ["hw_ts", "event_id"], K.LevelCrossing(50.0, True, 2), ["event_id"])
+    with stateful(spark):
+        query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out").select("event_id")
 
 
@@ -380,6 +515,7 @@ QUERIES = {
         interleave, first_packets, trigger_one_shot, trigger_level, time_check, level_cross_up, level_cross_down, level_cross_blocked, level_cross_channels, smoother, running_stats,
         running_stats_protected, peaks, ripple, ripple_buckets, burst, spikes, spike_events, spikes_channels, fir, fir_kernel, slope, biquad, multichannel_filter,
         event_delayed_detection, event_delayed_ontime, event_delayed, gap_fill, gap_fill_distributed, digital_state, digital_pulse, throttle, packet_decode, message_unpack,
-        message_gaps, source_sine, source_square, source_noise, source_ripple, source_events, graph, closed_loop, streaming_level_cross, serialized,
+        message_gaps, source_sine, source_square, source_noise, source_ripple, source_events, graph, closed_loop, graph_events, graph_packets, graph_ripple,
+        fir_chunked, level_cross_chunked, rebuffer_chunked, time_check_chunked, streaming_level_cross, serialized,
     )
 }

@@ -14,8 +14,19 @@ def _stream(spark: SparkSession, n: int, rate: float, nchannels: int, value: Col
     return rows.withColumn("_v", value).select("seq", "hw_ts", F.array(*[F.col("_v")] * nchannels).alias("values"))
 
 
+def uniform(number: Column, seed: int, salt: int) -> Column:
+    """A number above 0 and up to 1 by the hash of seed, salt and number, so it is the same wherever it is drawn."""
+    drawn = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(salt), number).cast("binary")), 1, 12)
+    return (F.conv(drawn, 16, 10).cast("long") + 1) / F.lit(float(1 << 48))
+
+
+def normal(number: Column, seed: int) -> Column:
+    """A standard normal number by two uniform ones."""
+    return F.sqrt(-2 * F.log(uniform(number, seed, 1))) * F.cos(F.lit(6.283185307179586) * uniform(number, seed, 2))
+
+
 def _noise(sigma: float, seed: int) -> Column:
-    return F.randn(seed) * sigma if sigma else F.lit(0.0)
+    return normal(F.col("seq"), seed) * sigma if sigma else F.lit(0.0)
 
 
 def sine(spark: SparkSession, n: int, rate: float = 32_000, frequency: float = 1.0, amplitude: float = 1.0, offset: float = 0.0, noise: float = 0.0, nchannels: int = 1, seed: int = 0) -> DataFrame:
@@ -46,8 +57,7 @@ def ripple(spark: SparkSession, n: int, rate: float = 32_000, frequency: float =
     d, gap = duration_ms * rate / 1000, int(interval_ms * rate / 1000)
     period = gap + int(d)
     phase, number = F.col("seq") % period, F.expr(f"seq div {period}")
-    uniform = lambda salt: (F.pmod(F.xxhash64(number, F.lit(seed), F.lit(salt)), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
-    drawn = F.greatest(F.lit(0.0), F.round(F.lit(amplitude) + F.sqrt(F.lit(amplitude) * -2 * F.log(uniform(1))) * F.cos(uniform(2) * 6.283185307179586)))
+    drawn = F.greatest(F.lit(0.0), F.round(F.lit(amplitude) + normal(number, seed) * F.lit(amplitude**0.5)))
     c = phase - F.lit(gap + d / 2)
     burst = drawn * F.exp(F.lit(-0.5) * F.pow(c * 4.0 / d, F.lit(2.0))) * F.cos(c * F.lit(6.283185307179586 * frequency / rate))
     return _stream(spark, n, rate, nchannels, F.when(phase >= gap, burst).otherwise(0.0) + F.lit(offset) + _noise(noise, seed))

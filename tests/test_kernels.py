@@ -14,7 +14,7 @@ KERNELS = [
     K.LevelCrossing(1.0, True, 2), K.LevelCrossing(1.0, False, 0), K.RunningStats(0.2, 3), K.RunningStats(0.2, 2, 1.0, 2.0), K.Smoother(0.3), K.Peak(), K.Oscillation(1.0, 4.0, 2000.0, 1.0, 1),
     K.Oscillation(1.0, 3.0, 1000.0, 1.0, 4, False, 2), K.burst(1.0, 3.0, 1000.0, 1000.0), K.Spike(1.0, False, 3), K.Spike(1.0, True, 1), K.Fir((0.5, 0.25, 0.25)), K.Biquad(((0.2, 0.4, 0.2, 1, -0.5, 0.25),), 2.0),
     K.GapFill(2, "asap", 10.0), K.GapFill(3, "distributed", 10.0), K.GapFill(2, "none"), K.DigitalState({"a": {"high": [0], "pulse": [1]}, "b": {"toggle": [0, 9]}}, 3, 15), K.Throttle(10),
-    K.Delayed("detection", 20, after_detection=True), K.Delayed("ontime", 20), K.Delayed("delayed", 20), K.Delayed("ontime", 5, analysis=30, offset=1), K.Rendezvous("a", (0, 1)),
+    K.Delayed("detection", 20, after_detection=True), K.Delayed("ontime", 20), K.Delayed("delayed", 20), K.Delayed("ontime", 5, analysis=30, offsets=(1, 40)), K.Rendezvous("a", (0, 1)),
 ]
 
 
