@@ -239,27 +239,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, limit: int = 2048, with_t
     rows = docs.select(text_id(), text.alias("text"), key, check)
 
     def find(batches):
-        """The distinct contexts of each document, and (without a gram) the windows that it repeats itself."""
+        """The distinct contexts of each document, and the places of those that it holds again: each as a bucket of its own
+        that counts twice, so that it is settled like any repeat."""
         for batch in slices(batches):
             keys, checks, texts = batch["key"].to_numpy(), batch["check"].to_numpy(), [x.encode() for x in batch["text"]]
             for k, _, _, starts, roll, owner, place, first, last in anchors(texts, length):
                 gram, context, fresh, again = contexts_of(roll, owner, place, first, last, length)
                 near, at = (first - starts[owner]).astype(np.int32), k + owner
                 shape = packed(checks[at], place - first, last - first, again)
-                yield pd.DataFrame({"gram": pd.array(gram.view(np.int64), "Int64"), "context": context.view(np.int64), "key": keys[at], "first": near, "shape": shape})[fresh]
+                yield pd.DataFrame({"gram": gram.view(np.int64), "context": context.view(np.int64), "key": keys[at], "first": near, "shape": shape})[fresh]
                 if again.any():
                     o, a, more = at[again], near[again], (last - first)[again]
                     shape = packed(checks[o], np.zeros(len(o), np.int64), more, np.ones(len(o), bool))
-                    yield pd.DataFrame({"gram": pd.array([None] * len(o), "Int64"), "context": 0, "key": keys[o], "first": a, "shape": shape})
+                    with np.errstate(over="ignore"):
+                        own = (keys[o].view(np.uint64) ^ (a.astype(np.uint64) + np.uint64(1)) * np.uint64(BASES[0])) * np.uint64(BASES[1])
+                    yield pd.DataFrame({"gram": own.view(np.int64), "context": 0, "key": keys[o], "first": a, "shape": shape})
 
     found = rows.select("doc_id", "text", "key", "check").mapInPandas(find, "gram long, context long, key long, first int, shape long")
     times = (1 + F.col("shape").bitwiseAND(F.lit(1))).alias("n")
-    common = found.where("gram is not null").groupBy("gram").agg(F.sum(times).alias("n")).where("n > 1").select("gram")
-    marked = durable(found.where("gram is not null").join(common, "gram").unionByName(found.where("gram is null")))
+    common = found.groupBy("gram").agg(F.sum(times).alias("n")).where("n > 1").select("gram")
+    marked = durable(found.join(common, "gram"))
 
-    distinct = marked.where("gram is not null").groupBy("gram", "context").agg(F.sum(times).alias("n"), *[F.first(c).alias(c) for c in ("key", "first", "shape")])
-    many = distinct.where("n > 1").select("gram", "context")
-    settled = marked.join(many, ["gram", "context"], "left_semi").unionByName(marked.where("gram is null"))
+    distinct = marked.groupBy("gram", "context").agg(F.sum(times).alias("n"), *[F.first(c).alias(c) for c in ("key", "first", "shape")])
+    settled = marked.join(distinct.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     settled = settled.select("key", "first", "shape", F.lit(None).cast("long").alias("gram"), F.lit(False).alias("alone"), F.lit(False).alias("split"))
     sizes = distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     chosen = distinct.join(sizes, "gram").select("key", "first", "shape", "gram", (F.col("n") == 1).alias("alone"), (F.col("m") > limit).alias("split"))
