@@ -8,7 +8,8 @@ tables: first within blocks of turns, then over the blocks of a conversation, so
 task's window. Only the finished text of a conversation, which is one value of the result, is assembled as a whole.
 
 Defined cases: a null text or role is empty; turns are ordered by (turn, role, text), nulls first, and repeated rows are
-kept as turns of their own; null conv_ids form one conversation; an unknown role or a turn out of order makes the
+kept as turns of their own; a row without conv_id is a conversation of its own (rows that are equal are its turns); columns of
+other names are not read; an empty table gives no rows; an unknown role or a turn out of order makes the
 conversation invalid (valid = false, first_bad = its first such place) but it is formatted all the same.
 """
 
@@ -76,18 +77,19 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     n, bad = len(t.states), len(t.states) - 1
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     head = F.concat(F.lit(t.prefix), F.replace(t.escape(role), F.lit(t.middle), F.lit(f"%{ord(t.middle):02X}")), F.lit(t.middle))
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).alias("own")
     rows = turns.select(
-        "conv_id", F.floor(F.col("turn") / t.block).alias("block"),
+        "conv_id", own, F.floor(F.col("turn") / t.block).alias("block"),
         F.struct(
             F.col("turn"), role.alias("role"), text.alias("text"), F.concat(head, t.escape(text), F.lit(t.suffix)).alias("out"),
             F.length(head).alias("head"), t.step(role).alias("step"), role.isin(*t.loss_roles).alias("loss"),
         ).alias("turn"),
     )
     # Within a block: the turns in order, what they become, the places of their segments and the block's transition table.
-    blocks = rows.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    blocks = rows.groupBy("conv_id", "own", "block").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     ends = F.aggregate("turns", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["out"]))))
     blocks = blocks.withColumn("ends", ends).select(
-        "conv_id", "block", F.size("turns").alias("n"), F.array_join(F.transform("turns", lambda x: x["out"]), "").alias("out"),
+        "conv_id", "own", "block", F.size("turns").alias("n"), F.array_join(F.transform("turns", lambda x: x["out"]), "").alias("out"),
         F.transform(
             "turns",
             lambda x, k: F.struct((F.get("ends", k) + x["head"]).alias("start"), (F.length(x["out"]) - x["head"] - len(t.suffix)).alias("length"), x["role"].alias("role"), x["loss"].alias("loss")),
@@ -95,7 +97,7 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
         F.transform("turns", lambda x: x["step"]).alias("steps"),
     )
     blocks = blocks.withColumn("table", _compose(F.col("steps"), n))
-    whole = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "n", F.length("out").alias("size"), "out", "segments", "steps", "table"))).alias("blocks"))
+    whole = blocks.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list(F.struct("block", "n", F.length("out").alias("size"), "out", "segments", "steps", "table"))).alias("blocks"))
     # Over the blocks: where each one starts in the text, and the machine's state there.
     at = F.aggregate(
         "blocks", F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("state"), F.lit(0).alias("turns"))),

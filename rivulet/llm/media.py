@@ -1,7 +1,14 @@
 """ISO media containers: a writer for byte payloads and a reader of codec, duration and keyframe byte ranges.
 
 The reader walks nested boxes (32-bit, 64-bit and to-the-end sizes), decodes the sample tables stts, stsz, stsc, stco/co64
-and stss of each track and the runs of fragments (tfhd, trun and their defaults in trex), and never decodes payloads. Broken containers give a null codec and an error text, never a failed task.
+and stss of each track and the runs of fragments (tfhd, trun and their defaults in trex), and never decodes payloads. Boxes
+nested deeper than DEEPEST, tables that claim more entries than they have bytes, and samples that claim more bytes than the
+file has are errors before anything is allocated.
+
+Defined cases: broken containers give a null codec and an error text, never a failed task; a null value gives nulls and the
+error 'no data'; a null or empty text is a payload of spaces; rows are handled one by one, so null and repeated ids stay and equal
+texts give equal values; other columns are not read; an empty table gives no rows; texts are stored whole, whatever their
+length.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ from rivulet.llm.common import long_id, slices, text_id
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 #: Bytes of one media sample, samples of one chunk, distance of keyframes and samples a second of what the writer stores.
 SAMPLE, CHUNK, SYNC, RATE = 192, 16, 64, 50
+#: Levels of boxes beyond which a file is taken as broken.
+DEEPEST = 16
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -67,32 +76,54 @@ def write(payload: bytes) -> bytes:
     return start + moov(at) + box(b"mdat", payload)
 
 
-def boxes(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[tuple, int, int]]:
     """(path of kinds, first byte of the body, its end) of every box, parents before children."""
-    while start + 8 <= end:
+    open_: list[tuple[int, int, tuple]] = [(start, end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            if start != end:
+                raise ValueError(f"{end - start} stray bytes at {start}")
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
+            if start + 16 > end:
+                raise ValueError(f"box {kind!r} at {start} is cut off")
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
         size = end - start if size == 0 else size
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} has size {size}")
         yield (*path, kind), start + head, start + size
+        open_.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from boxes(data, start + head, start + size, (*path, kind))
-        start += size
-    if start != end:
-        raise ValueError(f"{end - start} stray bytes at {start}")
+            if len(path) >= DEEPEST:
+                raise ValueError(f"boxes are nested deeper than {DEEPEST} at {start}")
+            open_.append((start + head, start + size, (*path, kind)))
 
 
-def sample_ranges(t: dict[bytes, memoryview]) -> tuple[np.ndarray, np.ndarray]:
+def entries(table: memoryview, at: int, width: int) -> int:
+    """The number of entries that a table says at `at - 4`, if it has the bytes for them."""
+    n = struct.unpack_from(">I", table, at - 4)[0]
+    if n * width > len(table) - at:
+        raise ValueError(f"a table of {len(table)} bytes claims {n} entries")
+    return n
+
+
+def sample_ranges(t: dict[bytes, memoryview], end: int) -> tuple[np.ndarray, np.ndarray]:
     """First bytes and sizes of a track's samples, from stsz, stsc and stco or co64."""
-    fixed, n = struct.unpack_from(">II", t[b"stsz"], 4)
+    fixed = struct.unpack_from(">I", t[b"stsz"], 4)[0]
+    n = struct.unpack_from(">I", t[b"stsz"], 8)[0] if fixed else entries(t[b"stsz"], 12, 4)
+    if n * fixed > end:
+        raise ValueError(f"{n} samples of {fixed} bytes are more than the file")
     sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(t[b"stsz"], ">u4", n, 12).astype(np.int64)
     wide = b"co64" in t
     table = t[b"co64"] if wide else t[b"stco"]
-    chunks = np.frombuffer(table, ">u8" if wide else ">u4", struct.unpack_from(">I", table, 4)[0], 8).astype(np.int64)
-    runs = np.frombuffer(t[b"stsc"], ">u4", 3 * struct.unpack_from(">I", t[b"stsc"], 4)[0], 8).astype(np.int64).reshape(-1, 3)
+    chunks = np.frombuffer(table, ">u8" if wide else ">u4", entries(table, 8, 8 if wide else 4), 8).astype(np.int64)
+    runs = np.frombuffer(t[b"stsc"], ">u4", 3 * entries(t[b"stsc"], 8, 12), 8).astype(np.int64).reshape(-1, 3)
+    begin = np.append(runs[:, 0], len(chunks) + 1)
+    if len(runs) and (begin[0] != 1 or (np.diff(begin) <= 0).any()) or sum(int(x) * int(y) for x, y in zip(runs[:, 1], np.diff(begin), strict=True)) != n:
+        raise ValueError("sample tables disagree")
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
     chunk = np.repeat(np.arange(len(chunks)), per)[:n]
     if len(chunk) != n:
@@ -145,11 +176,13 @@ def fragment_samples(data: memoryview, moof: tuple[int, list], defaults: dict[in
 
 def read_track(t: dict[bytes, memoryview], more: list[tuple], end: int) -> dict:
     """One track from its boxes and its fragments' runs."""
-    runs = np.frombuffer(t[b"stts"], ">u4", 2 * struct.unpack_from(">I", t[b"stts"], 4)[0], 8).astype(np.int64).reshape(-1, 2)
-    at, sizes = sample_ranges(t)
+    runs = np.frombuffer(t[b"stts"], ">u4", 2 * entries(t[b"stts"], 8, 8), 8).astype(np.int64).reshape(-1, 2)
+    at, sizes = sample_ranges(t, end)
     keys = np.arange(len(at))
     if b"stss" in t:
-        keys = np.frombuffer(t[b"stss"], ">u4", struct.unpack_from(">I", t[b"stss"], 4)[0], 8).astype(np.int64) - 1
+        keys = np.frombuffer(t[b"stss"], ">u4", entries(t[b"stss"], 8, 4), 8).astype(np.int64) - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= len(at)):
+            raise ValueError("a keyframe lies beyond the samples")
     duration = int((runs[:, 0] * runs[:, 1]).sum())
     for first, size, long, sync in more:
         keys = np.concatenate([keys, len(at) + np.flatnonzero(sync)])
@@ -196,7 +229,7 @@ def inspect(data: bytes) -> dict:
         if more:
             raise ValueError("fragments of an unknown track")
         return out | tracks[0] | {"tracks": tracks}
-    except (KeyError, ValueError, IndexError, StopIteration, struct.error) as e:
+    except (KeyError, ValueError, IndexError, OverflowError, StopIteration, struct.error) as e:
         return out | {"error": str(e)[:200] or type(e).__name__}
 
 

@@ -14,9 +14,11 @@ and the deviation from the weights grows with t.
 
 Scale: ranks come from two levels (rows of a source and hash prefix, then counts of the prefixes), so a source with a third
 of all rows is spread over all tasks. The period's schedule is one row of q picks, each of which looks at every source: q is the
-period, or else the sum of the weights (without given ones the sum of the square roots of the sources' sizes).
+period, or else the sum of the weights. Without given weights a source weighs the square root of its number of rows, and all are
+scaled down where they would need more than WORK looks. More than MOST_SOURCES sources, or more than LONGEST slots, make
+the query fail: so the schedule that is broadcast has a row for each of at most MOST_SOURCES sources and LONGEST numbers in all.
 
-Defined cases: a null source is a source of its own; null doc_ids come first in their source; equal doc_ids are ordered by
+Defined cases: columns of any name come back in `doc`; a null source is a source of its own; null doc_ids come first in their source; equal doc_ids are ordered by
 the hash of the row, and equal rows are interchangeable; a source without a weight gets one slot of the
 period, or without a period a thousandth of what the others have together; an empty table gives none.
 """
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 
 #: The most slots that given weights may need without a period; finer ones are refused, not rounded.
 LONGEST = 1_000_000
+#: The most sources, and the most looks at a source (slots times sources) for default weights.
+MOST_SOURCES, WORK = 4_000, 20_000_000
 
 
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -55,7 +59,9 @@ def slots_by_source(counts: DataFrame, period: int | None, weights: dict[str, fl
     """
     if period is None:
         if weights is None:
-            n = counts.select("key", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("rows").cast("double")))).cast("long").alias("n"))
+            root, all_ = F.sqrt(F.col("rows").cast("double")), Window.partitionBy(F.lit(1))
+            scale = F.least(F.lit(1.0), F.lit(float(WORK)) / F.count(F.lit(1)).over(all_) / F.sum(root).over(all_))
+            n = counts.select("key", F.greatest(F.lit(1), F.floor(root * scale)).cast("long").alias("n"))
         else:
             whole = whole_weights(weights)
             given = counts.select("key", F.nullif(_lookup({f"s{k}": v for k, v in whole.items()}), F.lit(0)).cast("long").alias("w"))
@@ -88,6 +94,8 @@ def _lookup(scaled: dict[str, int]):
 def schedule(slots: DataFrame) -> DataFrame:
     """key, n, q and the slots of a source's blocks within the period, in order, by earliest deadline first."""
     one = slots.groupBy().agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("s"), F.max("q").alias("q"))
+    fits = (F.size("s") <= MOST_SOURCES) & (F.coalesce(F.col("q"), F.lit(0)) <= LONGEST)
+    one = one.withColumn("s", F.when(fits, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources or {LONGEST} slots; mix groups of sources instead")).cast("array<struct<key:string,n:bigint>>")))
     due = lambda s, k, given: F.struct(F.ceil((F.get(given, k) + 1) * F.col("q") / s["n"]).alias("due"), k.alias("k"), F.floor(F.get(given, k) * F.col("q") / s["n"]).alias("release"))
 
     def step(acc, t):
@@ -121,7 +129,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranked.join(counts.select("key", "part", before.alias("before")), ["key", "part"])
     plan = schedule(slots_by_source(counts.groupBy("key").agg(F.sum("rows").alias("rows")), period, weights))
-    # The plan has a row for each source and q slots in all, so its size is bounded by the number of sources and the period or weights.
+    # schedule() fails beyond MOST_SOURCES rows and LONGEST slots, which bounds what is broadcast.
     placed = placed.join(F.broadcast(plan), "key").withColumn("rank", F.col("before") + F.col("rank")).withColumn("block", F.expr(f"rank div {block_rows}"))
     slot = F.expr("(block div n) * q") + F.get("slots", (F.col("block") % F.col("n")).cast("int"))
     return placed.select("doc", "block", slot.cast("long").alias("slot"), (F.col("rank") % block_rows).cast("long").alias("offset"))

@@ -1,23 +1,27 @@
 """Toxic spans and scores from a linear-chain conditional random field.
 
-Tokens are runs of letters and digits, lower-cased. Token labels for training come from labelled documents: a word or prefix
+Tokens are runs of letters and digits, each lower-cased by itself, so that offsets hold in the text as it is. Token labels for training come from labelled documents: a word or prefix
 that many toxic and hardly any clean documents hold marks its tokens in toxic documents as toxic; every other token is
 clean. The field has two states, weights for words and prefixes, and transition weights, fitted by gradient
 ascent on the conditional likelihood of short stretches of tokens. Forward-backward runs over whole texts; the token
 marginals give the offending offsets, and their sum, maximum and mean go through a logistic curve fitted on documents.
 
 Only the fit is bounded: by `per_class` documents of each label (the first by a hash of doc_id) with at most `longest`
-characters, and by `stretches`. Scoring reads every whole text, one task per partition, without a shuffle.
+characters, and by `stretches`. Executors cut these documents into tokens and send them compressed; the driver turns one at a
+time into numbers. Scoring reads every whole text, one task per partition, without a shuffle.
 
 Defined cases: null and empty texts have no tokens and get the curve's value for no evidence; null and repeated doc_ids are
-scored row by row; null labels are not learned from; without both labels in the training rows every score is 0.
+scored row by row, and equal rows alike; null labels are not learned from, and a document with both labels counts as both;
+without both labels in the training rows (so with empty tables too) every score is 0; columns other than doc_id, text and toxic
+are not read, and `reject` passes columns of any name through; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,6 +37,30 @@ TOKEN = re.compile(r"[^\W_]+")
 BLOCK = 64
 
 
+def tokens_of(text: str) -> list[str]:
+    low = text.lower()
+    # Lower-casing never makes a text shorter, so one of equal length has each character in its place.
+    return TOKEN.findall(low) if len(low) == len(text) else [t.lower() for t in TOKEN.findall(text)]
+
+
+class Packed(Sequence):
+    """Documents as compressed tokens, unpacked one at a time."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    @staticmethod
+    def pack(text: str) -> bytes:
+        return zlib.compress("\n".join(tokens_of(text)).encode(), 1)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> list[str]:
+        whole = zlib.decompress(self.rows[k]).decode()
+        return whole.split("\n") if whole else []
+
+
 @lru_cache(20_000)
 def features(token: str) -> list[str]:
     """The word itself and its first four, five and six characters."""
@@ -129,19 +157,21 @@ class Model:
 
     def score(self, texts: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, then the marginals of all tokens, joined, and the documents' numbers of tokens."""
-        tokens = [TOKEN.findall(x.lower()) for x in texts]
+        return self.score_tokens([tokens_of(x) for x in texts], weights)
+
+    def score_tokens(self, tokens: list[list[str]], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in tokens], np.int64)
         p = marginals(np.fromiter((weights[t] for x in tokens for t in x), float, int(lengths.sum())), lengths, self.transition)
         if self.curve is None:
-            return np.zeros(len(texts)), p, lengths
+            return np.zeros(len(tokens)), p, lengths
         z = evidence(p, lengths) @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), p, lengths
 
 
-def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-    """The tokens of each text as numbers into the list of distinct tokens, which keeps the driver's memory small."""
+def _numbered(documents: Sequence[list[str]]) -> tuple[list[np.ndarray], list[str]]:
+    """The tokens of each document as numbers into the list of distinct tokens, which keeps the driver's memory small."""
     known: dict[str, int] = {}
-    return [np.fromiter((known.setdefault(t, len(known)) for t in TOKEN.findall(x.lower())), np.int32) for x in texts], list(known)
+    return [np.fromiter((known.setdefault(t, len(known)) for t in x), np.int32) for x in documents], list(known)
 
 
 def _markers(tokens: list[np.ndarray], words: list[str], toxic: np.ndarray, least: int, gain: int, odds: float) -> set[str]:
@@ -173,13 +203,13 @@ def _markers(tokens: list[np.ndarray], words: list[str], toxic: np.ndarray, leas
     return taken
 
 
-def fit(texts: list[str], toxic: np.ndarray, stretches: int = 4000, width: int = 32, rounds: int = 40, share: float = 0.005, seed: int = 7) -> Model:
-    """Fits the field and the document curve. Deterministic for the same rows in the same order."""
+def fit(documents: Sequence[list[str]], toxic: np.ndarray, stretches: int = 4000, width: int = 32, rounds: int = 40, share: float = 0.005, seed: int = 7) -> Model:
+    """Fits the field and the document curve to documents as lists of tokens. Deterministic for the same rows in the same order."""
     toxic = np.asarray(toxic, int)
     if toxic.min(initial=1) == toxic.max(initial=0) or not len(toxic):
         return Model()
     random = np.random.default_rng(seed)
-    tokens, words = _numbered(texts)
+    tokens, words = _numbered(documents)
     marks = _markers(tokens, words, toxic, max(3, int(share * toxic.sum())), max(1, int(0.001 * toxic.sum())), 20.0)
     marked = np.array([not marks.isdisjoint(features(t)) for t in words], bool)
     labelled = [marked[x] if y else np.zeros(len(x), bool) for x, y in zip(tokens, toxic, strict=True)]
@@ -227,9 +257,9 @@ def fit(texts: list[str], toxic: np.ndarray, stretches: int = 4000, width: int =
     model = Model({f: float(w[k]) for f, k in names.items() if abs(w[k]) > 0.02}, float(bias), trans)
     weights = Weights(model.by_feature, model.bias)
     parts = []
-    for k in range(0, len(texts), 512):
+    for k in range(0, len(documents), 256):
         model.curve = np.zeros(4)
-        _, p, n = model.score(texts[k : k + 512], weights)
+        _, p, n = model.score_tokens([documents[d] for d in range(k, min(k + 256, len(documents)))], weights)
         parts.append(evidence(p, n))
     x = np.concatenate(parts)
     x1, curve = np.concatenate([x, np.ones((len(x), 1))], 1), np.zeros(4)
@@ -250,14 +280,21 @@ def held_out(column: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 200_000) -> Model:
     """Fits on at most per_class training documents of each label, the first by a hash of doc_id, none of them held out.
 
-    The sample goes to the driver: 2 x per_class texts of at most `longest` characters, whatever the size of the tables.
+    The sample goes to the driver: the tokens of 2 x per_class texts of at most `longest` characters, compressed, whatever the
+    size of the tables.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     order = [F.xxhash64("doc_id"), "doc_id", "toxic"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(per_class).union(known.where("toxic = 0").orderBy(*order).limit(per_class))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], int))
+
+    def pack(batches):
+        for batch in slices(batches):
+            yield batch[["doc_id", "toxic"]].assign(tokens=[Packed.pack(x) for x in batch["text"]])
+
+    sample = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select(text_id(), "toxic", "text")
+    rows = sample.mapInPandas(pack, "doc_id string, toxic int, tokens binary").collect()
+    rows.sort(key=lambda r: (int(r["doc_id"]), r["toxic"], r["tokens"]))
+    return fit(Packed([bytes(r["tokens"]) for r in rows]), np.array([r["toxic"] for r in rows], int))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, span_at: float = 0.5) -> DataFrame:
@@ -274,10 +311,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, span_at: float
                 found = []
                 if len(hits):
                     wanted = set(hits.tolist())
-                    # Lower-casing may change a text's length, so offsets come from the text as it is when the tokens agree.
-                    places = [m.span() for m in TOKEN.finditer(text)]
-                    if len(places) != n:
-                        places = [m.span() for m in TOKEN.finditer(text.lower())]
+                    low = text.lower()
+                    places = [m.span() for m in TOKEN.finditer(low if len(low) == len(text) else text)]
                     found = [{"start": a, "end": b} for k, (a, b) in enumerate(places) if k in wanted]
                 spans.append(found)
                 at += n

@@ -44,7 +44,7 @@ def test_marginals_over_blocks_and_empty_sequences():
 
 
 def test_fit_without_both_labels():
-    assert toxicity.fit(["a b"], np.array([1])).score(["x", ""], toxicity.Weights({}, 0.0))[0].tolist() == [0, 0]
+    assert toxicity.fit([["a", "b"]], np.array([1])).score(["x", ""], toxicity.Weights({}, 0.0))[0].tolist() == [0, 0]
     assert toxicity.fit([], np.array([], int)).curve is None
 
 
@@ -53,7 +53,7 @@ def test_fit_separates():
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
     text = lambda bad: " ".join(r.choice(words) if not bad or r.random() > 0.2 else r.choice(["vilest", "rotten"]) for _ in range(40))
     y = np.array([k % 3 == 0 for k in range(300)], int)
-    model = toxicity.fit([text(v) for v in y], y)
+    model = toxicity.fit([toxicity.tokens_of(text(v)) for v in y], y)
     s, _, _ = model.score([text(v) for v in y], toxicity.Weights(model.by_feature, model.bias))
     assert ((s >= 0.7) == y).mean() > 0.97
 
@@ -168,8 +168,20 @@ def test_survivors():
     a = np.zeros((3, 160), "<u2")
     b = a.copy()
     b[1, :100] = 1
-    left, agree = minhash.survivors(a, b, minhash.least_matches(160, 0.8, 1e-4))
-    assert left.tolist() == [0, 2] and agree.tolist() == [160, 160]
+    assert minhash.survivors(a, b, minhash.least_matches(160, 0.8, 1e-4)).tolist() == [0, 2]
+    assert minhash.survivors(a[:0], b[:0], minhash.least_matches(160, 0.8, 1e-4)).tolist() == []
+
+
+def test_pruning_and_bands_miss_next_to_nothing():
+    """Pairs at the threshold itself: how many share a band, and how many outlast the pruning."""
+    r, shared, kept, n = np.random.default_rng(1), 0, 0, 400
+    least = minhash.least_matches(192, 0.8, 1e-4)
+    for _ in range(n):
+        both, a, b = (r.integers(0, 1 << 63, k, dtype=np.uint64) for k in (160, 20, 20))  # 160 of 200 in common
+        x, y = (np.frombuffer(minhash.signature(np.unique(np.concatenate([both, c])), 192), "<u2")[None] for c in (a, b))
+        shared += (x.reshape(32, 6) == y.reshape(32, 6)).all(1).any()
+        kept += len(minhash.survivors(x, y, least)) == 1
+    assert shared >= 0.99 * n and kept >= 0.99 * n
 
 
 def test_shingles():

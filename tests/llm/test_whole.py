@@ -2,12 +2,14 @@
 
 import random
 import struct
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rivulet.llm import media, mixing, substring
+from rivulet.llm import media, mixing, substring, toxicity
 
 
 def covered(passage, other, before, after):
@@ -124,3 +126,181 @@ def test_fragments():
     info = media.inspect(moov + moof(at) + media.box(b"mdat", bytes(15)))
     assert info["error"] is None and info["duration"] == 9 and info["offsets"].tolist() == [len(moov) + at + k for k in (0, 4, 9)]
     assert info["key_offsets"] == [len(moov) + at] and info["key_sizes"] == [4]
+
+
+def test_crafted_containers_are_errors():
+    deep = b""
+    for _ in range(2000):
+        deep = media.box(b"moov", deep)
+    assert "nested" in media.inspect(deep)["error"]
+    good = media.write(b"x" * 192 * 20)
+    for kind, at in ((b"stsz", 12), (b"stts", 8), (b"stss", 8), (b"stsc", 8), (b"stco", 8)):
+        k = good.index(kind) + at + (4 if kind == b"stsz" else 0)
+        assert media.inspect(good[:k] + b"\xff\xff\xff\xff" + good[k + 4 :])["error"], kind
+    fixed = good.index(b"stsz") + 8
+    assert media.inspect(good[:fixed] + b"\0\0\0\0" + b"\xff\xff\xff\xff" + good[fixed + 8 :])["error"]
+    r = random.Random(5)
+    for _ in range(2000):
+        data = bytearray(good)
+        for _ in range(3):
+            data[r.randrange(len(data) // 8)] = r.randrange(256)
+        media.inspect(bytes(data))  # says something, and never fails
+
+
+def read_back(data):
+    """Payload, duration and keyframes of a stored text by a reader of its own: offsets of fixed boxes found by their names."""
+    at = lambda kind: data.index(kind) + 4
+    u = lambda k: struct.unpack_from(">I", data, k)[0]
+    size, n = u(at(b"stsz") + 4), u(at(b"stsz") + 8)
+    chunks = [u(at(b"stco") + 8 + 4 * k) for k in range(u(at(b"stco") + 4))]
+    runs = [struct.unpack_from(">III", data, at(b"stsc") + 8 + 12 * k) for k in range(u(at(b"stsc") + 4))]
+    places = []
+    for c, offset in enumerate(chunks, 1):
+        per = [p for first, p, _ in runs if first <= c][-1]
+        places += [offset + size * k for k in range(per)]
+    keys = [u(at(b"stss") + 8 + 4 * k) for k in range(u(at(b"stss") + 4))]
+    return b"".join(data[p : p + size] for p in places), u(at(b"stts") + 8) * u(at(b"stts") + 12), [places[k - 1] for k in keys], n, size
+
+
+def test_op6_by_an_independent_reader(spark, data):
+    import hashlib
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in media.text_media(docs, with_media=True).collect():
+        raw = texts[r.doc_id].encode()
+        payload, duration, keys, n, size = read_back(bytes(r.media))
+        assert payload == raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
+        assert r.feature == f"codec=raw;timescale=50;duration={duration};samples={n};keyframes=" + ",".join(f"{k}+{size}" for k in keys)
+
+
+def test_toxic_offsets_hold_in_the_text_itself(spark):
+    words = ["calm", "river", "stone", "table", "green", "window", "quiet", "paper"]
+    r = random.Random(3)
+    clean = [" ".join(r.choice(words) for _ in range(30)) for _ in range(60)]
+    bad = [" ".join(r.choice(words) for _ in range(12)) + " rotten rotten awful " + " ".join(r.choice(words) for _ in range(12)) for _ in range(60)]
+    model = toxicity.fit([x.split() for x in clean + bad], np.array([0] * 60 + [1] * 60))
+    df = spark.createDataFrame([(1, "İstanbul and İzmir are rotten rotten awful towns"), (2, "Calm ROTTEN rotten awful river")], "doc_id long, text string")
+    for row in toxicity.score(df, model).collect():
+        text = {1: "İstanbul and İzmir are rotten rotten awful towns", 2: "Calm ROTTEN rotten awful river"}[row.doc_id]
+        assert row.predicted == 1 and {text[s.start : s.end].lower() for s in row.spans} <= {"rotten", "awful"} and len(row.spans) >= 2
+    # Transitions matter: an undecided token is toxic among toxic ones, and clean among clean ones.
+    among = lambda e: toxicity.marginals(np.array([e, 0.0, e]), np.array([3]), model.transition)[1]
+    assert among(4.0) > 0.6 > 0.4 > among(-4.0)
+
+
+def test_op1_scores_like_the_model_alone(spark, data):
+    from rivulet.llm import queries
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, data).collect()}
+    assert got.keys() == texts.keys()
+    weights = toxicity.Weights(model.by_feature, model.bias)
+    for d, text in texts.items():
+        emission = np.array([weights[t] for t in toxicity.tokens_of(text)])
+        # One chain at a time, step by step, in logarithms.
+        trans, n = model.transition, len(emission)
+        psi = np.stack([np.zeros(n), np.clip(emission, -30, 30)], 1)
+        a, b = np.zeros((n, 2)), np.zeros((n, 2))
+        for k in range(n):
+            # Before the first token either state is as likely.
+            a[k] = psi[k] + np.logaddexp((a[k - 1, 0] if k else 0) + trans[0], (a[k - 1, 1] if k else 0) + trans[1])
+        for k in range(n - 2, -1, -1):
+            b[k] = np.logaddexp(trans[:, 0] + psi[k + 1, 0] + b[k + 1, 0], trans[:, 1] + psi[k + 1, 1] + b[k + 1, 1])
+        p = 1 / (1 + np.exp((a + b)[:, 0] - (a + b)[:, 1])) if n else np.zeros(0)
+        z = np.array([np.log1p(p.sum()), p.max(initial=0), p.mean() if n else 0]) @ model.curve[:-1] + model.curve[-1]
+        assert abs(got[d].score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+        assert got[d].predicted == (got[d].score >= 0.7) and got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+
+
+def test_op5_by_brute_force(spark, data):
+    from rivulet.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    found = {d: substring.runs(t or "", 2, 60) for d, t in texts.items()}
+    first = {}
+    for d in sorted(texts):
+        for key in found[d][0].tolist():
+            first.setdefault(key, d)
+    got = {r.doc_id: r for r in queries.op5_substring(spark, data).collect()}
+    assert got.keys() == texts.keys()
+    for d, text in texts.items():
+        keys, begin, end, ends = found[d]
+        lost, seen = set(), set()
+        for key, a, b in zip(keys.tolist(), begin.tolist(), end.tolist(), strict=True):
+            if first[key] != d or key in seen:
+                lost |= set(range(a, b))
+            seen.add(key)
+        bounds = [0, *ends.tolist()]
+        kept = "".join((text or "")[bounds[k] : bounds[k + 1]] for k in range(len(ends)) if k not in lost)
+        assert (got[d].n_removed, got[d].text or "") == (len(lost), kept), d
+
+
+def test_op10_against_the_tokenizer(spark, data):
+    from collections import defaultdict
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rivulet.llm import queries
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in queries.op10_packing(spark, data).collect():
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert pieces.keys() == texts.keys()
+    for d, rows in pieces.items():
+        ids, at = [*tokenizer.encode(texts[d], add_special_tokens=False).ids, 1], 0
+        for r in sorted(rows, key=lambda r: r.start):
+            part = np.array(ids[at : at + r.length], "<u4").tobytes()
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(part)) and r.length > 0
+            at += r.length
+        assert at == len(ids)
+    used = waste = 0
+    for rows in sequences.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+        used, waste = used + at, waste + (0 if at & (at - 1) == 0 else 2048 - at)
+    parts = len({s >> 33 for s in sequences})
+    assert waste <= 2048 * parts and waste < 0.05 * used + 2048 * parts
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    from rivulet.llm import chat
+
+    rows = [(None, 0, "user", f"t{k}", "x") for k in range(5)] + [(None, 0, "user", "t0", "x"), (3, 0, "user", "a", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block string")
+    got = chat.parse_chats(chat.format_chats(df)).collect()
+    assert sorted((r.conv_id is None, len(r.turns)) for r in got) == [(False, 1), *[(True, 1)] * 4, (True, 2)]
+
+
+def test_mixing_bounds_what_it_plans(spark):
+    many = spark.createDataFrame([(k, str(k)) for k in range(4001)], "doc_id long, source string")
+    with pytest.raises(Exception, match="sources"):
+        mixing.mix(many).count()
+    few = spark.createDataFrame([(k, "ab"[k % 5 == 0]) for k in range(100)], "doc_id long, source string").withColumn("slot", F.lit(1))
+    assert mixing.mix(few).count() == 100
+
+
+def test_null_texts_go_through_the_whole_pipeline(spark, data):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10_000)
+    at = p.durable(docs.union(odd).union(odd.withColumn("doc_id", F.lit(None).cast("long"))))
+    for k, (_, stage) in enumerate(p.STAGES):
+        at = stage(spark, at, data)
+        if k < 4:
+            assert at.columns == docs.columns
+            at = p.durable(at)
+    ids = {r.doc_id for r in at.select("doc_id").collect()}
+    assert {r.doc_id for r in odd.select("doc_id").collect()} <= ids and None in ids
