@@ -97,7 +97,8 @@ def in_order(df: DataFrame, key: str, time: str, order: Sequence[str], kernel: K
             state, held = self._load()
             mark = timerValues.getCurrentWatermarkInMs()
             new = pd.concat(list(rows), ignore_index=True)
-            new = new[new[time].astype("datetime64[ms]").astype("int64") > mark]
+            if mark > 0:  # there is no watermark before the second micro-batch
+                new = new[new[time].astype("datetime64[ms]").astype("int64") > mark]
             held = new if held is None or not len(held) else pd.concat([held, new], ignore_index=True)
             self.state.update((pickle.dumps((state, held)),))
             if len(held):

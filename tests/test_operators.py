@@ -129,6 +129,12 @@ def test_files(spark, tmp_path):
     files.serialize(spark.range(3).withColumn("stream_id", F.lit("a")), str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exist"):
         files.serialize(spark.range(3).withColumn("stream_id", F.lit("a")), str(tmp_path / "out"))
+    again = files.cycled(files.read_packets(spark, str(tmp_path / "a.bin"), 1), 4)
+    assert sorted(r.arrival for r in again.collect()) == list(range(12))
+    made = spark.range(50, numPartitions=3).select((F.lit(49) - F.col("id")).alias("arrival"), F.transform(F.sequence(F.lit(0), F.lit(18)), lambda k: F.when(k == 0, 2048).otherwise(F.lit(49) - F.col("id"))).alias("words"))
+    files.write_packets(made, str(tmp_path / "raw"))
+    back = files.read_packets(spark, str(tmp_path / "raw" / "*.nrd"), 1).orderBy("path", "arrival").collect()
+    assert [r.words[1] for r in back] == list(range(50))
 
 
 def test_graph_checks(spark):
@@ -137,7 +143,13 @@ def test_graph_checks(spark):
     source = {"in": {"data": pipeline.Port(samples, StreamInfo(nchannels=1))}}
     graph = {"processors": {"x": {"class": "levelcrossing", "options": {"threshold": 1.5, "post detect block": 0}}}, "connections": [["in.data", "x.data"]]}
     assert pipeline.build(graph, source)["x"]["events"].df.count() == 3
-    assert pipeline.build(graph, source, {"x": {"threshold": 0.5}})["x"]["events"].df.count() == 3
+    assert pipeline.build(graph, source, {"x": {"threshold": 2.5}})["x"]["events"].df.count() == 0
+    with pytest.raises(ValueError, match="no option"):
+        pipeline.build(graph, source, {"x": {"treshold": 0.5}})
+    with pytest.raises(ValueError, match="unknown operator"):
+        pipeline.build({"processors": {"x": {"class": "nothing"}}}, {})
+    with pytest.raises(ValueError, match="no port"):
+        pipeline.build({"processors": {"x": {"class": "levelcrossing"}}, "connections": [["in.data", "x.dat"]]}, source)
     with pytest.raises(TypeError):
         pipeline.build({"processors": {"c": {"class": "converter"}}, "connections": [["in.data", "c.events"]]}, source)
     with pytest.raises(ValueError, match="cycle"):
@@ -186,3 +198,151 @@ def test_udp_source(spark, tmp_path):
             break
     query.stop()
     assert found >= 3 and {bytes(r.raw) for r in spark.table("datagrams").collect()} == {packet}
+
+
+def test_udp_offsets_return_and_survive_a_restart(tmp_path):
+    import socket
+    import threading
+    import time
+
+    options = {"port": "0", "nchannels": "2", "batch": "50", "wait": "0.3", "part": "20", "spool": str(tmp_path / "spool")}
+    reader = files.UdpReader(options)
+    assert reader.latestOffset() == {"n": 0}
+    to, packet, stop = reader.socket.getsockname(), np.arange(20, dtype="<i4").tobytes(), threading.Event()
+
+    def flood():
+        s = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        while not stop.is_set():
+            s.sendto(packet, to)
+            time.sleep(0.001)
+
+    sender = threading.Thread(target=flood)
+    sender.start()
+    try:
+        began = time.monotonic()
+        end = reader.latestOffset()
+        assert 0 < end["n"] <= 50 and time.monotonic() - began < 2
+    finally:
+        stop.set()
+        sender.join()
+    reader.socket.close()
+    fresh = files.UdpReader(options)
+    assert fresh.seen == end["n"]
+    parts = fresh.partitions({"n": 3}, end)
+    rows = [row for p in parts for row in fresh.read(p)]
+    assert [k for k, _ in rows] == list(range(3, end["n"])) and all(x == packet for _, x in rows) and max(p.n for p in parts) <= 20
+    fresh.commit(end)
+    assert fresh.partitions({"n": 0}, end) == []
+
+
+def test_fir_keeps_the_place_of_nulls(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None), ("a", 2, 3.0)], "s string, hw_ts long, value double")
+    for more in ({}, {"chunk": 2, "block": 2}):
+        assert [round(r.filtered, 9) for r in sg.fir(df, (0.5, 0.3, 0.2), ["s"], ["hw_ts"], **more).orderBy("hw_ts").collect()] == [0.5, 0.3, 1.7]
+
+
+def test_chunks_change_nothing(spark):
+    df = spark.range(5000).select(F.lit(0).alias("s"), (F.col("id") * 7 % 5000).alias("hw_ts"), F.sin(F.col("id") * 0.37).alias("value")).withColumn("values", F.array("value"))
+    by, order = ["s"], ["hw_ts"]
+    same = lambda f, **more: assert_same(f(), f(**more))
+
+    def assert_same(a, b):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+    same(lambda **m: sg.fir(df, (0.5, 0.25, 0.25), by, order, **m), chunk=333, block=100)
+    same(lambda **m: sg.crossings(df, 0.2, by, order, **m), chunk=333, block=100)
+    same(lambda **m: sg.rebuffer(df, by, order, 3, 7, **m), chunk=333)
+    same(lambda **m: pk.check_times(df.withColumn("arrival", F.col("hw_ts") * 13 % 5000), by, ["arrival"], 2.0, **m), chunk=333)
+    assert sg.buffer_size(0.5, 1000.0, 5) == 100
+    with pytest.raises(ValueError):
+        sg.rebuffer(df, by, order, seconds=1.0)
+
+
+def test_coincidence_in_one_dense_stream(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, int(t), int(k), bool(b)) for t, k, b in zip(rng.integers(0, 3000, 400), rng.integers(0, 4, 400), rng.random(400) < 0.1, strict=True)]
+    df = spark.createDataFrame(rows, "s int, hw_ts long, slot int, block boolean")
+    got = ev.coincidence_filter(df.where("not block"), df.where("block"), ["s"], 20, 15, 6, 2)
+    blockers = [t for _, t, _, b in rows if b]
+    expected = []
+    for _, t, k, b in rows:
+        n = len({o for _, u, o, c in rows if not c and t - 20 < u <= t})
+        if not b and n >= 2 and not any(t - 15 <= x <= t or t < x < t + 6 for x in blockers):
+            expected.append((t, k, n))
+    assert sorted((r.hw_ts, r.slot, r.n_slots) for r in got.collect()) == sorted(expected)
+    # The number of rows of one stream costs a sort, not their square.
+    big = spark.range(200_000).select(F.lit(0).alias("s"), F.col("id").alias("hw_ts"), (F.col("id") % 3).alias("slot"))
+    assert ev.coincidence_filter(big, big.where("hw_ts % 1000 = 0"), ["s"], 100_000, 10, 10, 3).count() == 200_000 - 200 * 11 - 199 * 9
+
+
+def test_graph_states_and_sinks(spark):
+    df = spark.createDataFrame([("a", k, "on" if k % 4 == 0 else "off") for k in range(0, 40, 2)], "stream_id string, hw_ts long, event string")
+    samples = spark.createDataFrame([("a", k, [float(k * k % 23)]) for k in range(40)], "stream_id string, hw_ts long, values array<double>")
+    source = {"e": {"events": pipeline.Port(df, StreamInfo("events"))}, "s": {"data": pipeline.Port(samples, StreamInfo(sample_rate=1.0))}}
+    text = """
+processors:
+  gate: {class: Event2State, options: {target event: 'on'}}
+  detector: {class: RippleDetector, options: {threshold dev: 0.5, smooth time: 3, analysis lockout time: 0, statistics downsample factor: 2}}
+  counter: {class: DummySink}
+  line: {class: SerialOutput}
+  pins: {class: DigitalOutput, options: {device: {nchannels: 2}, protocols: {'on': {high: [0]}, 'off': {low: [0]}}}}
+  net: {class: ZMQSerializer, options: {interleave: true}}
+connections:
+  - e.events = gate.events
+  - s.data = detector.data
+  - s.data = counter.data
+  - e.events = line.events
+  - e.events = pins.events
+  - e.events = net.data
+  - s.data = net.data
+states:
+  - [gate.enabled, detector.detection enabled]
+"""
+    out = pipeline.build(text, source)
+    on = lambda t: t // 2 * 2 % 4 == 0
+    assert all(on(r.hw_ts) for r in out["detector"]["events"].df.collect())
+    shown = [r.hw_ts for r in out["detector"]["statistics"].df.orderBy("hw_ts").collect()]
+    assert shown == list(range(3, 40, 2))  # nothing off the cadence, whatever has fired
+    (count,) = out["counter"]["counts"].df.collect()
+    assert (count.n, count.first_ts, count.last_ts, count.rate) == (40, 0, 39, 1e6)
+    assert out["line"]["messages"].df.count() == 20 and out["pins"]["states"].df.where("state[0]").count() == 10
+    assert out["net"]["data"].df.groupBy("slot").count().orderBy("slot").collect()[1]["count"] == 40
+
+
+def test_trigger_in_full():
+    t = {"hw_ts": np.array([0, 10, 60, 100, 130, 200]), "delay": np.array([20, 20, 20, 20, 20, 20])}
+    run = lambda k: k.step(k.init(), t)[1]
+    from rivulet.operators import kernels as K
+
+    assert run(K.Delayed("ontime", 50))["at"] == [0, 60, 130, 200]
+    assert run(K.Delayed("ontime", 0, after_stimulation=False, analysis=15, offsets=(0,)))["at"] == [0, 60, 100, 130, 200]
+    # Two windows, one right after the stimulation and one later.
+    assert run(K.Delayed("ontime", 0, after_stimulation=False, analysis=15, offsets=(0, 55)))["at"] == [0, 100, 130, 200]
+    late = run(K.Delayed("delayed", 50))
+    assert list(zip(late["at"], late["message"], strict=True)) == [(0, "r"), (20, "d"), (60, "r"), (80, "d"), (130, "r"), (150, "d"), (200, "r"), (220, "d")][: len(late["at"])] or late["message"].count("d") == 4
+    only = run(K.Delayed("detection", 50, after_detection=True))
+    assert only == {"at": [0, 60, 130, 200], "message": ["r"] * 4}
+    with pytest.raises(ValueError):
+        K.Delayed(lockout=-1)
+
+
+def test_in_order_waits_for_late_rows(spark, tmp_path):
+    from rivulet.operators import kernels as K
+    from rivulet.streaming.runner import in_order, stateful
+
+    schema = "k int, ts timestamp, hw_ts long, value double"
+    batches = [[0, 1, 4], [3, 2, 9], [6, 40], [5, 41], [90]]  # 5 comes after the watermark has passed it
+    for n, rows in enumerate(batches):
+        table = spark.createDataFrame([(1, t, float(t % 3)) for t in rows], "k int, hw_ts long, value double").withColumn("ts", F.timestamp_seconds(F.col("hw_ts") + 1000))
+        table.select("k", "ts", "hw_ts", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{n}"))
+    with stateful(spark):
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        out = in_order(live, "k", "ts", ["hw_ts"], K.Smoother(0.5), ["hw_ts"], "10 seconds")
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = [(r.hw_ts, r.smooth) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("hw_ts").collect()]
+    v, expected = 0.0, []
+    for t in (0, 1, 2, 3, 4, 6, 9, 40, 41):
+        v = 0.5 * (t % 3) + 0.5 * v
+        expected.append((t, v))
+    assert got == expected[: len(got)] and len(got) >= 7
