@@ -562,3 +562,52 @@ class Rendezvous(Kernel):
                 rounds.append(s.n)
                 s.seen, s.at, s.n = set(), 0, s.n + 1
         return rows, {"at": at, "round": rounds}
+
+
+@dataclass
+class Coincidence(Kernel):
+    """The coincidence filter over rows as they come, for streams that have no end to look back from: targets on at least
+    `needed` slots within `sync`, unless a blocker came at most `block` before or at the same time, or comes less than `wait`
+    after. A target is decided with the first row that comes `wait` or more after it, so each waits a bounded time.
+
+    Columns: hw_ts, slot, and target (false for blockers). Rows of one time are looked at together.
+    """
+
+    sync: int = 3_500
+    block: int = 10_000
+    wait: int = 1_500
+    needed: int = 1
+    reads = ("hw_ts", "slot", "target")
+    returns = "at long, slot long, n_slots long"
+
+    def init(self):
+        return SimpleNamespace(now=None, targets=[], blocked=False, seen={}, blocker=-math.inf, waiting=[])
+
+    def _close(self, s) -> None:
+        """What the rows of the time that is over say."""
+        if s.blocked:
+            s.blocker = s.now
+        for slot in s.targets:
+            s.seen[slot] = s.now
+        s.seen = {slot: t for slot, t in s.seen.items() if t > s.now - self.sync}
+        if s.targets and s.now - s.blocker > self.block and len(s.seen) >= self.needed:
+            s.waiting += [(s.now, slot, len(s.seen)) for slot in s.targets]
+        s.targets, s.blocked = [], False
+
+    def step(self, s, columns):
+        rows, out = [], {"at": [], "slot": [], "n_slots": []}
+        for k, (t, slot, target) in enumerate(zip(columns["hw_ts"].tolist(), columns["slot"].tolist(), columns["target"].tolist(), strict=True)):
+            if s.now is not None and t != s.now:
+                self._close(s)
+            s.now = t
+            ready = [x for x in s.waiting if t - x[0] >= self.wait]
+            for x in ready:
+                rows.append(k)
+                for c, v in zip(out.values(), x, strict=True):
+                    c.append(v)
+            s.waiting = [x for x in s.waiting if t - x[0] < self.wait and (target or t <= x[0])]
+            if target:
+                s.targets.append(slot)
+            else:
+                s.blocked = True
+        return rows, out

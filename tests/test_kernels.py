@@ -14,7 +14,7 @@ KERNELS = [
     K.LevelCrossing(1.0, True, 2), K.LevelCrossing(1.0, False, 0), K.RunningStats(0.2, 3), K.RunningStats(0.2, 2, 1.0, 2.0), K.Smoother(0.3), K.Peak(), K.Oscillation(1.0, 4.0, 2000.0, 1.0, 1),
     K.Oscillation(1.0, 3.0, 1000.0, 1.0, 4, False, 2), K.burst(1.0, 3.0, 1000.0, 1000.0), K.Spike(1.0, False, 3), K.Spike(1.0, True, 1), K.Fir((0.5, 0.25, 0.25)), K.Biquad(((0.2, 0.4, 0.2, 1, -0.5, 0.25),), 2.0),
     K.GapFill(2, "asap", 10.0), K.GapFill(3, "distributed", 10.0), K.GapFill(2, "none"), K.DigitalState({"a": {"high": [0], "pulse": [1]}, "b": {"toggle": [0, 9]}}, 3, 15), K.Throttle(10),
-    K.Delayed("detection", 20, after_detection=True), K.Delayed("ontime", 20), K.Delayed("delayed", 20), K.Delayed("ontime", 5, analysis=30, offsets=(1, 40)), K.Rendezvous("a", (0, 1)),
+    K.Delayed("detection", 20, after_detection=True), K.Delayed("ontime", 20), K.Delayed("delayed", 20), K.Delayed("ontime", 5, analysis=30, offsets=(1, 40)), K.Rendezvous("a", (0, 1)), K.Coincidence(30, 20, 15, 1),
 ]
 
 
@@ -22,7 +22,7 @@ def columns(values, steps):
     n = len(values)
     return {
         "value": np.array(values, float), "hw_ts": np.cumsum(np.array(steps[:n], np.int64)) if n else np.zeros(0, np.int64), "event": np.array(["a" if v > 0 else "b" for v in values], object),
-        "slot": np.array([k % 2 for k in range(n)]), "nread": np.array([abs(int(10 * v)) for v in values]), "delay": np.array([k % 7 for k in range(n)]), "enabled": np.ones(n, bool),
+        "slot": np.array([k % 2 for k in range(n)]), "nread": np.array([abs(int(10 * v)) for v in values]), "delay": np.array([k % 7 for k in range(n)]), "enabled": np.ones(n, bool), "target": np.array([v > -2 for v in values], bool),
     }
 
 
@@ -166,3 +166,21 @@ def test_segments_carry_state():
     k = K.LevelCrossing(1.0, True, 0)
     parts = [run_segments(k, states, rows.iloc[a:b], "k", ["k"], True) for a, b in ((0, 1), (1, 3), (3, 4))]
     assert pd.concat(parts)["k"].tolist() == [1, 2]
+
+
+def test_coincidence_as_rows_come():
+    rng = np.random.default_rng(5)
+    rows = sorted((int(t), int(k), bool(b)) for t, k, b in zip(rng.integers(0, 4000, 500), rng.integers(0, 4, 500), rng.random(500) > 0.1, strict=True))
+    rows.append((10**6, 0, True))  # the end decides what waits
+    kernel = K.Coincidence(20, 15, 6, 2)
+    state, got = kernel.init(), []
+    for a, b in ((0, 7), (7, 200), (200, 501)):
+        out = kernel.step(state, {c: np.array([r[i] for r in rows[a:b]]) for i, c in enumerate(("hw_ts", "slot", "target"))})[1]
+        got += zip(out["at"], out["slot"], out["n_slots"], strict=True)
+    blockers = [t for t, _, x in rows if not x]
+    expected = []
+    for t, k, x in rows[:-1]:
+        n = len({o for u, o, y in rows if y and t - 20 < u <= t})
+        if x and n >= 2 and not any(t - 15 <= b <= t or t < b < t + 6 for b in blockers):
+            expected.append((t, k, n))
+    assert sorted(got) == sorted(expected)
