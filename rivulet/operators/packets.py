@@ -1,4 +1,5 @@
-"""Raw acquisition packets and message packets: decoding, validity, time checks, gap filling. Native expressions.
+"""Raw acquisition packets and message packets: decoding, validity, time checks, gap filling. Native expressions, but for the
+reading of serialized messages.
 
 A raw packet is a row of 32-bit words: 2048, 1, channels + 10, time (high, low), status, digital word, ten reserved, the
 samples, and the exclusive or of all words before.
@@ -8,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,3 +128,50 @@ def message_gaps(messages: DataFrame, by: Sequence[str]) -> DataFrame:
     """Number of places where the message number does not follow the one before."""
     step = F.col("message_id") - F.lag("message_id").over(Window.partitionBy(*by).orderBy("message_id"))
     return messages.withColumn("_step", step).groupBy(*by).agg(F.count_if(F.col("_step") != 1).alias("n_gaps"), F.count(F.lit(1)).alias("n_messages"))
+
+
+#: Fields of a serialized message in the order of its table, and how each is stored. Fixed values of the message format.
+MESSAGE_FIELDS = (("samples", "vector"), ("n_channels", "<u4"), ("n_samples", "<u4"), ("ts", "<u8"), ("message_id", "<u8"), ("sample_rate", "<u4"))
+
+
+def read_message(data: bytes) -> dict | None:
+    """A message's fields from its serialized table; None if its offsets lead outside of it. Fields left out are 0 or empty."""
+
+    def number(kind: str, at: int) -> int:
+        if at < 0:
+            raise ValueError
+        return int(np.frombuffer(data, kind, 1, at)[0])
+
+    try:
+        table = number("<u4", 0)
+        fields = table - number("<i4", table)  # the list of where each field lies in the table
+        known = (number("<u2", fields) - 4) // 2
+        out = {}
+        for k, (name, kind) in enumerate(MESSAGE_FIELDS):
+            place = number("<u2", fields + 4 + 2 * k) if k < known else 0
+            if kind == "vector":
+                start = table + place + number("<u4", table + place) if place else 0
+                out[name] = np.frombuffer(data, "<f4", number("<u4", start), start + 4) if place else np.zeros(0, "<f4")
+            else:
+                out[name] = number(kind, table + place) if place else 0
+        return out
+    except ValueError:
+        return None
+
+
+def read_messages(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """The kept columns, and the fields of a column of serialized messages, as `unpack_messages` takes them. Those that can't be
+    read are left out; so are nulls."""
+
+    def run(batches):
+        for batch in batches:
+            found = [read_message(bytes(x)) if x is not None else None for x in batch[column]]
+            good = np.array([x is not None for x in found], bool)
+            out = batch[list(keep)][good].reset_index(drop=True)
+            for name, kind in MESSAGE_FIELDS:
+                out[name] = pd.Series([x[name] for x in found if x is not None], dtype=object if kind == "vector" else np.int64)
+            yield out
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "samples array<float>", "n_channels int", "n_samples int", "ts long", "message_id long", "sample_rate int"])
+    return df.select(*keep, column).mapInPandas(run, schema)

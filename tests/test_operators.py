@@ -346,3 +346,22 @@ def test_in_order_waits_for_late_rows(spark, tmp_path):
         v = 0.5 * (t % 3) + 0.5 * v
         expected.append((t, v))
     assert got == expected[: len(got)] and len(got) >= 7
+
+
+def message(samples, n_channels, n_samples, ts, number, rate):
+    """A serialized message: root offset, list of fields, table, vector."""
+    import struct
+
+    fields = struct.pack("<8H", 16, 36, 4, 8, 12, 16, 24, 32)
+    table = 4 + len(fields)
+    body = struct.pack("<iIIIQQI", table - 4, 36 - 4, n_channels, n_samples, ts, number, rate)
+    return struct.pack("<I", table) + fields + body + struct.pack(f"<I{len(samples)}f", len(samples), *samples)
+
+
+def test_serialized_messages(spark):
+    good = message([1.5, 2.5, 3.5, 4.5, 5.5, 6.5], 2, 3, 1 << 40, 7, 30_000)
+    df = spark.createDataFrame([("a", bytearray(good)), ("a", bytearray(good[:20])), ("a", bytearray(b"")), ("a", None), ("a", bytearray(b"\xff" * 60))], "stream_id string, data binary")
+    (row,) = pk.read_messages(df, "data", "stream_id").collect()
+    assert (row.samples, row.n_channels, row.n_samples, row.ts, row.message_id, row.sample_rate) == ([1.5, 2.5, 3.5, 4.5, 5.5, 6.5], 2, 3, 1 << 40, 7, 30_000)
+    out = pk.unpack_messages(pk.read_messages(df, "data", "stream_id"), 2).orderBy("i").collect()
+    assert [(r.hw_ts - (1 << 40), r["values"]) for r in out] == [(0, [1.5, 4.5]), (1, [2.5, 5.5]), (2, [3.5, 6.5])]
