@@ -28,11 +28,6 @@ from rivulet.llm.tokens import Ids
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def padded(used: int, capacity: int) -> int:
-    """Length of a window after padding: the capacity, but a power of two stays as it is."""
-    return used if used & (used - 1) == 0 else capacity
-
-
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """Multiset of lengths out of counts whose sum is the largest that is at most room."""
     reach, steps = 1, []

@@ -13,7 +13,8 @@ Scale: a run is a row of a hash and two ids. First documents come from a map-sid
 that a third of all documents hold is one row of each map task; its removal is a join, whose hot side AQE splits.
 
 Defined cases: null and empty texts have no pieces and stay; a null doc_id is never first and only loses its own repeats;
-rows that share a doc_id count as one document; repeated rows get equal results; texts are searched whole.
+rows that share a doc_id count as one document; repeated rows get equal results; other columns are not read; an empty table gives
+no rows; texts are searched whole.
 """
 
 from __future__ import annotations

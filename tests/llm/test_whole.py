@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm import media, mixing, substring, toxicity
+from rivulet.llm import media, minhash, mixing, substring, toxicity
 
 
 def covered(passage, other, before, after):
@@ -304,3 +304,30 @@ def test_null_texts_go_through_the_whole_pipeline(spark, data):
             at = p.durable(at)
     ids = {r.doc_id for r in at.select("doc_id").collect()}
     assert {r.doc_id for r in odd.select("doc_id").collect()} <= ids and None in ids
+
+
+def test_a_large_group_around_the_threshold(spark):
+    """250 copies of one text, each with edits of its own: most pairs lie a little below the threshold, some above."""
+    from tests.llm.test_spark import closure, near
+
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(110)]
+    texts = []
+    for d in range(250):
+        words = list(base)
+        for k in r.sample(range(110), 2):
+            words[k] = f"e{d}x{k}" if r.random() < 0.7 else f"e{k}"
+        texts.append(" ".join(words))
+    linked = [(a, b) for a in range(250) for b in range(a + 1, 250) if near(texts[a], texts[b], 4)]
+    expected = closure(range(250), linked)
+    assert 0.02 * 250 * 249 / 2 < len(linked) < 0.5 * 250 * 249 / 2 and 1 < len(set(expected.values())) < 250
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("band", F.lit(1)).withColumn("component", F.lit(2))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(df, k=4, block=64).collect()}
+    assert got == expected
+
+
+def test_rows_with_one_id_are_looked_at_apart(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(5, text, 1), (5, "something else that stands alone here", 2), (3, text, 3), (6, None, 4), (6, None, 5)], "doc_id long, text string, digest int")
+    kept = minhash.keep_first(df).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(3, text), (5, "something else that stands alone here"), (6, "")]
