@@ -59,6 +59,84 @@ def butterworth(cutoff: float, order: int = 2, kind: str = "lowpass") -> tuple[t
     return tuple(out)
 
 
+def prototype(family: str, order: int, ripple: float = 1.0, attenuation: float = 40.0) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and poles of an analogue low pass of unit cutoff: butterworth, chebyshev1 (ripple in dB in the pass band),
+    chebyshev2 (attenuation in dB in the stop band, which begins at the cutoff), bessel (3 dB at the cutoff)."""
+    angle = np.pi * (2 * np.arange(order) + 1) / (2 * order)
+    circle = 1j * np.exp(1j * angle)  # the left half of the unit circle
+    none = np.zeros(0, complex)
+    if family == "butterworth":
+        return none, circle
+    if family in ("chebyshev1", "chebyshev2"):
+        epsilon = np.sqrt(10 ** (ripple / 10) - 1) if family == "chebyshev1" else 1 / np.sqrt(10 ** (attenuation / 10) - 1)
+        width = np.arcsinh(1 / epsilon) / order
+        ellipse = circle.real * np.sinh(width) + 1j * circle.imag * np.cosh(width)
+        if family == "chebyshev1":
+            return none, ellipse
+        inverse = np.cos(angle)
+        return 1j / inverse[np.abs(inverse) > 1e-9], 1 / ellipse
+    if family == "bessel":
+        falling = [math.factorial(2 * order - k) / (2 ** (order - k) * math.factorial(k) * math.factorial(order - k)) for k in range(order, -1, -1)]
+        poles = np.roots(falling)
+        gain = lambda w: abs(np.prod(-poles) / np.prod(1j * w - poles))
+        low, high = 1e-3, 1e3
+        for _ in range(200):  # where it has fallen by 3 dB
+            middle = math.sqrt(low * high)
+            low, high = (middle, high) if gain(middle) > math.sqrt(0.5) else (low, middle)
+        return none, poles / low
+    raise ValueError(f"unknown family {family!r}")
+
+
+def sections(zeros: np.ndarray, poles: np.ndarray, gain: float) -> tuple[tuple[float, ...], ...]:
+    """Second-order sections of a digital filter; complex roots come in conjugate pairs, the gain goes to the first section."""
+
+    def pairs(roots: np.ndarray) -> list[np.ndarray]:
+        upper = [np.poly([r, np.conj(r)]).real for r in roots if r.imag > 1e-12]
+        real = sorted(r.real for r in roots if abs(r.imag) <= 1e-12)
+        return upper + [np.poly(real[k : k + 2]) for k in range(0, len(real), 2)]
+
+    top, bottom = pairs(zeros), pairs(poles)
+    n = max(len(top), len(bottom))
+    pad = lambda p: np.concatenate([p, np.zeros(3 - len(p))])
+    top, bottom = [[pad(p) for p in side] + [pad(np.ones(1))] * (n - len(side)) for side in (top, bottom)]
+    return tuple((*(b * (gain if k == 0 else 1.0)).tolist(), *a.tolist()) for k, (b, a) in enumerate(zip(top, bottom, strict=True)))
+
+
+def iir(family: str, order: int, cutoff: float | tuple[float, float], kind: str = "lowpass", ripple: float = 1.0, attenuation: float = 40.0) -> tuple[tuple[float, ...], ...]:
+    """Second-order sections of a low, high or band pass of any order, by the bilinear transform. cutoff is a fraction of the
+    sample rate, two of them for a band pass; the gain is one in the middle of the pass band (at zero for a low pass)."""
+    edges = np.atleast_1d(np.asarray(cutoff, float))
+    if order < 1 or (edges <= 0).any() or (edges >= 0.5).any() or len(edges) != (2 if kind == "bandpass" else 1) or (np.diff(edges) <= 0).any():
+        raise ValueError("an order of 1 or more, and cutoffs between 0 and 0.5")
+    zeros, poles = prototype(family, order, ripple, attenuation)
+    warped = 2 * np.tan(np.pi * edges)
+    if kind == "lowpass":
+        zeros, poles, at = zeros * warped[0], poles * warped[0], 0.0
+    elif kind == "highpass":
+        lacking = len(poles) - len(zeros)
+        zeros, poles, at = np.concatenate([warped[0] / zeros, np.zeros(lacking)]), warped[0] / poles, 0.5
+    elif kind == "bandpass":
+        width, middle = warped[1] - warped[0], math.sqrt(warped[0] * warped[1])
+        lacking = len(poles) - len(zeros)
+        split = lambda r: np.concatenate([r * width / 2 + np.sqrt((r * width / 2) ** 2 - middle**2 + 0j), r * width / 2 - np.sqrt((r * width / 2) ** 2 - middle**2 + 0j)])
+        zeros, poles, at = np.concatenate([split(zeros), np.zeros(lacking)]), split(poles), math.atan(middle / 2) / math.pi
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    lacking = len(poles) - len(zeros)
+    z, p = np.concatenate([(2 + zeros) / (2 - zeros), -np.ones(lacking)]), (2 + poles) / (2 - poles)
+    # Zeros on the circle are kept on it, so that pairs are found.
+    z = np.where(np.abs(np.abs(z) - 1) < 1e-9, z / np.abs(z), z)
+    one = np.exp(2j * np.pi * at)
+    gain = abs(np.prod(one - p) / np.prod(one - z))
+    return sections(z, p, float(gain))
+
+
+def response(sos: Sequence[Sequence[float]], frequency: float, gain: float = 1.0) -> float:
+    """Amplification at a frequency, as a fraction of the sample rate."""
+    z = np.exp(-2j * np.pi * frequency)
+    return float(abs(np.prod([(b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z) for b0, b1, b2, _, a1, a2 in sos])) * gain)
+
+
 def bandpass(center: float, width: float, sections: int = 1) -> tuple[tuple[float, ...], ...]:
     """Constant-peak band pass sections; center and width as fractions of the sample rate."""
     w, q = 2 * math.pi * center, center / width

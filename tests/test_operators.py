@@ -34,6 +34,24 @@ def test_designs():
     assert len(filters.impulse_response(band)) == 2
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 7])
+@pytest.mark.parametrize("family", ["butterworth", "chebyshev1", "chebyshev2", "bessel"])
+def test_families_of_designs(family, order):
+    low, high = filters.iir(family, order, 0.1), filters.iir(family, order, 0.1, "highpass")
+    band = filters.iir(family, order, (0.05, 0.2), "bandpass")
+    assert math.isclose(filters.response(low, 0), 1, rel_tol=1e-6) and math.isclose(filters.response(high, 0.5), 1, rel_tol=1e-6)
+    at_edge = {"butterworth": math.sqrt(0.5), "bessel": math.sqrt(0.5), "chebyshev2": 0.01}.get(family)
+    if at_edge:
+        assert math.isclose(filters.response(low, 0.1), at_edge, rel_tol=1e-4) and math.isclose(filters.response(high, 0.1), at_edge, rel_tol=1e-4)
+        assert math.isclose(filters.response(band, 0.05), at_edge, rel_tol=1e-3) and math.isclose(filters.response(band, 0.2), at_edge, rel_tol=1e-3)
+    assert filters.response(low, 0.4) < 0.3 and filters.response(high, 0.01) < 0.3 and filters.response(band, 0.45) < 0.6
+    assert all(np.abs(np.roots([1, a1, a2])).max() < 1 for s in (low, high, band) for *_, a1, a2 in s)
+    tail = filters.impulse_response(K.Biquad(low), 4000)
+    assert abs(sum(tail) - 1) < 1e-3
+    if family == "butterworth" and order % 2 == 0:
+        assert all(math.isclose(filters.response(low, f), filters.response(filters.butterworth(0.1, order), f), rel_tol=1e-6) for f in (0.03, 0.1, 0.3))
+
+
 def test_filter_text():
     fir = filters.parse_text("##\n# type = fir\n# format = text\n##\n0.5\n0.25 0.25\n")
     assert fir.taps == (0.5, 0.25, 0.25)
