@@ -57,6 +57,17 @@ def write_packets(words: DataFrame, path: str, order: str = "arrival") -> None:
     ordered.select(F.col(order).cast("long").alias("arrival"), "words").write.format("raw_packets").option("path", path).mode("append").save()
 
 
+def replayed(packets: DataFrame, per_second: int, cycle: bool = False) -> DataFrame:
+    """Stored packets as a streaming DataFrame, so many a second in order of arrival (0 to n - 1), over and over with cycle:
+    the clock's ticks joined with the table. at is the time of the tick."""
+    spark = packets.sparkSession
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("timestamp").alias("at"), F.col("value").alias("tick"))
+    if cycle:
+        n = packets.count()
+        return ticks.withColumn("arrival", F.col("tick") % n).join(packets, "arrival").withColumn("arrival", F.col("tick")).drop("tick")
+    return ticks.withColumnRenamed("tick", "arrival").join(packets, "arrival")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     name: str

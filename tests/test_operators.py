@@ -383,3 +383,21 @@ def test_serialized_messages(spark):
     assert (row.samples, row.n_channels, row.n_samples, row.ts, row.message_id, row.sample_rate) == ([1.5, 2.5, 3.5, 4.5, 5.5, 6.5], 2, 3, 1 << 40, 7, 30_000)
     out = pk.unpack_messages(pk.read_messages(df, "data", "stream_id"), 2).orderBy("i").collect()
     assert [(r.hw_ts - (1 << 40), r["values"]) for r in out] == [(0, [1.5, 4.5]), (1, [2.5, 5.5]), (2, [3.5, 6.5])]
+
+
+def test_replay_is_paced(spark, tmp_path):
+    import time
+
+    table = spark.range(3).select(F.col("id").alias("arrival"), (F.col("id") * 10).alias("hw_ts"))
+    query = files.replayed(table, 20, cycle=True).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "replay")).start()
+    for _ in range(100):
+        time.sleep(0.3)
+        rows = spark.table("replayed").orderBy("arrival").collect()
+        if len(rows) >= 7:
+            break
+    query.stop()
+    assert len(rows) >= 7 and [r.hw_ts for r in rows] == [10 * (k % 3) for k in range(len(rows))]
+
+
+def test_filters_are_timed():
+    assert 0 < filters.microseconds_a_sample(K.Fir((0.5, 0.5)), 10_000) < 100
