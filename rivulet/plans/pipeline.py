@@ -209,10 +209,9 @@ def build(graph: dict | str, sources: dict[str, dict[str, Port]] | None = None,
 
     def context(name: str, without: set = frozenset()) -> Context:
         op = OPERATORS[processors[name]["class"]]
-        inputs: dict[str, list[Port]] = {}
         placed: dict[str, list[tuple[int, Port]]] = {}
         for k, (a, b) in enumerate(e for e in edges if e[1].name == name and e[0].name not in without):
-            port = b.port if b.port in op.takes or b.port else next(iter(op.takes), "")
+            port = b.port or next(iter(op.takes), "")
             if port not in op.takes:
                 raise ValueError(f"{name} has no port {port!r}")
             out = a.port or next(iter(done[a.name]))
@@ -229,9 +228,14 @@ def build(graph: dict | str, sources: dict[str, dict[str, Port]] | None = None,
             made.enabled = done[switched[name]]["states"]
         return made
 
+    def needs(name: str) -> set[str]:
+        """What must be done before a processor, and with it the others of its loop, can be built."""
+        own = bound[name].members if name in bound else {name}
+        before = {a.name for a, b in edges if b.name in own} | {switched[n] for n in own if n in switched}
+        return before - own if name in bound else before
+
     while waiting:
-        needs = lambda n, own: {a.name for a, b in edges if b.name == n} | ({switched[n]} if n in switched else set()) - own
-        ready = [n for n in waiting if all(x in done for m in (bound[n].members if n in bound else {n}) for x in needs(m, set()) - (bound[n].members if n in bound else set()))]
+        ready = [n for n in waiting if needs(n) <= done.keys()]
         if not ready:
             raise ValueError(f"a cycle or a missing source at {sorted(waiting)}")
         for name in ready:

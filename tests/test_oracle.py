@@ -32,12 +32,8 @@ def test_equal(spark, duck, data, name):
     assert rows(df.select(*columns).collect()) == rows(expected)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
-def test_runs_alike_twice(spark, data, name):
-    df = QUERIES[name](spark, data)
-    assert df.columns
-    if name != "source_noise":
-        assert rows(df.collect()) == rows(QUERIES[name](spark, data).collect())
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLE.keys()
 
 
 def test_entry(spark):
