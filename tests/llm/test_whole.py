@@ -315,12 +315,12 @@ def test_a_large_group_around_the_threshold(spark):
     texts = []
     for d in range(250):
         words = list(base)
-        for k in r.sample(range(110), 2):
+        for k in r.sample(range(110), 2 if d % 3 == 0 else 3):
             words[k] = f"e{d}x{k}" if r.random() < 0.7 else f"e{k}"
         texts.append(" ".join(words))
     linked = [(a, b) for a in range(250) for b in range(a + 1, 250) if near(texts[a], texts[b], 4)]
     expected = closure(range(250), linked)
-    assert 0.02 * 250 * 249 / 2 < len(linked) < 0.5 * 250 * 249 / 2 and 1 < len(set(expected.values())) < 250
+    assert 100 < len(linked) < 0.5 * 250 * 249 / 2 and 20 < len(set(expected.values())) < 230
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("band", F.lit(1)).withColumn("component", F.lit(2))
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(df, k=4, block=64).collect()}
     assert got == expected
