@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import durable, group_starts, long_id, slices, text_id, whole_groups
 
 GRAM = 48
+#: Windows of a context that its shape can count.
+WINDOWS = 1 << 10
 #: Offsets of a range into which the windows of a large bucket are split.
 SPREAD = 22
 #: Perfect difference cover: every difference modulo 7 occurs between two of its members. Fixed values.
@@ -230,8 +232,8 @@ def sorted_repeats(data: np.ndarray, bucket: np.ndarray, window: np.ndarray, len
 
 def remove_repeats(docs: DataFrame, length: int = 200, limit: int = 2048, with_text: bool = False, block: int = 1 << 21) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for every row."""
-    if not GRAM + 2 * PERIOD <= length < 1 << 10:
-        raise ValueError(f"length must be {GRAM + 2 * PERIOD} to {(1 << 10) - 1}")
+    if not GRAM + 2 * PERIOD <= length < WINDOWS:
+        raise ValueError(f"length must be {GRAM + 2 * PERIOD} to {WINDOWS - 1}")
     spread = max(1, min(SPREAD, (length - GRAM) // 2))
     text = F.coalesce("text", F.lit(""))
     # A document's key, and 32 bits more by which documents with one key are told apart.
@@ -249,7 +251,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, limit: int = 2048, with_t
                 shape = packed(checks[at], place - first, last - first, again)
                 yield pd.DataFrame({"gram": gram.view(np.int64), "context": context.view(np.int64), "key": keys[at], "first": near, "shape": shape})[fresh]
                 if again.any():
-                    o, a, more = at[again], near[again], (last - first)[again]
+                    o, a, z = at[again], near[again], near[again] + (last - first)[again]
+                    # Those that follow each other go together, as many windows at once as a shape can say.
+                    new = np.concatenate([[True], (o[1:] != o[:-1]) | (a[1:] != z[:-1] + 1)])
+                    part = (a - a[new][np.cumsum(new) - 1]) // (WINDOWS - length)
+                    new[1:] |= part[1:] != part[:-1]
+                    begin = np.flatnonzero(new)
+                    end = np.append(begin[1:], len(o)) - 1
+                    o, a, more = o[begin], a[begin], z[end] - a[begin]
                     shape = packed(checks[o], np.zeros(len(o), np.int64), more, np.ones(len(o), bool))
                     with np.errstate(over="ignore"):
                         own = (keys[o].view(np.uint64) ^ (a.astype(np.uint64) + np.uint64(1)) * np.uint64(BASES[0])) * np.uint64(BASES[1])
@@ -344,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, limit: int = 2048, with_t
         context = np.repeat(np.arange(len(size)), room)
         inner = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
         # The suffixes of a bucket share its bytes at one offset.
-        bucket = dense(part["gram"].to_numpy())[context] * (1 << 10) + part["offset"].to_numpy()[context] - inner
+        bucket = dense(part["gram"].to_numpy())[context] * WINDOWS + part["offset"].to_numpy()[context] - inner
         hit = sorted_repeats(data, bucket, start[context] + inner, length)
         some = np.unique(context[hit & part["alone"].to_numpy()[context]])
         ends = np.cumsum(room)
