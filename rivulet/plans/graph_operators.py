@@ -82,7 +82,7 @@ def _reader(c: Context):
     decoded = P.decode(p.df, c["nchannels"]).where("error = 0")
     if c["trigger"]["enabled"]:
         decoded = E.level_gate(decoded, P.S.bit_is_set(F.col("digital"), c["trigger"]["channel"]))
-    decoded = _first(decoded.select(p.key, *p.order, "hw_ts", "values") if "hw_ts" not in p.order else decoded.select(p.key, *p.order, "values"), c["npackets"], p)
+    decoded = _first(decoded.select(*dict.fromkeys([p.key, *p.order, "hw_ts", "values"])), c["npackets"], p)
     made = S.distribute(decoded, named, c["nchannels"])
     return {k: Port(df, StreamInfo("samples", len(named[k]), c["batch size"], 32_000.0), p.key, p.order) for k, df in made.items()}
 
