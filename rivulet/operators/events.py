@@ -78,6 +78,22 @@ def coincidence_filter(
     return seen.where(free & (F.col("n_slots") >= needed)).drop("_t", "_last", "_next", "_end", "_s", "_at")
 
 
+def unblocked(rows: DataFrame, blockers: DataFrame, by: Sequence[str], block_us: int, wait_us: int, name: str = "free") -> DataFrame:
+    """All rows, with whether no blocker comes at most block_us before, at the same time, or less than wait_us after. A row
+    without a time is not free. blockers: by and hw_ts.
+
+    The windows of `coincidence_filter` over the rows themselves, which are neither made twice nor joined to their own times.
+    """
+    marks = blockers.where("hw_ts is not null").select(*by, "hw_ts").withColumn("_t", F.lit(False))
+    both = rows.withColumn("_t", F.lit(True)).unionByName(marks, allowMissingColumns=True).repartition(*by)
+    blocked = F.when(~F.col("_t"), F.col("hw_ts"))
+    last = F.max(blocked).over(Window.partitionBy(*by).orderBy("hw_ts").rangeBetween(Window.unboundedPreceding, 0))
+    back = Window.partitionBy(*by).orderBy((-F.col("hw_ts")).alias("_back")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_last", last).withColumn("_next", F.min(blocked).over(back)).where("_t")
+    free = F.coalesce(F.col("hw_ts") - F.col("_last") > block_us, F.lit(True)) & F.coalesce(F.col("_next") - F.col("hw_ts") >= wait_us, F.lit(True))
+    return seen.withColumn(name, F.col("hw_ts").isNotNull() & free).drop("_t", "_last", "_next")
+
+
 def as_of_state(events: DataFrame, states: DataFrame, by: Sequence[str], state: str = "enabled") -> DataFrame:
     """Adds to each event the last state at or before its time (null before the first). Of states at one time the largest holds.
 

@@ -34,7 +34,14 @@ class Kernel:
 def vectors(x: np.ndarray) -> np.ndarray:
     """Samples as rows of channels, whether they come as numbers or as arrays."""
     if x.dtype == object:
-        return np.stack([np.asarray(v, float) for v in x]) if len(x) else np.zeros((0, 1))
+        rows = x.tolist()
+        if not rows:
+            return np.zeros((0, 1))
+        if len({len(v) for v in rows}) > 1:
+            raise ValueError("samples of one stream differ in their number of channels")
+        return np.concatenate(rows).astype(float).reshape(len(rows), len(rows[0]))
+    if x.ndim == 2:
+        return x
     return x.astype(float).reshape(len(x), 1)
 
 
@@ -201,37 +208,46 @@ class Oscillation(Kernel):
     def init(self):
         return SimpleNamespace(stats=MeanMad(1 / self.burn_in, self.burn_in), at=0, warm=False, threshold=0.0, prev=math.inf, left=0, seen=0)
 
+    def levels(self, samples: np.ndarray) -> list[float]:
+        """What the detector sees of each sample."""
+        x = vectors(samples)
+        return ((x * x) if self.power else x).mean(1).tolist()
+
+    def one(self, state, value: float, enabled: bool) -> tuple | None:
+        """Takes one sample. What it says of it, in the order of `returns`; None if it says nothing."""
+        stats = state.stats
+        if state.at == 0 and not stats.burning_in:
+            state.warm = True
+            state.threshold = self.deviations * stats.dispersion
+            stats.alpha = min(1.0, 1 / (self.smooth_s * self.rate))
+        state.at = (state.at + 1) % self.bucket
+        if not state.warm:
+            stats.add(value)
+            return None
+        test = abs(value - stats.center)
+        show = state.seen % self.downsample == 0
+        state.seen += 1
+        locked, fired = state.left > 0, False
+        if locked:
+            state.left -= 1
+        elif enabled:
+            fired = state.prev <= state.threshold < test
+            state.prev = test
+            if fired:
+                state.left = self.block
+            stats.add(value)
+        return (test, state.threshold, fired, locked, show) if show or fired else None
+
     def step(self, state, columns):
-        x = vectors(columns["value"])
-        v = (x * x).mean(1) if self.power else x.mean(1)
+        v = self.levels(columns["value"])
         on = columns["enabled"].tolist() if self.gated else [True] * len(v)
-        rows, out = [], {"test_value": [], "threshold": [], "detected": [], "locked": [], "shown": []}
-        for k, (value, enabled) in enumerate(zip(v.tolist(), on, strict=True)):
-            if state.at == 0 and not state.stats.burning_in:
-                state.warm = True
-                state.threshold = self.deviations * state.stats.dispersion
-                state.stats.alpha = min(1.0, 1 / (self.smooth_s * self.rate))
-            state.at = (state.at + 1) % self.bucket
-            if not state.warm:
-                state.stats.add(value)
-                continue
-            test = abs(value - state.stats.center)
-            show = state.seen % self.downsample == 0
-            state.seen += 1
-            locked, fired = state.left > 0, False
-            if locked:
-                state.left -= 1
-            elif enabled:
-                fired = state.prev <= state.threshold < test
-                state.prev = test
-                if fired:
-                    state.left = self.block
-                state.stats.add(value)
-            if show or fired:
+        rows, said = [], []
+        for k, (value, enabled) in enumerate(zip(v, on, strict=True)):
+            if (found := self.one(state, value, enabled)) is not None:
                 rows.append(k)
-                for name, y in zip(out, (test, state.threshold, fired, locked, show), strict=True):
-                    out[name].append(y)
-        return rows, out
+                said.append(found)
+        names = [x.split()[0] for x in self.returns.split(", ")]
+        return rows, {c: [x[k] for x in said] for k, c in enumerate(names)}
 
 
 def burst(deviations: float = 6.0, smooth_s: float = 10.0, lockout_ms: float = 30.0, bin_ms: float = 10.0) -> Oscillation:
@@ -294,14 +310,19 @@ class Fir(Kernel):
     def init(self):
         return SimpleNamespace(past=None)
 
-    def step(self, state, columns):
-        x = vectors(columns["value"])
+    def filtered(self, state, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return x
         n = len(self.taps) - 1
         past = np.zeros((n, x.shape[1])) if state.past is None else state.past
         both = np.concatenate([past, x])
         y = sum(c * both[n - k : n - k + len(x)] for k, c in enumerate(self.taps))
         state.past = both[len(both) - n :]
-        return list(range(len(x))), {"filtered": y.tolist()}
+        return y
+
+    def step(self, state, columns):
+        y = self.filtered(state, vectors(columns["value"]))
+        return list(range(len(y))), {"filtered": y.tolist()}
 
 
 @dataclass
@@ -318,8 +339,9 @@ class Biquad(Kernel):
     def init(self):
         return SimpleNamespace(w=None)
 
-    def step(self, state, columns):
-        x = vectors(columns["value"])
+    def filtered(self, state, x: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return x
         if state.w is None:
             state.w = [np.zeros((2, x.shape[1])) for _ in self.sections]
         y = np.empty_like(x)
@@ -333,7 +355,32 @@ class Biquad(Kernel):
                 state.w[k] = over[n] @ w + into[:, BLOCK - n :] @ part
                 part = forced[:n, :n] @ part + free[:n] @ w
             y[lo : lo + n] = part * self.gain
-        return list(range(len(x))), {"filtered": y.tolist()}
+        return y
+
+    def step(self, state, columns):
+        y = self.filtered(state, vectors(columns["value"]))
+        return list(range(len(y))), {"filtered": y.tolist()}
+
+
+@dataclass
+class Chain(Kernel):
+    """A filter (one that has `filtered`), and a kernel on what it gives, as one kernel."""
+
+    first: Kernel
+    then: Kernel
+
+    def __post_init__(self):
+        self.reads = tuple(dict.fromkeys((*self.first.reads, *self.then.reads)))
+        self.returns = self.then.returns
+
+    def init(self):
+        return SimpleNamespace(first=self.first.init(), then=self.then.init())
+
+    def filtered(self, state, x: np.ndarray) -> np.ndarray:
+        return self.then.filtered(state.then, self.first.filtered(state.first, x))
+
+    def step(self, state, columns):
+        return self.then.step(state.then, columns | {"value": self.first.filtered(state.first, vectors(columns["value"]))})
 
 
 @lru_cache(256)

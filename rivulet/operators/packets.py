@@ -39,7 +39,7 @@ def error_code(words: Column, nchannels: int) -> Column:
         .when(F.get(words, 0) != START, 2)
         .when(F.get(words, 1) != PACKET_ID, 3)
         .when(F.get(words, 2) != nchannels + EXTRA, 5)
-        .when(S.xor_checksum(F.slice(words, 1, HEADER + nchannels)) != F.element_at(words, -1), 1)
+        .when(S.xor_checksum(words) != 0, 1)  # the last word is the checksum of all before
         .otherwise(0)
     )
 
@@ -49,14 +49,17 @@ def decode(packets: DataFrame, nchannels: int, channels: Sequence[int] | None =
     wanted = range(nchannels) if channels is None else channels
     if not all(0 <= c < nchannels for c in wanted):
         raise ValueError("a channel is out of range")
-    w = F.col("words")
-    ok = F.col("error") == 0
+    w, ok = F.col("_words"), F.col("error") == 0
     values = F.array(*[F.get(w, HEADER + c).cast("double") * S.MICROVOLTS for c in wanted])
+    # A generator keeps the planner from writing the packet into whatever reads of it: words that come from an expression are
+    # made once for a packet, and checked once, not once for each look at a word.
+    checked = F.transform(F.array("words"), lambda x: F.struct(x.alias("_words"), error_code(x, nchannels).alias("error")))
     return (
-        packets.withColumn("error", error_code(w, nchannels))
+        packets.select(*[c for c in packets.columns if c != "error"], F.inline_outer(checked))
         .withColumn("hw_ts", F.when(ok, S.from_words(F.get(w, TIME_HIGH), F.get(w, TIME_LOW))))
         .withColumn("digital", F.when(ok, F.get(w, DIGITAL)))
         .withColumn("values", F.when(ok, values))
+        .drop("_words")
     )
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from types import SimpleNamespace
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +31,15 @@ def run(port: Port, kernel: K.Kernel, keep=("hw_ts",), df: DataFrame | None = No
     return runner.batch(source, port.key, port.order, kernel, dict.fromkeys([*keep, *port.order]))
 
 
+def with_filter(port: Port, kernel: K.Kernel) -> tuple[Port, K.Kernel]:
+    """The stream and kernel that give the same as this kernel on this port. A filter before it becomes a part of the kernel:
+    samples are then dealt and handed over once for both."""
+    if port.filtered is None:
+        return port, kernel
+    source, first = port.filtered
+    return source, K.Chain(first, kernel)
+
+
 def events_port(df: DataFrame, like: Port) -> Port:
     return Port(df.select(like.key, "hw_ts", "event"), StreamInfo("events"), like.key, ("hw_ts",))
 
@@ -117,9 +125,10 @@ def _distributor(c: Context):
 
 @operator("filter", "MultiChannelFilter", options={"filter": {}}, data=Accepts(channels=(1, 384)))
 def _filter(c: Context):
-    p, kernel = c.one("data"), filters.from_spec(c["filter"])
-    out = run(p, kernel).withColumnRenamed("filtered", "values")
-    return {"data": Port(out, p.info, p.key, p.order)}
+    p = c.one("data")
+    source, kernel = with_filter(p, filters.from_spec(c["filter"]))
+    out = run(source, kernel).withColumnRenamed("filtered", "values")
+    return {"data": Port(out, p.info, p.key, p.order, (source, kernel))}
 
 
 @operator("rebuffer", "Rebuffer", options={"downsample factor": 1, "buffer size": 0}, data=Accepts(channels=(1, 256)))
@@ -141,14 +150,14 @@ def _rebuffer(c: Context):
 def _runningstats(c: Context):
     p, o = c.one("data"), c["outlier"]
     n = max(1, int(c["integration time"] * p.info.sample_rate))
-    out = run(p, K.RunningStats(1 / n, n, o["zscore"] if o["protection"] else None, o["half life"]))
+    out = run(*with_filter(p, K.RunningStats(1 / n, n, o["zscore"] if o["protection"] else None, o["half life"])))
     return {"data": Port(out.select(p.key, *dict.fromkeys((*p.order, "hw_ts")), F.array("center", "dispersion").alias("values")), p.info.with_(nchannels=2), p.key, p.order)}
 
 
 @operator("levelcrossing", "LevelCrossingDetector", options={"threshold": 0.0, "upslope": True, "post detect block": 2, "event": "threshold_crossing"}, data=Accepts(channels=(1, 256)))
 def _levels(c: Context):
     p = c.one("data")
-    out = run(p, K.LevelCrossing(c["threshold"], c["upslope"], c["post detect block"]))
+    out = run(*with_filter(p, K.LevelCrossing(c["threshold"], c["upslope"], c["post detect block"])))
     return {"events": events_port(out.withColumn("event", F.lit(c["event"])), p)}
 
 
@@ -172,10 +181,11 @@ def _detections(c: Context, p: Port, out: DataFrame, event: str) -> dict[str, Po
 @operator("ripple", "RippleDetector", options=DETECTOR, data=Accepts(channels=(1, 256)))
 def _ripple(c: Context):
     p = c.one("data")
-    df = p.df
+    source, kernel = with_filter(p, _oscillation(c, p, p.info.sample_rate, c["use power"], c.enabled is not None))
+    df = source.df
     if c.enabled is not None:  # off until the state is first set on
         df = E.as_of_state(df, c.enabled.df.select(p.key, "hw_ts", "enabled"), [p.key]).withColumn("enabled", F.coalesce("enabled", F.lit(False)))
-    out = run(p, _oscillation(c, p, p.info.sample_rate, c["use power"], c.enabled is not None), df=df)
+    out = run(source, kernel, df=df)
     return _detections(c, p, out, "ripple")
 
 
@@ -190,7 +200,7 @@ def _burst(c: Context):
 def _spike(c: Context):
     """spikes: one row for each, with its buffer; events: spike or spikes for each buffer that has some."""
     p = c.one("data")
-    out = run(p, K.Spike(c["threshold"], c["invert signal"], c["peak lifetime"]))
+    out = run(*with_filter(p, K.Spike(c["threshold"], c["invert signal"], c["peak lifetime"])))
     found = out.select(p.key, F.floor(F.col("spike_ts") / us(c["buffer size"])).cast("long").alias("buffer"), F.col("spike_ts").alias("hw_ts"), "amplitudes")
     return {"spikes": Port(found, StreamInfo("spikes", p.info.nchannels), p.key, ("hw_ts",)), "events": events_port(S.spike_events(found, [p.key, "buffer"]), p)}
 
@@ -376,25 +386,24 @@ class LoopKernel(K.Kernel):
         return SimpleNamespace(detector=self.detector.init(), trigger=self.trigger.init())
 
     def step(self, state, columns):
-        gated = replace(self.detector, gated=True)
         rows, out = [], {"at": [], "message": [], "detected": [], "passed": [], "shown": [], "test_value": [], "threshold": []}
 
-        def tell(k, **more) -> None:
+        def tell(k, at=None, message=None, detected=False, passed=False, shown=False, test=None, threshold=None) -> None:
             rows.append(k)
-            for c, x in out.items():
-                x.append(more.get(c, False if c in ("detected", "passed", "shown") else None))
-
-        for k in range(len(columns["hw_ts"])):
-            t = columns["hw_ts"][k : k + 1]
-            on = not self.trigger.off(state.trigger, int(t[0]))
-            _, found = gated.step(state.detector, {"value": columns["value"][k : k + 1], "enabled": np.array([on])})
-            for n in range(len(found["detected"])):
-                passed = found["detected"][n] and not columns["blocked"][k]
-                tell(k, **{c: found[c][n] for c in ("detected", "shown", "test_value", "threshold")}, passed=bool(passed))
-                if passed:
-                    _, told = self.trigger.step(state.trigger, {"hw_ts": t, "delay": columns["delay"][k : k + 1]})
-                    for at, message in zip(told["at"], told["message"], strict=True):
-                        tell(k, at=at, message=message)
+            for x, y in zip(out.values(), (at, message, detected, passed, shown, test, threshold), strict=True):
+                x.append(y)
+
+        for k, (t, v, blocked) in enumerate(zip(columns["hw_ts"].tolist(), self.detector.levels(columns["value"]), columns["blocked"].tolist(), strict=True)):
+            found = self.detector.one(state.detector, v, not self.trigger.off(state.trigger, t))
+            if found is None:
+                continue
+            test, threshold, fired, _, show = found
+            passed = fired and not blocked
+            tell(k, detected=fired, passed=passed, shown=show, test=test, threshold=threshold)
+            if passed:
+                _, told = self.trigger.step(state.trigger, {c: columns[c][k : k + 1] for c in ("hw_ts", "delay")})
+                for at, message in zip(told["at"], told["message"], strict=True):
+                    tell(k, at, message)
         return rows, out
 
 
@@ -402,17 +411,19 @@ def closed_loop(loop: Loop, parts: dict[str, Context]) -> dict[str, dict[str, Po
     """The outputs of the loop's processors."""
     d, t = parts[loop.detector], parts[loop.trigger]
     p = d.one("data")
-    df = p.df.withColumn("delay", _wait(t)).withColumn("blocked", F.lit(False))
+    source, kernel = with_filter(p, LoopKernel(_oscillation(d, p, p.info.sample_rate, d["use power"]), _trigger(t)))
+    df = source.df.withColumn("delay", _wait(t)).withColumn("blocked", F.lit(False))
     if loop.filter:
         f = parts[loop.filter]
         if f.inputs.get("events") or f["target event"] not in ("ripple",):
             raise ValueError("in a loop a filter takes the detector's events only")
         blockers = _slots(f, "blocking events")
         if blockers is not None:
-            marks = df.select(F.col(p.key).alias("stream_id"), "hw_ts").distinct().withColumn("slot", F.lit(0)).withColumn("event", F.lit("ripple"))
-            free = E.coincidence_filter(marks, blockers.where("event = 'ripple'"), ["stream_id"], us(f["sync time"]), us(f["block duration"]), us(f["block wait time"])).select(F.col("stream_id").alias(p.key), "hw_ts", F.lit(True).alias("_free"))
-            df = df.join(free, [p.key, "hw_ts"], "left").withColumn("blocked", F.col("_free").isNull()).drop("_free")
-    out = run(p, LoopKernel(_oscillation(d, p, p.info.sample_rate, d["use power"]), _trigger(t)), df=df)
+            # A detection is on a slot of its own within any time that is not zero.
+            found = blockers.where("event = 'ripple'").select(F.col("stream_id").alias(p.key), "hw_ts")
+            free = E.unblocked(df, found, [p.key], us(f["block duration"]), us(f["block wait time"]), "_free")
+            df = free.withColumn("blocked", ~F.col("_free") if us(f["sync time"]) > 0 else F.lit(True)).drop("_free")
+    out = run(source, kernel, df=df)
     made = {loop.detector: _detections(d, p, out, "ripple"), loop.trigger: {"events": events_port(out.where("message is not null").select(p.key, F.col("at").alias("hw_ts"), F.col("message").alias("event")), p)}}
     if loop.filter:
         made[loop.filter] = {"events": events_port(out.where("passed").withColumn("event", F.lit("ripple")), p)}

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.model import Accepts, StreamInfo
+from rivulet.operators.kernels import Kernel
 
 
 def expand(name: str) -> list[str]:
@@ -35,12 +36,16 @@ def expand(name: str) -> list[str]:
 
 @dataclass
 class Port:
-    """A stream with its description. key tells streams apart; order is their order in time."""
+    """A stream with its description. key tells streams apart; order is their order in time.
+
+    filtered: for a filter's output, the stream it takes and its kernel, so that a kernel after it can run in the same pass.
+    """
 
     df: DataFrame
     info: StreamInfo
     key: str = "stream_id"
     order: tuple[str, ...] = ("hw_ts",)
+    filtered: tuple[Port, Kernel] | None = None
 
 
 @dataclass

@@ -397,14 +397,16 @@ connections:
     return out["sink3"]["0"].df.join(counts, "stream_id").select("hw_ts", "event", "n_all", "n_target")
 
 
-def _packets(df: DataFrame, stream, arrival, hw_ts, samples) -> pipeline.Port:
-    """Whole packets of the samples (integers), with their checksum."""
+def _packets(df: DataFrame, stream, arrival, hw_ts, samples, serial=None) -> pipeline.Port:
+    """Whole packets of the samples (integers), with their checksum. serial: the order of packets that arrive at one time."""
     low = hw_ts % (1 << 32)
     i = lambda x: x.cast("int")
-    n = F.size(samples)
-    head = F.array(i(F.lit(pk.START)), i(F.lit(pk.PACKET_ID)), i(n + pk.EXTRA), i(F.floor(hw_ts / (1 << 32))), i(F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low)), i(F.lit(0)), i(arrival % 256))
-    whole = df.select(stream.alias("stream_id"), arrival.alias("arrival"), F.concat(head, F.array_repeat(i(F.lit(0)), 10), samples).alias("body"))
-    return pipeline.Port(whole.select("stream_id", "arrival", F.concat("body", F.array(fs.xor_checksum(F.col("body")))).alias("words")), StreamInfo("packets"), order=("arrival",))
+    head = lambda n: F.array(i(F.lit(pk.START)), i(F.lit(pk.PACKET_ID)), i(n + pk.EXTRA), i(F.floor(hw_ts / (1 << 32))), i(F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low)), i(F.lit(0)), i(arrival % 256))
+    body = F.transform(F.array(samples), lambda x: F.concat(head(F.size(x)), F.array_repeat(i(F.lit(0)), 10), x))
+    words = F.get(F.transform(body, lambda b: F.concat(b, F.array(fs.xor_checksum(b)))), 0)
+    order = {"arrival": arrival} | ({} if serial is None else {"serial": serial})
+    whole = df.select(stream.alias("stream_id"), *[c.alias(name) for name, c in order.items()], words.alias("words"))
+    return pipeline.Port(whole, StreamInfo("packets"), order=tuple(order))
 
 
 def graph_packets(spark, sf_dir):
@@ -428,7 +430,7 @@ def graph_ripple(spark, sf_dir):
     e = valued(spark, sf_dir)
     samples = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: (F.round(F.col("value") * 100) * (c + 1) - F.col("event_id") * (c + 3) % 1000).cast("int"))
     ordered = e.withColumn("arrival", F.col("hw_ts"))
-    feed = _packets(ordered, F.col("user_id"), F.col("arrival"), F.col("hw_ts"), samples)
+    feed = _packets(ordered, F.col("user_id"), F.col("arrival"), F.col("hw_ts"), samples, F.col("event_id"))
     detector = {"smooth time": 3.125e-4, "analysis lockout time": 0.0625}
     spec = {
         "processors": {
