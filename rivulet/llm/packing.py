@@ -23,8 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from rivulet.llm.common import long_id, slices, text_id
-from rivulet.llm.tokens import Ids
+from rivulet.llm.tokens import remembered
 
+#: Rows of text at once; the encoder cuts them further by their length.
+SLICE = 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -116,7 +118,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        encoder = Ids(tokenizer_file)
+        encoder = remembered(tokenizer_file)
         packer = Packer(capacity, pool, TaskContext.get().partitionId() << 33)
         names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"]
 
@@ -127,10 +129,10 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
             out["ids"] = [np.frombuffer(x, "<u4").astype("int32") for x in out["ids"]]
             return out
 
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             rows: list[tuple] = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows += packer.add(doc, encoder.encode(text or "") + end)
+            for doc, ids in zip(batch["doc_id"], encoder.encode_all(text or "" for text in batch["text"]), strict=True):
+                rows += packer.add(doc, ids + end)
             if rows:
                 yield frame(rows)
         if rows := list(packer.end()):
